@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamquarry.functions import notation as nt
@@ -42,7 +42,11 @@ class _Options:
 
 
 def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
-    """Normal form; a query keeps its id, windows move along with dropped terms."""
+    """Queries in normal form; windows move along with dropped terms.
+
+    ``n_before`` counts, per term, the variables met in earlier terms.  The
+    table is written, so that later steps read plain columns.
+    """
     terms = normal_terms(F.col("terms"))
     extra = []
     if options.gaps:
@@ -51,79 +55,71 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     if options.forbidden:
         extra.append("gap_forbidden")
     if options.span:
-        extra.append("span")
+        extra.append(F.expr("IF(span >= 0, span, NULL)").alias("span"))
     kept = terms if options.forbidden else drop_empty_terms(terms)
-    return qs.select("query_id", kept.alias("terms"), *extra)
+    prepared = qs.select("query_id", kept.alias("terms"), *extra).selectExpr(
+        "*", "size(terms) AS n_terms",
+        """transform(terms, (t, i) -> size(array_distinct(filter(
+               flatten(slice(terms, 1, i)), s -> s.kind = 'var')))) AS n_before""",
+    )
+    return materialize(prepared.filter("n_terms > 0"), "queries")
 
 
-def _events_by_value(sdb: DataFrame, size: int) -> DataFrame:
+def _events_by_value(sdb: DataFrame, size: int | None) -> DataFrame:
     """Events once per set attribute, keyed by value (``v...``) and by ``*`` for new variables."""
     attrs = attributes(sdb)
-    keys = F.array(*[
-        F.when(F.col(a).isNotNull(), F.struct(F.lit(i).alias("d_attr"), key.alias("d_key")))
+    keys = ", ".join(
+        f"IF({a} IS NOT NULL, named_struct('d_attr', {i}, 'd_key', {key}), NULL)"
         for i, a in enumerate(attrs)
-        for key in (F.concat(F.lit("v"), F.col(a)), F.lit("*"))
-    ])
-    return (
-        sdb.select("stream_id", "pos", *attrs, F.explode(keys).alias("_d"))
-        .filter(F.col("_d").isNotNull())
-        .select("stream_id", "pos", *attrs, "_d.*", chunk_of(F.col("pos"), size).alias("chunk"))
+        for key in (f"concat('v', {a})", "'*'")
     )
+    keyed = sdb.selectExpr(
+        "stream_id", "pos", *attrs, f"explode(array({keys})) AS _d"
+    ).filter("_d IS NOT NULL").selectExpr("stream_id", "pos", *attrs, "_d.*")
+    return keyed if size is None else keyed.withColumn("chunk", chunk_of(F.col("pos"), size))
 
 
-def _term_table(qs: DataFrame, t: int, n_attrs: int, options: _Options) -> DataFrame:
+def _asked(qs: DataFrame, t: int, n_attrs: int, options: _Options) -> DataFrame:
     """Conditions of term t: per attribute a value ``v``, a known variable ``x`` or a new one."""
-    term = F.get("terms", F.lit(t))
-    before = F.size(F.array_distinct(nt.variables(F.slice("terms", F.lit(1), F.lit(t))))) if t else F.lit(0)
     columns = []
     for a in range(n_attrs):
-        s = F.get(term, F.lit(a))
-        var = F.when(s["kind"] == "var", s["val"].cast("int"))
+        s = f"terms[{t}][{a}]"
+        var, before = f"CAST({s}.val AS INT)", f"n_before[{t}]"
         columns += [
-            F.when(s["kind"] == "val", s["val"]).alias(f"v{a}"),
-            F.when(var < before, var).alias(f"x{a}"),
-            F.coalesce(var >= before, F.lit(False)).alias(f"new{a}"),
+            f"IF({s}.kind = 'val', {s}.val, NULL) AS v{a}",
+            f"CASE WHEN {s}.kind = 'var' THEN IF({var} < {before}, {var}, NULL) END AS x{a}",
+            f"CASE WHEN {s}.kind = 'var' THEN {var} >= {before} ELSE false END AS new{a}",
         ]
     if options.gaps:
-        gap = F.get("gaps", F.lit(t))
-        columns += [gap["lo"].alias("lo"), gap["hi"].alias("hi")]
+        columns += [f"gaps[{t}].lo AS lo", f"gaps[{t}].hi AS hi"]
     if options.forbidden and t:
-        columns.append(F.get("gap_forbidden", F.lit(t - 1)).alias("forbidden"))
+        columns.append(f"get(gap_forbidden, {t - 1}) AS forbidden")
     if options.span:
-        columns.append(F.when(F.col("span") >= 0, F.col("span")).alias("span"))
-    return qs.select("query_id", *columns)
+        columns.append("span")
+    return qs.selectExpr("query_id", *columns)
 
 
 def _with_driver(df: DataFrame, n_attrs: int, bound: bool) -> DataFrame:
-    """Resolve conditions to values and choose the driving one."""
-    for a in range(n_attrs):
-        value = F.col(f"v{a}")
-        if bound:
-            value = F.coalesce(value, F.get("b", F.col(f"x{a}")))
-        df = df.withColumn(f"w{a}", value)
+    """Resolve conditions to values ``w`` and choose the driving one."""
+    resolved = df.selectExpr("*", *[
+        f"coalesce(v{a}, get(b, x{a})) AS w{a}" if bound else f"v{a} AS w{a}" for a in range(n_attrs)
+    ])
     choices = [
-        F.when(F.col(f"w{a}").isNotNull(), F.struct(
-            F.lit(a).alias("d_attr"), F.concat(F.lit("v"), F.col(f"w{a}")).alias("d_key")))
-        for a in range(n_attrs)
-    ] + [
-        F.when(F.col(f"new{a}"), F.struct(F.lit(a).alias("d_attr"), F.lit("*").alias("d_key")))
+        f"WHEN w{a} IS NOT NULL THEN named_struct('d_attr', {a}, 'd_key', concat('v', w{a}))"
         for a in range(n_attrs)
-    ]
-    return df.withColumn("_d", F.coalesce(*choices)).select("*", "_d.*").drop("_d")
+    ] + [f"WHEN new{a} THEN named_struct('d_attr', {a}, 'd_key', '*')" for a in range(n_attrs)]
+    return resolved.selectExpr("*", f"CASE {' '.join(choices)} END AS _d").selectExpr("*", "_d.*").drop("_d")
 
 
-def _holds(attrs: list[str]) -> Column:
-    checks = []
-    for i, a in enumerate(attrs):
-        checks.append(F.col(f"w{i}").isNull() | (F.col(f"w{i}") == F.col(a)))
-        checks.append(~F.col(f"new{i}") | F.col(a).isNotNull())
-    return reduce(lambda x, y: x & y, checks)
+def _holds(attrs: list[str]) -> str:
+    return " AND ".join(
+        f"(w{i} IS NULL OR w{i} = {a}) AND (NOT new{i} OR {a} IS NOT NULL)" for i, a in enumerate(attrs)
+    )
 
 
-def _new_bindings(attrs: list[str]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(F.col(f"new{i}"), F.col(a)) for i, a in enumerate(attrs)
-    ]))
+def _new_bindings(attrs: list[str]) -> str:
+    new = ", ".join(f"IF(new{i}, {a}, NULL)" for i, a in enumerate(attrs))
+    return f"array_compact(array({new}))"
 
 
 def _reduce(df: DataFrame, options: _Options) -> DataFrame:
@@ -148,57 +144,50 @@ def _state_columns(options: _Options) -> list[str]:
 
 
 def _first_term(events, qs, n_queries, attrs, options) -> DataFrame:
-    terms = _with_driver(_term_table(qs, 0, len(attrs), options), len(attrs), bound=False)
+    terms = _with_driver(_asked(qs, 0, len(attrs), options), len(attrs), bound=False)
     on = ["d_attr", "d_key"]
     if n_queries > BROADCAST_ROWS:
         # a frequent value would otherwise be one join key for its events and queries
-        salt = F.pmod(F.xxhash64("stream_id", "pos"), F.lit(SALTS)).cast("int")
-        events = events.withColumn("_salt", salt)
-        terms = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        events = events.selectExpr("*", f"CAST(pmod(xxhash64(stream_id, pos), {SALTS}) AS INT) AS _salt")
+        terms = terms.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS _salt")
         on = [*on, "_salt"]
     hits = events.join(broadcast_if_small(terms, n_queries), on).filter(_holds(attrs))
     if options.gaps:
-        hits = hits.filter((F.col("pos") >= F.col("lo"))
-                           & (F.col("hi").isNull() | (F.col("pos") <= F.col("hi"))))
-    hits = hits.select(
-        "query_id", "stream_id", _new_bindings(attrs).alias("b"), F.col("pos").alias("p"),
-        *([F.array("pos").alias("positions")] if options.positions else []),
-        *([F.col("pos").alias("p_first")] if options.span else []),
+        hits = hits.filter("pos >= lo AND (hi IS NULL OR pos <= hi)")
+    hits = hits.selectExpr(
+        "query_id", "stream_id", f"{_new_bindings(attrs)} AS b", "pos AS p",
+        *(["array(pos) AS positions"] if options.positions else []),
+        *(["pos AS p_first"] if options.span else []),
     )
     return _reduce(hits, options)
 
 
 def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> DataFrame:
-    terms = _term_table(qs, t, len(attrs), options)
+    terms = _asked(qs, t, len(attrs), options)
     asked = _with_driver(
         state.join(broadcast_if_small(terms, n_queries), "query_id"), len(attrs), bound=True
     )
-    first = F.col("p") + 1 + (F.col("lo") if options.gaps else F.lit(0))
-    last = F.lit(None).cast("int")
-    if options.gaps:
-        last = F.col("p") + 1 + F.col("hi")
-    if options.span:
-        last = F.least(last, F.col("p_first") + F.col("span") - 1)
-    asked = asked.withColumn("_from", first).withColumn("_to", last)
-    if options.forbidden and t:
+    upper = (["p + 1 + hi"] if options.gaps else []) + (["p_first + span - 1"] if options.span else [])
+    upper = f"least({', '.join(upper)})" if len(upper) > 1 else (upper or ["CAST(NULL AS INT)"])[0]
+    asked = asked.selectExpr(
+        "*", f"p + 1{' + lo' if options.gaps else ''} AS _from", f"{upper} AS _to"
+    )
+    if options.forbidden:
         asked = _before_forbidden(asked, events, ends, size)
-    chunks = F.array(F.lit(0))
+    on = ["stream_id", "d_attr", "d_key"]
     if ends is not None:
         # long streams exist: ask every chunk that may hold the next term
         asked = asked.join(ends, "stream_id").withColumn("_to", F.least("_to", "last_pos")).filter(
-            F.col("_from") <= F.col("_to")
+            "_from <= _to"
         )
         chunks = F.sequence(chunk_of(F.col("_from"), size), chunk_of(F.col("_to"), size))
-    asked = asked.withColumn("chunk", F.explode(chunks))
-    hits = asked.join(events, ["stream_id", "chunk", "d_attr", "d_key"]).filter(
-        (F.col("pos") >= F.col("_from"))
-        & (F.col("_to").isNull() | (F.col("pos") <= F.col("_to")))
-        & _holds(attrs)
-    )
-    hits = hits.select(
-        "query_id", "stream_id", F.concat("b", _new_bindings(attrs)).alias("b"),
-        F.col("pos").alias("p"),
-        *([F.concat("positions", F.array("pos")).alias("positions")] if options.positions else []),
+        asked = asked.withColumn("chunk", F.explode(chunks))
+        on = [*on, "chunk"]
+    hits = asked.join(events, on).filter(
+        f"pos >= _from AND (_to IS NULL OR pos <= _to) AND {_holds(attrs)}"
+    ).selectExpr(
+        "query_id", "stream_id", f"concat(b, {_new_bindings(attrs)}) AS b", "pos AS p",
+        *(["concat(positions, array(pos)) AS positions"] if options.positions else []),
         *(["p_first"] if options.span else []),
     )
     return _reduce(hits, options)
@@ -206,18 +195,17 @@ def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> D
 
 def _before_forbidden(asked, events, ends, size) -> DataFrame:
     """Bound ``_to`` by the next event after ``p`` that holds a forbidden value."""
-    probes = asked.filter(F.size("forbidden") > 0).select(
-        "query_id", "stream_id", "p", F.explode("forbidden").alias("_f")
-    ).distinct().withColumn("d_key", F.concat(F.lit("v"), F.col("_f")))
-    chunks = F.array(F.lit(0))
+    probes = asked.filter("size(forbidden) > 0").selectExpr(
+        "query_id", "stream_id", "p", "explode(forbidden) AS _f"
+    ).selectExpr("query_id", "stream_id", "p", "concat('v', _f) AS d_key").distinct()
+    on = ["stream_id", "d_key"]
     if ends is not None:
-        probes = probes.join(ends, "stream_id")
         chunks = F.sequence(chunk_of(F.col("p"), size), chunk_of(F.col("last_pos"), size))
-    probes = probes.withColumn("chunk", F.explode(chunks))
+        probes = probes.join(ends, "stream_id").withColumn("chunk", F.explode(chunks)).drop("last_pos")
+        on = [*on, "chunk"]
     stops = (
-        probes.select("query_id", "stream_id", "p", "d_key", "chunk")
-        .join(events.select("stream_id", "chunk", "d_key", "pos"), ["stream_id", "chunk", "d_key"])
-        .filter(F.col("pos") > F.col("p"))
+        probes.join(events.select(*on, "pos"), on)
+        .filter("pos > p")
         .groupBy("query_id", "stream_id", "p").agg(F.min("pos").alias("_stop"))
     )
     return asked.join(stops, ["query_id", "stream_id", "p"], "left").withColumn(
@@ -231,21 +219,17 @@ def _match(
     attrs = attributes(sdb)
     prepared = _prepare(qs, options)
     # one row per query length
-    lengths = {
-        r["n"]: r["c"]
-        for r in prepared.groupBy(F.size("terms").alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()
-        if r["n"] > 0
-    }
+    lengths = {r[0]: r[1] for r in prepared.groupBy("n_terms").count().collect()}
     if max_pos is None:
         max_pos = longest_position(sdb)
-    events = _events_by_value(sdb, size)
     ends = None
     if max_pos >= size:
         ends = sdb.groupBy("stream_id").agg(F.max("pos").alias("last_pos"))
+    events = _events_by_value(sdb, None if ends is None else size)
     columns = _state_columns(options)
     results = []
     for n_terms, n_queries in sorted(lengths.items()):
-        group = prepared.filter(F.size("terms") == n_terms)
+        group = prepared.filter(F.col("n_terms") == n_terms)
         state = _first_term(events, group, n_queries, attrs, options)
         for t in range(1, n_terms):
             if t % TERMS_PER_PLAN == 0:
@@ -254,16 +238,14 @@ def _match(
                 state, events, ends, group, n_queries, t, attrs, options, size
             )
         if options.gaps:
-            after = F.get("gaps", F.lit(n_terms))
-            bounds = group.select(
-                "query_id", after["lo"].alias("_lo"), after["hi"].alias("_hi")
+            bounds = group.selectExpr(
+                "query_id", f"gaps[{n_terms}].lo AS _lo", f"gaps[{n_terms}].hi AS _hi"
             )
-            rest = F.col("_last") - F.col("p")
             lasts = sdb.groupBy("stream_id").agg(F.max("pos").alias("_last"))
             state = (
                 state.join(broadcast_if_small(bounds, n_queries), "query_id")
                 .join(lasts, "stream_id")
-                .filter((rest >= F.col("_lo")) & (F.col("_hi").isNull() | (rest <= F.col("_hi"))))
+                .filter("_last - p >= _lo AND (_hi IS NULL OR _last - p <= _hi)")
             )
         results.append(state.select(*columns))
     if not results:
@@ -463,8 +445,8 @@ def weaker_than(qs1: DataFrame, qs2: DataFrame) -> DataFrame:
     q' is weaker than q exactly when q' matches the stream that q itself forms,
     so containment is one run of the matcher.
     """
-    n_attrs = qs2.agg(F.max(F.size(F.get("terms", F.lit(0))))).first()[0] or 0
-    max_terms = qs2.agg(F.max(F.size("terms"))).first()[0] or 0
+    size = qs2.agg(F.max(F.size(F.get("terms", F.lit(0)))), F.max(F.size("terms"))).first()
+    n_attrs, max_terms = size[0] or 0, size[1] or 0
     tagged = qs1.select("query_id", F.transform(
         "terms", lambda t: F.transform(t, lambda s: F.when(
             s["kind"] == "val", nt.symbol("val", F.concat(F.lit("val="), s["val"]))
