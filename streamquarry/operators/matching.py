@@ -51,13 +51,17 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     extra = []
     if options.gaps:
         gaps = full_gaps(F.col("gaps"), F.size("terms"))
-        extra.append(_merged_gaps(gaps, terms).alias("gaps"))
+        extra.append(_merged_gaps(gaps, terms).alias("_gaps"))
     if options.forbidden:
         extra.append("gap_forbidden")
     if options.span:
         extra.append(F.expr("IF(span >= 0, span, NULL)").alias("span"))
     kept = terms if options.forbidden else drop_empty_terms(terms)
-    prepared = qs.select("query_id", kept.alias("terms"), *extra).selectExpr(
+    # names of their own: an alias `terms` would hide the column from the other expressions
+    named = qs.select("query_id", kept.alias("_terms"), *extra).withColumnsRenamed(
+        {"_terms": "terms", "_gaps": "gaps"}
+    )
+    prepared = named.selectExpr(
         "*", "size(terms) AS n_terms",
         """transform(terms, (t, i) -> size(array_distinct(filter(
                flatten(slice(terms, 1, i)), s -> s.kind = 'var')))) AS n_before""",
@@ -446,7 +450,8 @@ def weaker_than(qs1: DataFrame, qs2: DataFrame) -> DataFrame:
     so containment is one run of the matcher.
     """
     size = qs2.agg(F.max(F.size(F.get("terms", F.lit(0)))), F.max(F.size("terms"))).first()
-    n_attrs, max_terms = size[0] or 0, size[1] or 0
+    # without any query in qs2 there is still one (empty) attribute to match
+    n_attrs, max_terms = max(size[0] or 0, 1), size[1] or 0
     tagged = qs1.select("query_id", F.transform(
         "terms", lambda t: F.transform(t, lambda s: F.when(
             s["kind"] == "val", nt.symbol("val", F.concat(F.lit("val="), s["val"]))
