@@ -11,7 +11,7 @@ from streamquarry.functions import notation as nt
 from streamquarry.functions.columns import attributes
 from streamquarry.operators.matching import weaker_than
 from streamquarry.operators.queries import generalisations
-from streamquarry.plans.growth import Growth, Run
+from streamquarry.plans.growth import Growth, Run, run_together
 from streamquarry.plans.workspace import materialize
 
 STRATEGIES = ("unified", "separated", "by_attribute")
@@ -43,22 +43,34 @@ def _grow(growth: Growth, strategy: str, inner: str) -> list[Run]:
     if strategy == "unified":
         return [growth.run()]
     if strategy == "separated":
-        types, patterns = growth.run(use_variables=False), growth.run(use_values=False)
-        return [types, patterns, growth.merge([[types], [patterns]])]
+        return _separated(growth)
     if strategy != "by_attribute":
         raise ValueError(f"strategy is one of {STRATEGIES}")
-    parts: list[list[Run]] = []
-    for attr in range(growth.n_attrs):
-        if inner == "unified":
-            parts.append([growth.run(attr=attr)])
-        else:
-            types = growth.run(use_variables=False, attr=attr)
-            patterns = growth.run(use_values=False, attr=attr)
-            parts.append([types, patterns, growth.merge([[types], [patterns]], attr=attr)])
+    attrs = range(growth.n_attrs)
+    if inner == "unified":
+        parts = [[run] for run in run_together([lambda a=a: growth.run(attr=a) for a in attrs])]
+    else:
+        pure = run_together([
+            lambda a=a, kind=kind: growth.run(**kind, attr=a) for a in attrs for kind in KINDS
+        ])
+        pairs = [pure[2 * a: 2 * a + 2] for a in attrs]
+        merged = run_together([
+            lambda a=a: growth.merge([[run] for run in pairs[a]], attr=a) for a in attrs
+        ])
+        parts = [[*pair, mix] for pair, mix in zip(pairs, merged, strict=True)]
     found = [run for runs in parts for run in runs]
     return found + ([growth.merge(parts)] if growth.n_attrs > 1 else [])
 
 
+# What a run of type queries and one of pattern queries leave out.
+KINDS = ({"use_variables": False}, {"use_values": False})
+
+
+def _separated(growth: Growth) -> list[Run]:
+    pure = run_together([lambda kind=kind: growth.run(**kind) for kind in KINDS])
+    return [*pure, growth.merge([[run] for run in pure])]
+
+
 def discover(
     sdb: DataFrame,
     supp: float = 1.0,
@@ -237,9 +249,7 @@ def discover_by_templates(
         # a term made of variables so far may still get its value
         runs = [growth.run()]
     else:
-        templates = growth.run(use_variables=False)
-        links = growth.run(use_values=False)
-        runs = [templates, links, growth.merge([[templates], [links]])]
+        runs = _separated(growth)
     return _result(growth, runs, descriptive_only)
 
 

@@ -44,6 +44,8 @@ class _Options:
 def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     """Queries in normal form; windows move along with dropped terms.
 
+    Next to forbidden values an empty term stays, as one event of any kind, since
+    the sets belong to the gaps on both of its sides.
     ``n_before`` counts, per term, the variables met in earlier terms.  The
     table is written, so that later steps read plain columns.
     """
@@ -51,7 +53,7 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     extra = []
     if options.gaps:
         gaps = full_gaps(F.col("gaps"), F.size("terms"))
-        extra.append(_merged_gaps(gaps, terms).alias("_gaps"))
+        extra.append((gaps if options.forbidden else _merged_gaps(gaps, terms)).alias("_gaps"))
     if options.forbidden:
         extra.append("gap_forbidden")
     if options.span:
@@ -69,14 +71,17 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     return materialize(prepared.filter("n_terms > 0"), "queries")
 
 
-def _events_by_value(sdb: DataFrame, size: int | None) -> DataFrame:
+ANY_EVENT = "named_struct('d_attr', -1, 'd_key', '#')"
+
+
+def _events_by_value(sdb: DataFrame, size: int | None, any_event: bool = False) -> DataFrame:
     """Events once per set attribute, keyed by value (``v...``) and by ``*`` for new variables."""
     attrs = attributes(sdb)
-    keys = ", ".join(
+    keys = ", ".join([
         f"IF({a} IS NOT NULL, named_struct('d_attr', {i}, 'd_key', {key}), NULL)"
         for i, a in enumerate(attrs)
         for key in (f"concat('v', {a})", "'*'")
-    )
+    ] + ([ANY_EVENT] if any_event else []))
     keyed = sdb.selectExpr(
         "stream_id", "pos", *attrs, f"explode(array({keys})) AS _d"
     ).filter("_d IS NOT NULL").selectExpr("stream_id", "pos", *attrs, "_d.*")
@@ -112,7 +117,7 @@ def _with_driver(df: DataFrame, n_attrs: int, bound: bool) -> DataFrame:
         f"WHEN w{a} IS NOT NULL THEN named_struct('d_attr', {a}, 'd_key', concat('v', w{a}))"
         for a in range(n_attrs)
     ] + [f"WHEN new{a} THEN named_struct('d_attr', {a}, 'd_key', '*')" for a in range(n_attrs)]
-    return resolved.selectExpr("*", f"CASE {' '.join(choices)} END AS _d").selectExpr("*", "_d.*").drop("_d")
+    return resolved.selectExpr("*", f"CASE {' '.join(choices)} ELSE {ANY_EVENT} END AS _d").selectExpr("*", "_d.*").drop("_d")
 
 
 def _holds(attrs: list[str]) -> str:
@@ -229,7 +234,7 @@ def _match(
     ends = None
     if max_pos >= size:
         ends = sdb.groupBy("stream_id").agg(F.max("pos").alias("last_pos"))
-    events = _events_by_value(sdb, None if ends is None else size)
+    events = _events_by_value(sdb, None if ends is None else size, options.forbidden)
     columns = _state_columns(options)
     results = []
     for n_terms, n_queries in sorted(lengths.items()):

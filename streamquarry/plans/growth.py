@@ -21,12 +21,14 @@ starts a term, 1 continues the last one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from streamquarry.functions.columns import attributes, threshold
 from streamquarry.functions.notation import TERMS_TYPE
@@ -70,6 +72,27 @@ def _join_small(left: DataFrame, right: DataFrame, on, n_rows: int, how: str = "
     return left.join(broadcast_if_small(right, n_rows), on, how)
 
 
+def run_together(tasks: list[Callable[[], Run]]) -> list[Run]:
+    """Independent runs side by side: their jobs share the cluster instead of waiting in line."""
+    results: list[Run | BaseException | None] = [None] * len(tasks)
+
+    def call(i: int, task: Callable[[], Run]) -> None:
+        try:
+            results[i] = task()
+        except BaseException as e:  # noqa: BLE001
+            results[i] = e
+
+    threads = [InheritableThread(target=call, args=(i, t)) for i, t in enumerate(tasks)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for r in results:
+        if isinstance(r, BaseException):
+            raise r
+    return results
+
+
 class Growth:
     """Queries supported by ``ceil(n_streams * supp)`` streams, grown level by level."""
 
@@ -97,7 +120,7 @@ class Growth:
             self.sdb, self.needed, self.max_pos, use_values, use_variables
         )
         self.use_values, self.use_variables = use_values, use_variables
-        self._tag = 0
+        self._tags = count(1)
 
     def close(self) -> None:
         self.index.rows.unpersist()
@@ -144,7 +167,11 @@ class Growth:
         self, state: DataFrame, flags: DataFrame, n_queries: int, n_known: int, rows: DataFrame,
         use_values: bool = True, use_variables: bool = True,
     ) -> DataFrame:
-        """All symbols that continue a match, with the earliest end they lead to."""
+        """All symbols that continue a match, with the earliest end they lead to.
+
+        Computed twice per level, to count and to keep the survivors: the join
+        over the small written state costs less than storing what it emits.
+        """
         empty, grown = self.index.empty_item_set, self.index.with_value
         probe = (
             _join_small(state, flags, "qid", n_queries)
@@ -219,9 +246,8 @@ class Growth:
                 <= {self.max_terms} - k + IF({a} > last_attr, 1, 0)"""
             for a in range(self.n_attrs)
         ]
-        self._tag += 1
         return grown.filter(" AND ".join(closable)).selectExpr(
-            "*", f"{self._tag << 47}L + monotonically_increasing_id() AS qid"
+            "*", f"{next(self._tags) << 47}L + monotonically_increasing_id() AS qid"
         ).withColumnsRenamed({"_parent": "parent", "_sym": "sym"})
 
     def _finish(
@@ -273,10 +299,9 @@ class Growth:
             emitted = self._emit(
                 state, flags, n_queries, n_known, rows,
                 use_values and self.use_values, use_variables and self.use_variables,
-            ).persist(StorageLevel.MEMORY_AND_DISK)
+            )
             described = self._describe(self._candidates(emitted), meta, n_queries)
             level = self._finish(emitted, described, META, f"level{len(run.levels) + 1}")
-            emitted.unpersist()
             run.levels.append(level)
             state, meta = level.state, level.meta
             n_queries, n_known = level.n_queries, level.n_known
@@ -341,7 +366,7 @@ class Growth:
             emitted = _join_small(
                 self._emit(state, self._flags(meta, attr is None), n_meta, n_known, rows),
                 allowed.select("qid", "sym"), ["qid", "sym"], n_allowed, "left_semi",
-            ).persist(StorageLevel.MEMORY_AND_DISK)
+            )
             candidates = _join_small(self._candidates(emitted), allowed, ["qid", "sym"], n_allowed)
             described = self._describe(candidates, meta, n_meta)
             described = described.withColumns({
@@ -353,7 +378,6 @@ class Growth:
                 "own": F.lit(-1),
             })
             mixed = self._finish(emitted, described, META + extra, f"mixed{depth + 1}")
-            emitted.unpersist()
             run.levels.append(mixed)
         return Run([
             Level(v.meta.select(*META), v.n_queries, v.n_known, v.state) for v in run.levels

@@ -95,6 +95,13 @@ def test_dropped_term_keeps_its_event_in_the_window(make_db, make_queries):
     assert [r.stream_id for r in found.collect()] == [1]
 
 
+def test_empty_term_between_forbidden_values(make_db, make_queries):
+    df, _ = make_db({1: "a x b", 2: "a b", 3: "a x y b", 4: "a y x b"})
+    # a, any event, b; no x before the event, no y behind it
+    found = sq.match(df, make_queries("a; $x7; b;", gap_forbidden=[[["x"], ["y"]]]))
+    assert sorted(r.stream_id for r in found.collect()) == [1, 4]
+
+
 def test_witness_and_instances(make_db, make_queries):
     df, db = make_db(NODES)
     qs = make_queries(*TEXTS[:3])
