@@ -168,32 +168,36 @@ found AS (
   HAVING count(DISTINCT stream_id) >= {needed(supp)})"""
 
 
-def weaker(n_attrs: int) -> str:
-    """Is w weaker than q, both of plc most two terms?"""
-    def open_or(cond):
-        return f"({cond})"
-
-    two = " AND ".join(
-        f"(w.t{t}a{a} = '' OR (w.t{t}a{a} LIKE '$%' AND q.t0a{a} <> '' AND q.t0a{a} = q.t1a{a}) "
-        f"OR (w.t{t}a{a} NOT LIKE '$%' AND w.t{t}a{a} = q.t{t}a{a}))"
-        for t in range(2) for a in range(n_attrs)
-    )
-    one = " OR ".join(
-        "(" + " AND ".join(f"(w.t0a{a} = '' OR w.t0a{a} = q.t{t}a{a})" for a in range(n_attrs)) + ")"
-        for t in range(2)
-    )
-    return (f"(w.qstr <> q.qstr AND w.n_terms <= q.n_terms AND CASE WHEN w.n_terms = 1 "
-            f"THEN coalesce({open_or(one)}, false) ELSE {two} END)")
+def weaker(n_attrs: int, max_terms: int = 2) -> str:
+    """Is w weaker than q: can its terms be placed, in order, on terms of q?"""
+    ways = []
+    for kw in range(1, max_terms + 1):
+        for kq in range(kw, max_terms + 1):
+            for place in combinations(range(kq), kw):
+                holds = [f"w.n_terms = {kw}", f"q.n_terms = {kq}"]
+                for a in range(n_attrs):
+                    for t, f in enumerate(place):
+                        mine, other = f"w.t{t}a{a}", f"q.t{f}a{a}"
+                        holds.append(f"({mine} = '' OR ({mine} LIKE '$%' AND {other} <> '') "
+                                     f"OR ({mine} NOT LIKE '$%' AND {mine} = {other}))")
+                    # an attribute has one variable at most
+                    holds += [
+                        f"(w.t{t}a{a} NOT LIKE '$%' OR w.t{u}a{a} NOT LIKE '$%' "
+                        f"OR q.t{place[t]}a{a} = q.t{place[u]}a{a})"
+                        for t, u in combinations(range(kw), 2)
+                    ]
+                ways.append("(" + " AND ".join(holds) + ")")
+    return f"(w.qstr <> q.qstr AND ({' OR '.join(ways)}))"
 
 
 def discovered(n_attrs: int, flags: bool = True, only: bool = False, supp: float = 0.5,
-               where: str = "true") -> str:
-    strict = f"NOT EXISTS (SELECT 1 FROM found q WHERE {weaker(n_attrs)})"
+               where: str = "true", max_terms: int = 2) -> str:
+    strict = f"NOT EXISTS (SELECT 1 FROM found q WHERE {weaker(n_attrs, max_terms)})"
     more = (f", n_streams / (SELECT count(DISTINCT stream_id) FROM ev)::DOUBLE AS support, "
             f"{strict} AS descriptive") if flags else ""
     return ev(
         f"SELECT qstr, n_terms, kind, n_streams{more} FROM found w" + (f" WHERE {strict}" if only else ""),
-        found(n_attrs, 2, supp, where),
+        found(n_attrs, max_terms, supp, where),
     )
 
 
@@ -417,6 +421,7 @@ d AS (
         "supported_queries": discovered(1, flags=False),
         "descriptive": discovered(1, flags=False, only=True),
         "descriptive_by_generalisation": discovered(1, flags=False, only=True),
+        "discover_three_terms": discovered(2, flags=False, only=True, max_terms=3),
         "discover_three_terms_supported": ev("SELECT qstr, n_terms, kind, n_streams FROM found", found(2, 3, 0.5)),
         "query_lattice": ev("""SELECT e.child, e.parent, e.child_n_streams, f.n_streams AS parent_n_streams,
             NOT EXISTS (SELECT 1 FROM edges o WHERE o.parent = e.child) AS child_descriptive

@@ -182,9 +182,10 @@ class Growth:
             )) AS _at""")
             .filter("_at IS NOT NULL")
             .selectExpr("qid", "stream_id", "b", "_at.*")
-            .withColumn("chunk", chunk_of(F.col("p0"), INDEX_CHUNK))
         )
-        joined = probe.join(rows, ["stream_id", "chunk", "pre"]).filter("p0 >= lo AND p0 < pos")
+        if "chunk" in self.index.join_keys:
+            probe = probe.withColumn("chunk", chunk_of(F.col("p0"), INDEX_CHUNK))
+        joined = probe.join(rows, self.index.join_keys).filter("p0 >= lo AND p0 < pos")
         symbols = []
         if use_values:
             symbols.append(_code("vid", VALUE, "mode"))

@@ -30,8 +30,9 @@ INDEX_CHUNK = 64
 
 @dataclass
 class OccurrenceIndex:
-    """``rows``: stream_id, chunk, pre, key, bc, vid, last, lo, pos.
+    """``rows``: stream_id, pre, key, bc, vid, last, lo, pos, partitioned by ``join_keys``.
 
+    ``join_keys`` are stream_id and pre, and chunk if a stream is longer than one.
     ``key`` is the code of the value that the row adds to ``pre``, ``bc`` the
     code used in variable bindings (equal only for equal values of the same
     attribute), ``vid`` the id of a supported value or NULL, ``last`` the last
@@ -43,6 +44,7 @@ class OccurrenceIndex:
     n_values: int
     n_attrs: int
     packed: bool
+    join_keys: list[str]
 
     @property
     def empty_item_set(self) -> str:
@@ -88,7 +90,8 @@ def build_index(
     )
     # at most one item per attribute and event
     events = coded.groupBy("stream_id", "pos").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    index = OccurrenceIndex(events, values, n_values, n_attrs, packed)
+    keys = ["stream_id", "pre"] + (["chunk"] if max_pos >= INDEX_CHUNK else [])
+    index = OccurrenceIndex(events, values, n_values, n_attrs, packed, keys)
     prefixes = f"""aggregate(
         slice(items, 1, i), array({index.empty_item_set}),
         (done, c) -> concat(done, transform(done, s -> {index.with_value('s', 'c.key')})))"""
@@ -97,9 +100,11 @@ def build_index(
         .select("stream_id", "pos", "item.*", F.explode(F.expr(prefixes)).alias("pre"))
         .drop("attr")
     )
+    # partitioned and sorted once: the join of each level only shuffles its state
     index.rows = _intervals(item_sets, max_pos).repartition(
-        int(sdb.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id", "chunk", "pre"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+        int(sdb.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys
+    ).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    index.rows.count()  # Spark knows the layout of a cached table once it is filled
     return index
 
 
@@ -107,9 +112,7 @@ def _intervals(item_sets: DataFrame, max_pos: int) -> DataFrame:
     same = ["stream_id", "pre", "key"]
     if max_pos < INDEX_CHUNK:
         window = Window.partitionBy(*same).orderBy("pos")
-        return item_sets.withColumn("lo", F.lag("pos", 1, -1).over(window)).withColumn(
-            "chunk", F.lit(0)
-        )
+        return item_sets.withColumn("lo", F.lag("pos", 1, -1).over(window))
     in_chunk = Window.partitionBy(*same, "chunk")
     placed = (
         item_sets.withColumn("chunk", chunk_of(F.col("pos"), INDEX_CHUNK))
