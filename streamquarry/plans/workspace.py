@@ -8,7 +8,6 @@ nodes, so losing an executor costs at most the level that is being computed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +18,13 @@ from pyspark.sql import functions as F
 # some hundred bytes wide, so this is tens of megabytes at most.
 BROADCAST_ROWS = 200_000
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder for written intermediate tables: the cluster's, else the session's checkpoint folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="streamquarry-")
-    return _local_dirs[app]
+    return configured.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
