@@ -29,6 +29,8 @@ STATE_CONF = {
     # bounds the native memory of all stores of one executor together
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no space is reserved ahead for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 # Signature files taken into one micro-batch; the state is committed after each.
 BYTES_PER_BATCH = 64 << 30
