@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import exact_dedup, sharding
+from streamquarry.llm import exact_dedup, ngram_filter, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op6_quality_rules": quality_rules.query,
         "op7_sharding": sharding.query,
+        "op10_lm_scoring": ngram_filter.query,
     }
 
 
