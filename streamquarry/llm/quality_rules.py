@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from streamquarry.llm.rows import let, stored, text_of, without_spaces, words
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_ends"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_ends", "n_bare", "n_marked", "n_stutters"]
 WINDOW = 8
 
 
@@ -68,7 +68,9 @@ def repeated_words(w: Column) -> Column:
 def measures(text: Column) -> Column:
     """Struct of ``MEASURES`` of a text that is not null."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    of_words = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    of_words = let(words(text), lambda w: F.struct(
+        F.size(w).alias("n"), repeated_words(w).alias("r"),
+        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("s")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     return let(F.struct(of_words.alias("w"), of_lines.alias("l")), lambda x: F.struct(
         x["w"]["n"].cast("bigint").alias("n_words"),
@@ -77,17 +79,24 @@ def measures(text: Column) -> Column:
         x["l"]["d"].cast("bigint").alias("n_dup_lines"),
         x["w"]["r"].cast("bigint").alias("n_repeat_words"),
         x["l"]["n"].cast("bigint").alias("n_lines"),
+        x["w"]["s"].cast("bigint").alias("n_stutters"),
         F.regexp_count(text, F.lit("\\p{Lu}{2,}")).cast("bigint").alias("n_shouts"),
         F.regexp_count(text, F.lit("[.!?][\\x20\\x09-\\x0D]")).cast("bigint").alias("n_ends"),
+        F.regexp_count(text, F.lit("(?<![^\\x20\\x09-\\x0D])[^\\p{L}\\x20\\x09-\\x0D]+(?![^\\x20\\x09-\\x0D])")).cast("bigint").alias("n_bare"),
+        F.regexp_count(text, F.lit("[#*$%&|<>=_^~@\\\\{}](?![^\\x20\\x09-\\x0D])")).cast("bigint").alias("n_marked"),
     ))
 
 
 # name, bad if, good if; between the two a rule abstains
 RULES = [
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols < n_words"),
+    ("symbol_chars", "50 * n_symbols > word_chars", "300 * n_symbols < word_chars"),
+    ("bare_words", "5 * n_bare > n_words", "20 * n_bare < n_words"),
+    ("marked_words", "5 * n_marked > n_words", "50 * n_marked < n_words"),
     ("word_length", "word_chars < 3 * n_words or word_chars > 11 * n_words", "word_chars between 4 * n_words and 8 * n_words"),
     ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
     ("repetition", "100 * n_repeat_words > 20 * n_words", "n_repeat_words = 0"),
+    ("stutters", "10 * n_stutters > n_words", "50 * n_stutters < n_words"),
     ("shouting", "10 * n_shouts > 2 * n_words", "50 * n_shouts < n_words"),
     ("sentences", "200 * n_ends < n_words", "60 * n_ends >= n_words and 3 * n_ends <= n_words"),
     ("length", "n_words < 30", "n_words >= 60"),
@@ -95,8 +104,9 @@ RULES = [
 VOTES = [f"vote_{name}" for name, _, _ in RULES]
 
 
-def with_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    measured = docs.select(id_col, measures(text_of(docs, text_col)).alias("_m")).select(id_col, "_m.*")
+def with_votes(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """Columns ``carry`` packed as ``row``, then the measures and the votes."""
+    measured = docs.select(F.struct(*carry).alias("row"), measures(text_of(docs, text_col)).alias("_m")).select("row", "_m.*")
     return measured.select(
         "*",
         F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words").alias("base_failed"),
@@ -157,9 +167,11 @@ def patterns_of(votes: DataFrame) -> DataFrame:
     return votes.filter("not base_failed").groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """A row per document: id, ``MEASURES``, ``base_failed``, votes, ``p_good`` and ``kept``."""
-    votes = stored(with_votes(docs, id_col, text_col), "votes")
+def score_quality(
+    docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.5
+) -> DataFrame:
+    """A row per document: ``row`` (its columns ``carry``), measures, votes, ``p_good``, ``kept``."""
+    votes = stored(with_votes(docs, text_col, carry or docs.columns), "votes")
     model = fit(stored(patterns_of(votes).coalesce(1), "patterns"))
     scored = votes.withColumn("p_good", posterior(model))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
@@ -167,7 +179,12 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op6``: the measures and the verdict on every document."""
-    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"]).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("p_good", 6).alias("p_good"), *VOTES,
     )
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: only documents that the rules keep."""
+    return score_quality(docs).filter("kept").select("row.*")
