@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import exact_dedup, jaccard_join, ngram_filter, quality_rules, sharding
+from streamquarry.llm import exact_dedup, jaccard_join, ngram_filter, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_best_fit_packing": packing.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_quality_rules": quality_rules.query,
         "op7_sharding": sharding.query,
