@@ -61,10 +61,9 @@ def pieces(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int, np
         start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words, and the bytes behind their last."""
     n = len(data)
-    if not n:
-        return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
     word = ~_SPACE[data]
     starts, ends = word.copy(), word.copy()
     starts[1:] &= ~word[:-1]
@@ -72,7 +71,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
     edges = offsets[(offsets > 0) & (offsets < n)]  # texts do not run into each other
     starts[edges] = word[edges]
     ends[edges - 1] = word[edges - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
+    n = len(data)
+    starts, ends = word_edges(data, offsets)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE_LOWER[data] * _table("up", _P, n)[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _table("down", _P_INVERSE, n)[starts]
