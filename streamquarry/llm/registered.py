@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import exact_dedup, jaccard_join, mixing, ngram_filter, packing, quality_rules, sharding
+from streamquarry.llm import byte_cnn, exact_dedup, jaccard_join, mixing, ngram_filter, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op2_best_fit_packing": packing.query,
+        "op3_quality_classifier": byte_cnn.query,
         "op4_mixing": mixing.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_quality_rules": quality_rules.query,
