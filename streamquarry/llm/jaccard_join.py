@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamquarry.llm.components import components
-from streamquarry.llm.rows import stored
+from streamquarry.llm.rows import FILE, ROW, addressed, stored
 from streamquarry.llm.signature_tree import candidate_pairs, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
 
@@ -130,7 +130,7 @@ def _class_rows(levels, n_words: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                      pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                    ["id", "class", "n", "prefix", "bits"])
+                    ["row", "class", "n", "prefix", "bits"])
 
     return rows
 
@@ -263,18 +263,21 @@ def _block_links(num: int, den: int):
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, num: int = 75, den: int = 100
 ) -> DataFrame:
-    """A row per document: ``id, n_shingles, class, component_id``.
+    """A row per document: ``id, n_shingles, class, component_id, stays`` and its address.
 
     Documents link when ``den * |x & y| >= num * |x | y|`` for their sets of ``n_words``-word
-    shingles; ``component_id`` is the smallest id reachable by links.  Documents of one
-    ``class`` have the same set.
+    shingles; ``component_id`` is the smallest id reachable by links, the document's own for one
+    without words.  Documents of one ``class`` have the same set.  One document of each component
+    ``stays``, that with the smallest id, then address; so does every one without words.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    read = addressed(docs, id_col, text_col).select(
+        F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), FILE, ROW).alias("row"),
+        F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(read, "text", n_words))  # 2 ** TABLE_BITS bytes
-    id_type = docs.schema[id_col].dataType.simpleString()
+    row_type = read.schema["row"].dataType.simpleString()
     rows = stored(read.mapInArrow(
-        _class_rows(levels, n_words, num, den), f"id {id_type}, class long, n long, prefix array<long>, bits binary"), "shingles")
+        _class_rows(levels, n_words, num, den), f"row {row_type}, class long, n long, prefix array<long>, bits binary"), "shingles")
     classes = stored(
         rows.filter("n > 0").groupBy("class").agg(
             F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")),
@@ -327,13 +330,15 @@ def similar_documents(
 
     joined = components(links).withColumnRenamed("node", "class")
     labelled = stored(
-        rows.select("id", "n", "class").join(joined, "class", "left").select("id", "n", "class", F.coalesce("label", "class").alias("label")),
+        rows.select("row", "n", "class").join(joined, "class", "left").select("row", "n", "class", F.coalesce("label", "class").alias("label")),
         "labelled",
     )
-    least = labelled.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
+    least = labelled.filter("n > 0").groupBy("label").agg(F.min("row").alias("least"))
     return labelled.join(least, "label", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("row.id").alias(id_col), F.col("n").alias("n_shingles"), "class",
+        F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("row.id")).alias("component_id"),
+        ((F.col("n") == 0) | (F.col("row") == F.col("least"))).alias("stays"),
+        F.col(f"row.{FILE}").alias(FILE), F.col(f"row.{ROW}").alias(ROW),
     )
 
 
@@ -341,3 +346,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op5``: every document with the component of its near copies."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_shingles", "component_id", "class")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: one document of each component."""
+    kept = similar_documents(docs).filter("stays").select(FILE, ROW)
+    return addressed(docs, *docs.columns).join(kept, [FILE, ROW], "left_semi").select(*docs.columns)

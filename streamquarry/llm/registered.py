@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import byte_cnn, exact_dedup, jaccard_join, language_id, mixing, ngram_filter, packing, quality_rules, sharding
+from streamquarry.llm import byte_cnn, exact_dedup, jaccard_join, language_id, line_chunks, mixing, ngram_filter, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality_rules.query,
         "op7_sharding": sharding.query,
         "op8_language_id": language_id.query,
+        "op9_line_dedup": line_chunks.query,
         "op10_lm_scoring": ngram_filter.query,
     }
 

@@ -74,13 +74,18 @@ def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of the bytes ``data[start:end]`` of each span."""
     n = len(data)
-    starts, ends = word_edges(data, offsets)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_LOWER[data] * _table("up", _P, n)[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _table("down", _P_INVERSE, n)[starts]
-    return Words(mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets, "left"))
+    np.cumsum(values[data] * _table("up", _P, n)[:n], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _table("down", _P_INVERSE, n + 1)[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> Words:
+    starts, ends = word_edges(data, offsets)
+    return Words(span_hashes(data, starts, ends, _BYTE_LOWER), np.searchsorted(starts, offsets, "left"))
 
 
 def combined(hashes: np.ndarray, n: int) -> np.ndarray:
