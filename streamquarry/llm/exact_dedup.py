@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamquarry.llm.rows import FILE, ROW, addressed, shared_path, stored, text_of, without_spaces
+from streamquarry.llm.rows import FILE, ROW, addressed, landed, shared_path, stored, text_of, without_spaces
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -113,7 +113,7 @@ def dedup_exact(
     Texts are equal when they are the same bytes after deleting white space.  Of equal texts
     the row with the most code points stays, then the smallest id, then the first address.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, landed(docs)
     folder = shared_path(spark, "signatures")
     sig = signatures(docs, id_col, text_col, digest)
     sig.write.parquet(folder)
@@ -151,6 +151,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: only the row that stays for each text."""
+    docs = landed(docs)
     kept = dedup_exact(docs).filter("kept").select(FILE, ROW)
     return addressed(docs, *docs.columns).join(kept, [FILE, ROW], "left_semi").select(*docs.columns)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamquarry.llm.components import components
-from streamquarry.llm.rows import FILE, ROW, addressed, stored
+from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
 from streamquarry.llm.signature_tree import candidate_pairs, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
 
@@ -350,5 +350,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each component."""
+    docs = landed(docs)
     kept = similar_documents(docs).filter("stays").select(FILE, ROW)
     return addressed(docs, *docs.columns).join(kept, [FILE, ROW], "left_semi").select(*docs.columns)

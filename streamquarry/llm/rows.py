@@ -27,20 +27,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def landed(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows come straight from files, else written to the shared folder and read."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return stored(docs, "landed")
+
+
 def addressed(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``docs`` with the address of each row: hash of its file, place in the file.
 
     The address tells repeated rows and rows without an id apart and stays the same when a
-    task is run again.  Rows that do not come from files are written to the shared folder first.
+    task is run again.  To use addresses of one table twice, land it first.
     """
-    try:
-        return _with_address(docs, columns)
-    except AnalysisException:
-        return _with_address(stored(docs.select(*columns), "landed"), columns)
-
-
-def _with_address(docs: DataFrame, columns) -> DataFrame:
-    return docs.select(
+    return landed(docs).select(
         *columns,
         F.xxhash64("_metadata.file_path").alias(FILE),
         F.col("_metadata.row_index").alias(ROW),
