@@ -39,7 +39,8 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray):
     h = span_hashes(data, starts, tail)
     rolling = h.copy()
     for k in range(1, WINDOW):
-        rolling[k:] = mix(rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + h[:-k])
+        before = np.where(text[k:] == text[:-k], h[:-k], np.uint64(0))  # nothing of another text
+        rolling[k:] = mix(rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + before)
     last = np.ones(len(h), dtype=bool)
     last[:-1] = (rolling[:-1] % np.uint64(ENDS) == 0) | (text[1:] != text[:-1])
     close = np.flatnonzero(last)
@@ -107,7 +108,8 @@ def _without(batches):
                     kept = data[offsets[i] : offsets[i + 1]].tobytes()
                 else:
                     kept = b"".join(data[begin[c] : stop[c]].tobytes() for c in range(first[i], first[i + 1]) if c - first[i] not in gone)
-                    kept = kept.removesuffix(b"\n") if first[i + 1] - 1 - first[i] in gone else kept
+                    last_gone = first[i + 1] - 1 - first[i] in gone
+                    kept = kept.removesuffix(b"\n") if last_gone else kept
                 clean.append(kept.decode())
                 n_removed.append(len(gone))
                 lines_out.append(kept.count(b"\n") + (len(kept) > 0 and not kept.endswith(b"\n")))

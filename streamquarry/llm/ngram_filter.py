@@ -32,6 +32,7 @@ FREQUENT = 1 << 18  # most rows of the broadcast table of word counts
 PROBES = 3  # bits of the filter per level
 SEGMENTS = 256
 BITS_PER_ENTRY = 8
+SEEN = 50  # of a word's occurrences, from which its pairs weigh half of what they can
 FLUSH = 4 << 20  # n-grams a task holds before it counts and hands on
 END, START = np.uint64(0x1111_1111_1111_1110), np.uint64(0x2222_2222_2222_2222)
 
@@ -183,7 +184,8 @@ def _scorer(model):
         pair = read_levels(m["filter"], m["bits_log2"], _pairs(ids, bounds))
         alone = (_LEAST[word] + 1) / (m["n"] + m["v"] + 1)
         of_pair = np.minimum(_LEAST[pair], _MOST[context]) / np.maximum(_MOST[context], 1)
-        p = np.where(context > 0, m["weight"] * of_pair + (1 - m["weight"]) * alone, alone)
+        weight = m["weight"] * _LEAST[context] / (_LEAST[context] + SEEN)
+        p = weight * of_pair + (1 - weight) * alone
 
         text = np.repeat(np.arange(len(begin)), np.diff(bounds))
         rare = ~frequent[place]
