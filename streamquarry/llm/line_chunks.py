@@ -39,8 +39,9 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray):
     h = span_hashes(data, starts, tail)
     rolling = h.copy()
     for k in range(1, WINDOW):
-        before = np.where(text[k:] == text[:-k], h[:-k], np.uint64(0))  # nothing of another text
-        rolling[k:] = mix(rolling[k:] * np.uint64(0x9E3779B97F4A7C15) + before)
+        before = np.zeros_like(h)  # nothing of another text
+        before[k:] = np.where(text[k:] == text[:-k], h[:-k], np.uint64(0))
+        rolling = mix(rolling * np.uint64(0x9E3779B97F4A7C15) + before)
     last = np.ones(len(h), dtype=bool)
     last[:-1] = (rolling[:-1] % np.uint64(ENDS) == 0) | (text[1:] != text[:-1])
     close = np.flatnonzero(last)
