@@ -11,8 +11,9 @@ Documents with equal shingle sets form a class; all work below is on one set per
    and the links found are joined to components.
 3. All prefix shingles that lie in more than one component are gathered, and a signature tree
    over the classes of each is traversed against itself; only pairs from different components
-   that the bounds allow are left.  Pairs of small groups are checked by a join with the sets;
-   large groups, cut into blocks so that no task holds more than two, check theirs at once and
+   that the bounds allow are left.  A group no larger than a leaf needs no tree: its pairs meet
+   the bound after repeated ones are dropped.  Pairs of such and of somewhat larger groups are
+   checked by a join with the sets; large groups, cut into blocks so that no task holds more than two, check theirs at once and
    skip what a link just found has joined.
 4. Components of all links.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from streamquarry.llm.components import components
 from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
-from streamquarry.llm.signature_tree import candidate_pairs, signature
+from streamquarry.llm.signature_tree import LEAF, candidate_pairs, leaf_bound, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
 
 TABLE_BITS = 22  # places of the table of shingle counts
@@ -169,10 +170,12 @@ def _similar(x: bytes, y: bytes, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, text_col: str, n_words: int, num: int, den: int) -> DataFrame:
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` that reach the threshold on their whole sets."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = stored(_wanted_sets(docs, text_col, n_words, stored(wanted, "wanted")), "sets")
 
     def check(batches):
         for batch in batches:
@@ -227,6 +230,49 @@ def _crossing_rows(block, names):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in [*block, np.repeat(size, size)]], names)
 
 
+def _leaf_pairs(num: int, den: int):
+    """Pairs of groups ``token, class, label, n`` no larger than a leaf, sorted by token."""
+
+    def of_rows(token, classes, label, n):
+        found = [np.empty((0, 2), np.int64)]
+        for step in range(1, LEAF):
+            x, y = slice(None, -step), slice(step, None)
+            ok = (token[x] == token[y]) & (label[x] != label[y]) & (den * n[x] >= num * n[y]) & (den * n[y] >= num * n[x])
+            if not (token[x] == token[y]).any():
+                break
+            a, b = classes[x][ok], classes[y][ok]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def rows(batches):
+        rest = None
+        for batch in batches:
+            block = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            block = block if rest is None else [np.concatenate(x) for x in zip(rest, block, strict=True)]
+            last = int(np.searchsorted(block[0], block[0][-1], "left")) if len(block[0]) else 0
+            rest = [x[last:] for x in block]
+            yield of_rows(*(x[:last] for x in block))
+        if rest is not None:
+            yield of_rows(*rest)
+
+    return rows
+
+
+def _bounded(num: int, den: int):
+    """The pairs ``a, b, n_a, n_b, bits_a, bits_b`` that the bound allows."""
+
+    def rows(batches):
+        for batch in batches:
+            k = batch.num_rows
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+            bits = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            ok = leaf_bound(bits, sizes, np.arange(k), np.arange(k) + k, num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return rows
+
+
 def _tree_pairs(num: int, den: int):
     """Pairs that the trees leave of groups ``token, class, label, n, bits``."""
 
@@ -293,7 +339,18 @@ def similar_documents(
     tries = near.join(centre, "token").filter(
         (F.col("class") != F.col("b")) & (den * F.col("n") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n"))
     ).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-    links = stored(_checked(stored(tries, "tries"), read, "text", n_words, num, den), "links")
+    signed = classes.select("class", "n", "bits")
+
+    def allowed(pairs):
+        side = lambda x: signed.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(
+            _bounded(num, den), "a long, b long")
+
+    def sets_of(wanted):
+        return stored(_wanted_sets(read, "text", n_words, stored(wanted.distinct(), "wanted")), "sets")
+
+    tries = stored(allowed(tries), "tries")
+    links = stored(_checked(tries, sets_of(_classes_of(tries)), num, den), "links")
     known = stored(components(links), "components").withColumnRenamed("node", "class")
 
     # every prefix shingle in more than one component
@@ -305,15 +362,16 @@ def similar_documents(
         .mapInArrow(_crossing, "token long, class long, label long, size long"),
         "shared",
     )
-    signed = classes.select("class", "n", "bits")
-    small = (
-        shared.filter(F.col("size") <= LARGE).join(signed, "class").select("token", "class", "label", "n", "bits")
-        .repartition("token").sortWithinPartitions("token").mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    )
-    links = links.union(stored(_checked(stored(small, "pairs"), read, "text", n_words, num, den), "links"))
-
+    by_token = lambda rows: rows.repartition("token").sortWithinPartitions("token")
+    leaves = by_token(shared.filter(F.col("size") <= LEAF).join(sized, "class").select("token", "class", "label", "n"))
+    trees = by_token(shared.filter((F.col("size") > LEAF) & (F.col("size") <= LARGE)).join(signed, "class").select(
+        "token", "class", "label", "n", "bits"))
+    small = stored(
+        allowed(leaves.mapInArrow(_leaf_pairs(num, den), "a long, b long").distinct())
+        .union(trees.mapInArrow(_tree_pairs(num, den), "a long, b long")).distinct(), "pairs")
     large = stored(shared.filter(F.col("size") > LARGE), "large")
-    sets = stored(_wanted_sets(read, "text", n_words, large.select("class").distinct()), "sets")
+    sets = sets_of(_classes_of(small).union(large.select("class")))
+    links = links.union(stored(_checked(small, sets, num, den), "links"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks.cast("bigint")).cast("int")
     cut = (

@@ -41,10 +41,14 @@ class _Level:
         self.bits, self.low, self.high, self.excess, self.one, self.children = bits, low, high, excess, one, children
 
 
+def _members(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> _Level:
+    excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    return _Level(bits, sizes, sizes, excess, labels, None)
+
+
 def _tree(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> list[_Level]:
     """Levels from the leaves' members up; members are in the order of their sizes."""
-    excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    levels = [_Level(bits, sizes, sizes, excess, labels, None)]
+    levels = [_members(bits, sizes, labels)]
     fan = LEAF
     while len(levels[-1].low) > 1:
         b = levels[-1]
@@ -127,3 +131,17 @@ def candidate_pairs(signatures, sizes, labels, sides=None, num: int = 75, den: i
             found_j.append(right[j])
     empty = np.empty(0, np.int64)
     return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
+
+
+def leaf_bound(signatures, sizes, i: np.ndarray, j: np.ndarray, num: int = 75, den: int = 100) -> np.ndarray:
+    """Which pairs of positions the bound on shared tokens allows, as at the leaves of a tree."""
+    lengths = np.array([len(s) for s in signatures], dtype=np.int64)
+    width = np.minimum(lengths[i], lengths[j])
+    out = np.zeros(len(i), dtype=bool)
+    for size in np.unique(width):
+        pairs = np.flatnonzero(width == size)
+        members, place = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        bits = _at_width([signatures[m] for m in members], int(size))
+        level = _members(bits, sizes[members], np.arange(len(members)))
+        out[pairs] = _possible(level, place[: len(pairs)], level, place[len(pairs) :], num, den)
+    return out
