@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamquarry.llm.components import components
+from streamquarry.llm.places import table_of_places
 from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
 from streamquarry.llm.signature_tree import LEAF, candidate_pairs, leaf_bound, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
 
 TABLE_BITS = 22  # places of the table of shingle counts
-BLOCK_BITS = 16  # places per row while it is summed
 FIRST = 8  # shingles by which classes are tried first
 LARGE = 64  # classes of a group from which it checks its own pairs
 BLOCK = 4096  # classes of a large group that a task holds per side
@@ -64,43 +64,6 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _table(rows: DataFrame, column: str, to_places, bits: int, flags: bool = False) -> np.ndarray:
-    """Counts per place over all rows, or packed bits of the places seen.
-
-    A table per task is added up block by block; its size is fixed by ``bits``.
-    """
-    block = 1 << min(bits, BLOCK_BITS)
-    sent, kept = (np.uint8, np.uint8) if flags else (np.uint16, np.uint32)
-
-    def per_task(batches):
-        counts = np.zeros(1 << bits, dtype=bool if flags else np.uint32)
-        for batch in batches:
-            for places in to_places(batch.column(0)):
-                if flags:
-                    counts[places] = True
-                else:
-                    np.add.at(counts, places, 1)
-        counts = counts.reshape(-1, block)
-        used = np.flatnonzero(counts.any(axis=1))
-        cells = [np.packbits(counts[b]) if flags else np.minimum(counts[b], 65535).astype(np.uint16) for b in used]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([c.tobytes() for c in cells], pa.binary())], ["block", "cells"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        total = np.zeros(block >> 3 if flags else block, kept)
-        for c in table["cells"]:
-            own = np.frombuffer(c.as_buffer(), sent)
-            total = total | own if flags else total + own
-        return pa.table({"block": table["block"].slice(0, 1), "cells": [total.astype(kept).tobytes()]})
-
-    parts = rows.select(column).mapInArrow(per_task, "block int, cells binary").groupBy("block").applyInArrow(
-        merged, "block int, cells binary")
-    out = np.zeros(((1 << bits) // block, block >> 3 if flags else block), dtype=kept)
-    for row in parts.toLocalIterator():
-        out[row.block] = np.frombuffer(row.cells, kept)
-    return out.reshape(-1)
-
-
 def shingle_levels(docs: DataFrame, text_col: str, n_words: int) -> np.ndarray:
     """One byte per place of the table: how common the shingles there are, 0 for most."""
     shift = np.uint64(64 - TABLE_BITS)
@@ -110,7 +73,7 @@ def shingle_levels(docs: DataFrame, text_col: str, n_words: int) -> np.ndarray:
             sets = list(shingle_sets(data, offsets, n_words))
             yield (np.concatenate(sets) >> shift).astype(np.int64) if sets else np.empty(0, np.int64)
 
-    counts = _table(docs, text_col, places, TABLE_BITS)
+    counts = table_of_places(docs, text_col, places, TABLE_BITS)
     mean = counts.mean()
     usual = mean + 6 * mean**0.5 + 8
     return np.where(counts < usual, 0, np.floor(2 * np.log2(np.maximum(counts, 1) / usual)) + 1).astype(np.uint8)
@@ -140,7 +103,7 @@ def _wanted_sets(docs: DataFrame, text_col: str, n_words: int, wanted: DataFrame
     """``class, set`` for the classes in ``wanted`` (and few others); texts are hashed again."""
     shift = np.uint64(64 - WANTED_BITS)
     place = lambda c: (mix(c.view(np.uint64)) >> shift).astype(np.int64)
-    bits = _table(wanted, "class", lambda column: [place(column.to_numpy(zero_copy_only=False))], WANTED_BITS, flags=True)
+    bits = table_of_places(wanted, "class", lambda column: [place(column.to_numpy(zero_copy_only=False))], WANTED_BITS, flags=True)
     chosen = docs.sparkSession.sparkContext.broadcast(bits)  # 2 ** WANTED_BITS bits
 
     def rows(batches):

@@ -4,8 +4,9 @@ A rolling hash over the hashes of ``WINDOW`` lines in a row decides where a chun
 so boundaries move with the content: lines inserted before a passage change the chunks around
 them and no others.  Chunks of several lines are compared by hash over all documents; of equal
 chunks the first stays (smallest id, then address, then place) and the others are removed, each
-only after its bytes were compared with those of the first.  Texts are read for that only where
-a chunk is repeated.
+only after its bytes were compared with those of the first.  For that the bytes of chunks are
+gathered whose hash is flagged in a table of repeated hashes, of fixed size, and joined with the
+exact list.
 
 Lines end with ``\\n`` and are compared byte for byte; chunks with fewer than two lines that hold
 a word are left alone.  Null texts count as empty.  Null ids come last in the order; repeated
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamquarry.llm.places import table_of_places
 from streamquarry.llm.rows import FILE, ROW, addressed, stored
 from streamquarry.llm.textarrays import mix, pieces, span_hashes, word_edges
 
 WINDOW = 2  # lines the rolling hash covers
+REPEATED_BITS = 26  # places of the table of repeated chunks
 ENDS = 3  # a chunk ends at one line in so many
 
 
@@ -75,25 +78,26 @@ def _signatures(batches):
                  pa.array(key[keep].view(np.int64))], [FILE, ROW, "id", "chunk", "key"])
 
 
-def _chunk_texts(batches):
-    """Bytes of the chunks named in ``flags`` of rows ``file, row, text, flags``."""
-    for batch in batches:
-        for start, end, data, offsets in pieces(batch.column(2)):
-            begin, _, tail, text, _, _, _ = chunks_of(data, offsets)
-            first = np.searchsorted(text, np.arange(end - start))
-            rows, chunk, key, head, content = [], [], [], [], []
-            for i in range(end - start):
-                for f in batch.column(3)[start + i].as_py():
-                    c = first[i] + f["chunk"]
-                    rows.append(start + i)
-                    chunk.append(f["chunk"])
-                    key.append(f["key"])
-                    head.append(f["head"])
-                    content.append(data[begin[c] : tail[c]].tobytes())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(chunk, pa.int32()), pa.array(key, pa.int64()),
-                 pa.array(head, pa.bool_()), pa.array(content, pa.binary())], [FILE, ROW, "chunk", "key", "head", "content"])
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - REPEATED_BITS)).astype(np.int64)
+
+
+def _chunk_texts(flags):
+    """Bytes of the chunks of several lines whose key is flagged, of rows ``file, row, id, text``."""
+
+    def rows(batches):
+        for batch in batches:
+            for start, _, data, offsets in pieces(batch.column(3)):
+                begin, _, tail, text, key, lines, _ = chunks_of(data, offsets)
+                at = _place(key.view(np.int64))
+                keep = np.flatnonzero((lines >= 2) & (flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+                content = [data[s:e].tobytes() for s, e in zip(begin[keep].tolist(), tail[keep].tolist(), strict=True)]
+                take = pa.array(text[keep] + start)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(take) for i in range(3)), pa.array(_numbered(text)[keep].astype(np.int32)),
+                     pa.array(key[keep].view(np.int64)), pa.array(content, pa.binary())], [FILE, ROW, "id", "chunk", "key", "content"])
+
+    return rows
 
 
 def _without(batches):
@@ -133,16 +137,14 @@ def drop_repeated_chunks(docs: DataFrame, carry: list[str] | None = None, id_col
         "chunk-keys",
     )
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", FILE, ROW, "chunk")
-    repeated = signatures.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    flags = stored(
-        signatures.join(repeated.select("key", "first"), "key")
-        .withColumn("head", (F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(ROW) == F.col(f"first.{ROW}")) & (F.col("chunk") == F.col("first.chunk")))
-        .groupBy(FILE, ROW).agg(F.collect_list(F.struct("chunk", "key", "head")).alias("flags")),  # chunks of one text
-        "chunk-flags",
-    )
+    repeated = stored(
+        signatures.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    flags = docs.sparkSession.sparkContext.broadcast(table_of_places(  # 2 ** REPEATED_BITS bits
+        repeated, "key", lambda keys: [_place(keys.to_numpy(zero_copy_only=False))], REPEATED_BITS, flags=True))
     contents = stored(
-        read.select(FILE, ROW, text).join(flags, [FILE, ROW]).mapInArrow(
-            _chunk_texts, f"{FILE} long, {ROW} long, chunk int, key long, head boolean, content binary"),
+        read.select(FILE, ROW, F.col(id_col).alias("id"), text).mapInArrow(
+            _chunk_texts(flags), f"{FILE} long, {ROW} long, id {id_type}, chunk int, key long, content binary")
+        .join(repeated.select("key", "first"), "key").withColumn("head", order == F.col("first")),
         "chunk-texts",
     )
     heads = contents.filter("head").select("key", F.col("content").alias("head_content"))
@@ -153,7 +155,8 @@ def drop_repeated_chunks(docs: DataFrame, carry: list[str] | None = None, id_col
     )
     packed = read.select(FILE, ROW, F.struct(*carry).alias("row"), text)
     schema = packed.schema["row"].dataType.simpleString()
-    return packed.join(removed, [FILE, ROW], "left").select("row", "_text", "removed").mapInArrow(
+    # one plan at every size: the removals of all documents are no table to broadcast
+    return packed.join(removed.hint("merge"), [FILE, ROW], "left").select("row", "_text", "removed").mapInArrow(
         _without, f"row {schema}, clean_text string, n_lines long, n_lines_kept long, n_removed long")
 
 
