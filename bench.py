@@ -21,7 +21,7 @@ CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 
 def discover(strategy: str, inner: str = "unified", max_terms: int = 3):
     return lambda spark: sq.discover(
-        rq.ev8(spark, FOLDER), 0.5, max_terms, strategy=strategy, inner=inner
+        rq.event_streams(spark, FOLDER), 0.5, max_terms, strategy=strategy, inner=inner
     )
 
 
@@ -36,8 +36,8 @@ def main() -> None:
         "discover_by_attribute": discover("by_attribute"),
         "discover_by_attribute_separated": discover("by_attribute", "separated"),
         "discover_by_templates_lossy": lambda spark: sq.discover_by_templates(
-            rq.ev8(spark, FOLDER), max_terms=3, supp=0.5, lossy=True),
-        "discover_types": lambda spark: sq.discover_types(rq.ev8(spark, FOLDER), 0.5, max_terms=3),
+            rq.event_streams(spark, FOLDER), max_terms=3, supp=0.5, lossy=True),
+        "discover_types": lambda spark: sq.discover_types(rq.event_streams(spark, FOLDER), 0.5, max_terms=3),
     } | {
         name: registered(name)
         for name in (

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-BUCKET = "CAST(CAST(floor(least(value, 199.9) / 50) AS BIGINT) AS VARCHAR)"
+BUCKET = "CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)"
 
 EV = f"""ev_all AS (
   SELECT user_id AS stream_id, event_type AS a0, {BUCKET} AS a1, value, ts, event_id,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS plc,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back,
-         count(*) OVER (PARTITION BY user_id) AS n
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS plc
   FROM events),
-ev AS (SELECT stream_id, CAST(least(n, 8) - back AS INT) AS pos, a0, a1, value FROM ev_all WHERE back <= 8)"""
+ev AS (SELECT stream_id, CAST(plc AS INT) AS pos, a0, a1, value FROM ev_all)"""
+
+# the conversations under the name of the streams, for the discovery of longer queries
+TALKS = """ev AS (
+  SELECT conv_id AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos,
+         role AS a0, CASE WHEN length(text) < 300 THEN 'short' ELSE 'long' END AS a1
+  FROM conversations)"""
 
 ORD = """ord AS (
   SELECT o_custkey AS stream_id, o_orderstatus AS a0, o_orderpriority AS a1,
@@ -30,6 +34,10 @@ def ev(sql: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([EV, *ctes]) + "\n" + sql
 
 
+def with_talks(sql: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([TALKS, *ctes]) + "\n" + sql
+
+
 def od(sql: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([ORD, *ctes]) + "\n" + sql
 
@@ -41,14 +49,14 @@ def needed(supp: float, name: str = "ev") -> str:
 # -- queries derived from the streams ---------------------------------------
 
 DERIVED = """dt AS (
-  SELECT stream_id AS query_id, pos - 4 AS term, CAST(ascii(a0) % 7 + 20 AS VARCHAR) AS var,
+  SELECT stream_id AS query_id, pos AS term, CAST(ascii(a0) % 7 + 20 AS VARCHAR) AS var,
          CASE WHEN pos % 2 = 0 THEN a1 ELSE '' END AS val
-  FROM ev WHERE pos >= 4),
+  FROM ev),
 dv AS (SELECT *, count(*) OVER (PARTITION BY query_id, var) AS n_var FROM dt)"""
 
 PAIRS = """pq AS (
   SELECT stream_id AS query_id, arg_min(a0, pos) AS a, arg_max(a0, pos) AS b
-  FROM ev WHERE pos >= 6 GROUP BY stream_id)"""
+  FROM ev GROUP BY stream_id)"""
 
 # -- matching ---------------------------------------------------------------
 
@@ -81,6 +89,9 @@ def mixed_matches(first: int = 1) -> str:
   FROM {TWO} WHERE a.a0 = b.a0 AND a.a1 = b.a1"""
 
 
+LAST_EVENTS = "l AS (SELECT stream_id, max(pos) AS last FROM ev GROUP BY stream_id)"
+FIRST_OF_TWO = """SELECT query_id, stream_id, p, p1 || ',' || p AS positions, b FROM m
+  QUALIFY row_number() OVER (PARTITION BY query_id, stream_id ORDER BY p, p1, b) = 1"""
 EARLIEST = "SELECT query_id, stream_id, b, min(p) AS p FROM m GROUP BY query_id, stream_id, b"
 
 
@@ -191,14 +202,12 @@ def weaker(n_attrs: int, max_terms: int = 2) -> str:
 
 
 def discovered(n_attrs: int, flags: bool = True, only: bool = False, supp: float = 0.5,
-               where: str = "true", max_terms: int = 2) -> str:
+               where: str = "true", max_terms: int = 2, streams: str = EV) -> str:
     strict = f"NOT EXISTS (SELECT 1 FROM found q WHERE {weaker(n_attrs, max_terms)})"
     more = (f", n_streams / (SELECT count(DISTINCT stream_id) FROM ev)::DOUBLE AS support, "
             f"{strict} AS descriptive") if flags else ""
-    return ev(
-        f"SELECT qstr, n_terms, kind, n_streams{more} FROM found w" + (f" WHERE {strict}" if only else ""),
-        found(n_attrs, max_terms, supp, where),
-    )
+    chosen = f"SELECT qstr, n_terms, kind, n_streams{more} FROM found w" + (f" WHERE {strict}" if only else "")
+    return f"WITH {streams},\n{found(n_attrs, max_terms, supp, where)}\n{chosen}"
 
 
 HAS_VALUE = " AND ".join(
@@ -256,14 +265,14 @@ d AS (
     before = """SELECT m.{id} AS stream_id, CAST(e.plc - greatest(m.plc - {n}, 0) AS INT) AS pos, {cols}
       FROM m JOIN ev_all e ON e.stream_id = m.stream_id AND e.plc >= m.plc - {n} AND e.plc < m.plc"""
     gap_matches = f"""m AS (
-  SELECT 1 AS query_id, a.stream_id, '' AS b, b.pos AS p FROM {TWO}
+  SELECT 1 AS query_id, a.stream_id, '' AS b, b.pos AS p, a.pos AS p1 FROM {TWO}
   WHERE a.a0 = 'click' AND b.a0 = 'error' AND b.pos - a.pos - 1 BETWEEN 1 AND 3
   UNION ALL
-  SELECT 2, a.stream_id, a.a0, b.pos FROM {TWO} JOIN l ON l.stream_id = a.stream_id
-  WHERE a.a0 = b.a0 AND a.pos BETWEEN 0 AND 2 AND b.pos - a.pos - 1 BETWEEN 0 AND 4
-    AND l.last - b.pos BETWEEN 1 AND 3
+  SELECT 2, a.stream_id, a.a0, b.pos, a.pos FROM {TWO} JOIN l ON l.stream_id = a.stream_id
+  WHERE a.a0 = b.a0 AND a.pos BETWEEN 0 AND 9 AND b.pos - a.pos - 1 BETWEEN 0 AND 4
+    AND l.last - b.pos BETWEEN 1 AND 30
   UNION ALL
-  SELECT 3, a.stream_id, '', b.pos FROM {TWO}
+  SELECT 3, a.stream_id, '', b.pos, a.pos FROM {TWO}
   WHERE a.a1 = '0' AND b.a1 = '1' AND b.pos - a.pos - 1 BETWEEN 0 AND 1)"""
 
     def clear(values: str) -> str:
@@ -285,8 +294,11 @@ d AS (
         "streams_from_table": od("SELECT stream_id, pos, a0, a1 FROM ord"),
         "streams_before_match": ev(
             before.format(id="id", n=5, cols="e.a0, e.a1"),
+            "m AS (SELECT *, stream_id || ':' || plc AS id FROM ev_all WHERE a0 = 'error' AND value > 40 AND plc > 0)"),
+        "streams_before_first_matches": ev(
+            before.format(id="id", n=4, cols="e.a0"),
             """m AS (SELECT *, row_number() OVER (ORDER BY ts, event_id, stream_id) - 1 AS id FROM ev_all
-              WHERE a0 = 'error' AND value > 40 AND plc > 0 QUALIFY id < 1000)"""),
+              WHERE a0 = 'error' AND plc > 0 QUALIFY id < 200)"""),
         "streams_before_every_match": ev(
             before.format(id="id", n=3, cols="e.a0"),
             "m AS (SELECT *, stream_id || ':' || plc AS id FROM ev_all WHERE a0 = 'purchase' AND plc > 0)"),
@@ -385,7 +397,7 @@ d AS (
             count(DISTINCT var) FILTER (WHERE n_var > 1) AS n_repeated_variables, 'mixed' AS kind FROM dv GROUP BY query_id""", DERIVED),
         "validate_queries": ev("""SELECT query_id, concat_ws(',', CASE WHEN query_id % 3 > query_id % 5 THEN 'gap_bounds' END,
             CASE WHEN query_id % 3 > 0 AND min(n_var) < 2 THEN 'gap_lower_bound_needs_normal_form' END,
-            CASE WHEN query_id % 7 < 4 THEN 'span_shorter_than_query' END,
+            CASE WHEN query_id % 97 < count(*) THEN 'span_shorter_than_query' END,
             CASE WHEN min(n_var) < 2 THEN 'span_and_normal_form' END) AS errors FROM dv GROUP BY query_id""", DERIVED),
         "dedupe_queries": ev("SELECT min(query_id) AS query_id, a || '; ' || b || ';' AS qstr FROM pq GROUP BY a, b", PAIRS),
         "generalisations": ev("""SELECT DISTINCT query_id, unnest([a || ';', b || ';'] || CASE WHEN a = b THEN ['$x0; $x0;'] ELSE [] END) AS qstr FROM pq""", PAIRS),
@@ -394,10 +406,8 @@ d AS (
         "match": ev(EARLIEST, f"m AS ({mixed_matches()})"),
         "support": ev(support(7), ALL_MATCHES),
         "supported": ev(f"SELECT * FROM ({support(7)}) WHERE n_streams >= {needed(0.5)}", ALL_MATCHES),
-        "matched_streams": ev("""SELECT CAST(q.query_id AS BIGINT) AS query_id, s.stream_id,
-            EXISTS (SELECT 1 FROM m WHERE m.query_id = q.query_id AND m.stream_id = s.stream_id) AS matched
-            FROM range(1, 5) q(query_id), (SELECT DISTINCT stream_id FROM ev) s""", f"m AS ({mixed_matches()})"),
-        "match_with_gaps": ev(EARLIEST, "l AS (SELECT stream_id, max(pos) AS last FROM ev GROUP BY stream_id)", gap_matches),
+        "matched_streams": ev("SELECT DISTINCT query_id, stream_id FROM m", f"m AS ({mixed_matches()})"),
+        "match_with_gaps": ev(EARLIEST, LAST_EVENTS, gap_matches),
         "match_with_forbidden_values": ev(EARLIEST, f"""m AS (
             SELECT 1 AS query_id, a.stream_id, '' AS b, b.pos AS p FROM {TWO}
             WHERE a.a0 = 'click' AND b.a0 = 'error' AND {clear("'view', 'signup'")}
@@ -410,6 +420,22 @@ d AS (
         "witness": ev("""SELECT query_id, stream_id, p, p1 || ',' || p2 || ',' || p3 AS positions, b FROM m WHERE query_id < 4
             QUALIFY row_number() OVER (PARTITION BY query_id, stream_id ORDER BY p, p1, p2, p3, b) = 1""", f"m AS ({mixed_matches()})"),
         "instances": ev("SELECT query_id, stream_id, p1 || ',' || p2 || ',' || p3 AS positions, b FROM m WHERE query_id < 4", f"m AS ({mixed_matches()})"),
+        "witness_with_gaps": ev(FIRST_OF_TWO, LAST_EVENTS, gap_matches),
+        "match_types_with_gaps": ev(
+            "SELECT CASE query_id WHEN 3 THEN 2 ELSE 1 END AS query_id, stream_id, min(p) AS p FROM m WHERE query_id <> 2 GROUP BY ALL",
+            LAST_EVENTS, gap_matches),
+        "witness_with_forbidden_values": ev(FIRST_OF_TWO, f"""m AS (
+            SELECT 1 AS query_id, a.stream_id, '' AS b, b.pos AS p, a.pos AS p1 FROM {TWO}
+            WHERE a.a0 = 'click' AND b.a0 = 'error' AND {clear("'view', 'signup'")}
+            UNION ALL SELECT 2, a.stream_id, a.a0, b.pos, a.pos FROM {TWO} WHERE a.a0 = b.a0 AND {clear("'error'")})"""),
+        "instances_with_span": ev(f"""SELECT 1 AS query_id, a.stream_id, '' AS b, a.pos || ',' || b.pos AS positions FROM {TWO}
+            WHERE a.a0 = 'click' AND b.a0 = 'error' AND b.pos - a.pos + 1 <= 3
+            UNION ALL SELECT 2, a.stream_id, a.a0, a.pos || ',' || b.pos || ',' || c.pos FROM {THREE}
+            WHERE a.a0 = c.a0 AND b.a0 = 'view' AND c.pos - a.pos + 1 <= 5"""),
+        "support_of_empty_query": ev(support(3), f"""m AS (
+            SELECT q.query_id, stream_id FROM ev, (VALUES (1), (2)) q(query_id)
+            UNION ALL SELECT 3, a.stream_id FROM {TWO} WHERE a.a0 = 'click' AND b.a0 = 'error'),
+            s AS (SELECT stream_id FROM ev)"""),
         "update_support": ev(support(4), f"m AS (SELECT * FROM ({mixed_matches()}) WHERE stream_id % 3 <> 1)",
                              "s AS (SELECT stream_id FROM ev WHERE stream_id % 3 <> 1)"),
         "supported_with_term_bound": ev(f"SELECT * FROM ({support(7)}) WHERE n_streams >= {needed(0.2)} AND query_id NOT IN (4, 5, 6)", ALL_MATCHES),
@@ -421,8 +447,8 @@ d AS (
         "supported_queries": discovered(1, flags=False),
         "descriptive": discovered(1, flags=False, only=True),
         "descriptive_by_generalisation": discovered(1, flags=False, only=True),
-        "discover_three_terms": discovered(2, flags=False, only=True, max_terms=3),
-        "discover_three_terms_supported": ev("SELECT qstr, n_terms, kind, n_streams FROM found", found(2, 3, 0.5)),
+        "discover_three_terms": discovered(2, flags=False, only=True, supp=0.75, max_terms=3, streams=TALKS),
+        "discover_three_terms_supported": with_talks("SELECT qstr, n_terms, kind, n_streams FROM found", found(2, 3, 0.75)),
         "query_lattice": ev("""SELECT e.child, e.parent, e.child_n_streams, f.n_streams AS parent_n_streams,
             NOT EXISTS (SELECT 1 FROM edges o WHERE o.parent = e.child) AS child_descriptive
             FROM edges e LEFT JOIN found f ON f.qstr = e.parent""", one, EDGES),

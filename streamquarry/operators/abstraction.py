@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from streamquarry.functions.columns import attributes, cells
 from streamquarry.plans.numbering import HOT_ROWS, number_rows
-from streamquarry.plans.workspace import broadcast_if_small
-
-MAX_EXPLODED_VALUES = 500
+from streamquarry.plans.workspace import broadcast_if_small, materialize
 
 
 def project(sdb: DataFrame, attrs: list[str]) -> DataFrame:
@@ -50,13 +48,19 @@ def uniquify_frequent(
         .filter(F.col("n") > F.col("_limit"))
         .select("attr", "val")
     )
+    if not exact:
+        frequent = materialize(frequent, "frequent")
+        n_frequent = frequent.count()
+        for i, a in index.items():
+            own = frequent.filter(F.col("attr") == i).select(F.col("val").alias("_val"))
+            renamed = F.concat(F.col(a), F.lit(","), F.concat_ws(":", "stream_id", "pos"))
+            sdb = sdb.join(broadcast_if_small(own, n_frequent), F.col(a) == F.col("_val"), "left").withColumn(
+                a, F.when(F.col("_val").isNull(), F.col(a)).otherwise(renamed)
+            ).drop("_val")
+        return sdb
     hits = chosen.join(frequent, ["attr", "val"], "left_semi")
-    if exact:
-        numbered = number_rows(hits, ["attr", "val"], ["stream_id", "pos"], "_i", hot_rows)
-        renamed = F.concat_ws(",", "val", "_i")
-    else:
-        numbered = hits
-        renamed = F.concat(F.col("val"), F.lit(","), F.concat_ws(":", "stream_id", "pos"))
+    numbered = number_rows(hits, ["attr", "val"], ["stream_id", "pos"], "_i", hot_rows)
+    renamed = F.concat_ws(",", "val", "_i")
     new_values = numbered.groupBy("stream_id", "pos").agg(
         *[F.max(F.when(F.col("attr") == i, renamed)).alias(f"_{a}") for i, a in index.items()]
     )
@@ -127,29 +131,32 @@ def bin_values(
 
 
 def map_values(sdb: DataFrame, attr: str, mapping: DataFrame | dict[str, str]) -> DataFrame:
-    """Generalise values by a lookup ``(val, mapped)``; other values stay."""
+    """Generalise values by a lookup ``(val, mapped)``; other values stay.
+
+    Of several rows for one value the smallest ``mapped`` counts, so no event is doubled.
+    """
     if isinstance(mapping, dict):
         mapping = sdb.sparkSession.createDataFrame(
             list(mapping.items()), "val string, mapped string"
         )
-    lookup = mapping.select(F.col("val").alias("_val"), F.col("mapped").alias("_mapped"))
+    lookup = mapping.groupBy(F.col("val").alias("_val")).agg(F.min("mapped").alias("_mapped"))
     lookup = broadcast_if_small(lookup, lookup.count())
     joined = sdb.join(lookup, F.col(attr) == F.col("_val"), "left")
     return joined.withColumn(attr, F.coalesce("_mapped", attr)).drop("_val", "_mapped")
 
 
-def explode_attribute(sdb: DataFrame, attr: str) -> DataFrame:
-    """Replace an attribute of few values by one attribute per value, in its place."""
-    found = (
-        sdb.filter(F.col(attr).isNotNull()).select(attr).distinct()
-        .limit(MAX_EXPLODED_VALUES + 1).collect()
-    )
-    if len(found) > MAX_EXPLODED_VALUES:
-        raise ValueError(f"{attr} has more than {MAX_EXPLODED_VALUES} values")
+def explode_attribute(sdb: DataFrame, attr: str, values: list[str] | None = None) -> DataFrame:
+    """Replace an attribute by one attribute per value, in its place.
+
+    A column per value has to be part of the schema: ``values`` names those wanted, others
+    become unset.  Without it all values are looked up, which suits attributes of few values.
+    """
+    if values is None:
+        values = [r[0] for r in sdb.filter(F.col(attr).isNotNull()).select(attr).distinct().collect()]
     columns = []
     for a in attributes(sdb):
         if a == attr:
-            columns += [F.when(F.col(a) == v, F.col(a)) for v in sorted(r[0] for r in found)]
+            columns += [F.when(F.col(a) == v, F.col(a)) for v in sorted(values)]
         else:
             columns.append(F.col(a))
     return sdb.select("stream_id", "pos", *[c.alias(f"a{i}") for i, c in enumerate(columns)])

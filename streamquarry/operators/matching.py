@@ -27,19 +27,31 @@ from streamquarry.plans.workspace import BROADCAST_ROWS, broadcast_if_small, mat
 
 # Terms joined in one plan before the matches so far are written.
 TERMS_PER_PLAN = 6
-MAX_LISTED_QUERIES = 10_000
 # Parts a query table too large to broadcast is repeated in, against hot values.
 SALTS = 16
 
 
 @dataclass
 class _Options:
-    keep_all: bool = False  # every end position, not only the earliest
+    every: bool = False  # every match, not one per end
     positions: bool = False
     gaps: bool = False
     forbidden: bool = False
     span: bool = False
 
+    @property
+    def windows(self) -> bool:
+        """With windows a later end can go on where the earliest cannot."""
+        return self.gaps or self.forbidden or self.span
+
+
+def _options_of(qs: DataFrame, positions: bool = False, every: bool = False) -> _Options:
+    """Options with the conditions that the query table brings."""
+    return _Options(
+        every=every, positions=positions, gaps="gaps" in qs.columns,
+        forbidden="gap_forbidden" in qs.columns, span="span" in qs.columns,
+    )
+
 
 def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
     """Queries in normal form; windows move along with dropped terms.
@@ -68,7 +80,7 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
         """transform(terms, (t, i) -> size(array_distinct(filter(
                flatten(slice(terms, 1, i)), s -> s.kind = 'var')))) AS n_before""",
     )
-    return materialize(prepared.filter("n_terms > 0"), "queries")
+    return materialize(prepared, "queries")
 
 
 ANY_EVENT = "named_struct('d_attr', -1, 'd_key', '#')"
@@ -134,13 +146,16 @@ def _new_bindings(attrs: list[str]) -> str:
 def _reduce(df: DataFrame, options: _Options) -> DataFrame:
     """One row per state: the earliest end, or every end if windows ask for it."""
     keys = ["query_id", "stream_id", "b"]
-    if options.positions and options.keep_all:
+    if options.every:
         return df
+    ends = ["p", *(["p_first"] if options.span else [])]
+    if options.positions and options.windows:
+        return df.groupBy(*keys, *ends).agg(F.min("positions").alias("positions"))
     if options.positions:
         best = F.min(F.struct("p", "positions")).alias("_m")
         return df.groupBy(*keys).agg(best).select(*keys, "_m.p", "_m.positions")
-    if options.keep_all:
-        return df.select(*keys, "p", *(["p_first"] if options.span else [])).distinct()
+    if options.windows:
+        return df.select(*keys, *ends).distinct()
     return df.groupBy(*keys).agg(F.min("p").alias("p"))
 
 
@@ -237,6 +252,8 @@ def _match(
     events = _events_by_value(sdb, None if ends is None else size, options.forbidden)
     columns = _state_columns(options)
     results = []
+    if 0 in lengths:
+        results.append(_empty_matches(sdb, prepared.filter("n_terms = 0"), lengths.pop(0), options).select(*columns))
     for n_terms, n_queries in sorted(lengths.items()):
         group = prepared.filter(F.col("n_terms") == n_terms)
         state = _first_term(events, group, n_queries, attrs, options)
@@ -265,10 +282,25 @@ def _match(
     return reduce(DataFrame.unionByName, results)
 
 
+def _empty_matches(sdb: DataFrame, qs: DataFrame, n_queries: int, options: _Options) -> DataFrame:
+    """A query without conditions matches every stream, before its first event (``p`` is -1).
+
+    Its only gap bounds the number of events.  The result has a row per query and stream.
+    """
+    lasts = sdb.groupBy("stream_id").agg(F.max("pos").alias("_last"))
+    asked = qs.selectExpr("query_id", *(["gaps[0].lo AS _lo", "gaps[0].hi AS _hi"] if options.gaps else []))
+    pairs = lasts.join(broadcast_if_small(asked, n_queries), how="cross")
+    if options.gaps:
+        pairs = pairs.filter("_last + 1 >= _lo AND (_hi IS NULL OR _last + 1 <= _hi)")
+    return pairs.selectExpr(
+        "query_id", "stream_id", "CAST(array() AS ARRAY<STRING>) AS b", "-1 AS p",
+        "CAST(array() AS ARRAY<INT>) AS positions", "-1 AS p_first")
+
+
 def match_types(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
     """Type queries: ``query_id, stream_id, p``, the end of the earliest match."""
     types = qs.filter(nt.query_kind(F.col("terms")) == "type")
-    return _match(sdb, types, _Options(), max_pos).select("query_id", "stream_id", "p")
+    return _match(sdb, types, _options_of(qs), max_pos).groupBy("query_id", "stream_id").agg(F.min("p").alias("p"))
 
 
 def match(
@@ -285,14 +317,9 @@ def match(
     """
     if max_terms is not None:
         qs = qs.filter(F.size(drop_empty_terms(normal_terms(F.col("terms")))) <= max_terms)
-    options = _Options(
-        gaps="gaps" in qs.columns,
-        forbidden="gap_forbidden" in qs.columns,
-        span="span" in qs.columns,
-    )
-    options.keep_all = options.gaps or options.forbidden or options.span
+    options = _options_of(qs)
     found = _match(sdb, qs, options, max_pos)
-    if not options.keep_all:
+    if not options.windows:
         return found
     return found.groupBy("query_id", "stream_id", "b").agg(F.min("p").alias("p"))
 
@@ -343,26 +370,16 @@ def reached_length(sdb: DataFrame, supp: float = 1.0) -> int:
 
 
 def matched_streams(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
-    """``query_id, stream_id, matched`` for every query and stream.
+    """``query_id, stream_id``: the pairs that match.
 
-    The result has a row per pair by definition; query ids (few) are listed
-    with each stream.
+    All other pairs do not match; ``support`` counts the streams of each query.
     """
-    ids = [r[0] for r in qs.select("query_id").distinct().limit(MAX_LISTED_QUERIES + 1).collect()]
-    if len(ids) > MAX_LISTED_QUERIES:
-        raise ValueError(f"more than {MAX_LISTED_QUERIES} queries; use match() for matched pairs")
-    hits = match(sdb, qs, max_pos).select("query_id", "stream_id").distinct()
-    every = sdb.filter(F.col("pos") == 0).select(
-        "stream_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in sorted(ids)])).alias("query_id")
-    )
-    return every.join(hits.withColumn("_hit", F.lit(True)), ["query_id", "stream_id"], "left").select(
-        "query_id", "stream_id", F.coalesce("_hit", F.lit(False)).alias("matched")
-    )
+    return match(sdb, qs, max_pos).select("query_id", "stream_id").distinct()
 
 
 def witness(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
     """The first match of each query and stream: end ``p``, positions of all terms, bindings."""
-    found = _match(sdb, qs, _Options(positions=True), max_pos)
+    found = _match(sdb, qs, _options_of(qs, positions=True), max_pos)
     first = F.min(F.struct("p", "positions", "b")).alias("_m")
     return found.groupBy("query_id", "stream_id").agg(first).select(
         "query_id", "stream_id", "_m.p", "_m.positions", "_m.b"
@@ -375,7 +392,7 @@ def instances(
     """All matches as ``query_id, stream_id, positions, b``, optionally of chosen streams only."""
     if streams is not None:
         sdb = sdb.join(streams.select("stream_id").distinct(), "stream_id", "left_semi")
-    options = _Options(keep_all=True, positions=True)
+    options = _options_of(qs, positions=True, every=True)
     return _match(sdb, qs, options, max_pos).select("query_id", "stream_id", "positions", "b")
 
 

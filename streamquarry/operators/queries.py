@@ -213,7 +213,8 @@ def dedupe_queries(qs: DataFrame) -> DataFrame:
     )
 
 
-MAX_EQUAL_SYMBOLS = 24
+# Subsets of equal symbols are made as rows, so many bits at a time.
+MASK_BITS = 12
 
 
 def generalisations(qs: DataFrame) -> DataFrame:
@@ -221,8 +222,8 @@ def generalisations(qs: DataFrame) -> DataFrame:
 
     Steps: blank one symbol; replace two or more equal values of an attribute by
     a new variable; give 2..m-2 of m occurrences of a variable a new name.
-    A query with more than ``MAX_EQUAL_SYMBOLS`` equal symbols fails, as its
-    generalisations are exponentially many.
+    Their number is exponential in the equal symbols of a query by definition; they are made
+    row by row.
     """
     base = qs.select("query_id", normal_terms(F.col("terms")).alias("terms")).withColumn(
         "terms", drop_empty_terms(F.col("terms"))
@@ -245,18 +246,21 @@ def generalisations(qs: DataFrame) -> DataFrame:
     groups = groups.select(
         "query_id", "terms", "_g", members.alias("_at"),
         F.size(F.array_distinct(nt.variables(F.col("terms")))).alias("_n_vars"),
-    ).withColumn("_m", F.when(F.size("_at") <= MAX_EQUAL_SYMBOLS, F.size("_at")).otherwise(
-        F.raise_error(F.lit("too many equal symbols to generalise"))
-    ))
+    ).withColumn("_m", F.size("_at"))
     one = groups.select("*", F.explode("_at").alias("_t")).select(
         "*", F.array("_t").alias("_chosen"), nt.any_symbol().alias("_new")
     ).drop("_t")
     n_bits = F.bit_count(F.col("_mask"))
     upper = F.when(F.col("_g.kind") == "val", F.col("_m")).otherwise(F.col("_m") - 2)
+    masks = groups.filter(F.col("_m") >= F.when(F.col("_g.kind") == "val", 2).otherwise(4)).withColumn(
+        "_mask", F.lit(0).cast("bigint"))
+    for shift in range(0, 63, MASK_BITS):
+        bits = F.expr(f"greatest(0, least({min(MASK_BITS, 63 - shift)}, _m - {shift}))")
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1))
+        masks = masks.withColumn("_part", part).withColumn(
+            "_mask", F.col("_mask") + F.shiftleft("_part", shift)).drop("_part")
     many = (
-        groups.filter(F.col("_m") >= F.when(F.col("_g.kind") == "val", 2).otherwise(4))
-        .withColumn("_mask", F.explode(F.sequence(F.lit(1).cast("bigint"), F.expr("shiftleft(1L, _m) - 1"))))
-        .filter((n_bits >= 2) & (n_bits <= upper))
+        masks.filter((n_bits >= 2) & (n_bits <= upper))
         .withColumn("_chosen", F.filter(
             "_at", lambda t, i: F.call_function("getbit", F.col("_mask"), i) == 1
         ))

@@ -24,10 +24,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import count
+from threading import Lock
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamquarry.functions.columns import attributes, threshold
@@ -120,7 +120,7 @@ class Growth:
             self.sdb, self.needed, self.max_pos, use_values, use_variables
         )
         self.use_values, self.use_variables = use_values, use_variables
-        self._tags = count(1)
+        self._used, self._lock = 1, Lock()
 
     def close(self) -> None:
         self.index.rows.unpersist()
@@ -248,14 +248,34 @@ class Growth:
             for a in range(self.n_attrs)
         ]
         return grown.filter(" AND ".join(closable)).selectExpr(
-            "*", f"{next(self._tags) << 47}L + monotonically_increasing_id() AS qid"
+            "*", "spark_partition_id() AS _part", "monotonically_increasing_id() AS _place"
         ).withColumnsRenamed({"_parent": "parent", "_sym": "sym"})
 
+    def _numbered(self, described: DataFrame, columns: list[str], label: str) -> DataFrame:
+        """Write the queries of a level with dense ids, following those of all levels before.
+
+        Partitions are counted once they are written, so ids fit whatever their number is.
+        """
+        rest = [c for c in columns if c != "qid"]
+        written = materialize(described.select(*rest, "_part", "_place"), f"{label}-found")
+        first = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_least"))
+        n_queries = written.count()
+        with self._lock:
+            base, self._used = self._used, self._used + n_queries
+        # a row per partition
+        before = parts.select("_part", "_least", (F.coalesce(first, F.lit(0)) + base).alias("_first"))
+        return materialize(
+            written.join(F.broadcast(before), "_part")
+            .withColumn("qid", F.expr("_first + _place - _least")).select(columns),
+            f"{label}-queries",
+        )
+
     def _finish(
         self, emitted: DataFrame, described: DataFrame, columns: list[str], label: str
     ) -> Level:
         """Write the queries of a level and, if any can grow, their matches."""
-        meta = materialize(described.select(columns), f"{label}-queries")
+        meta = self._numbered(described, columns, label)
         flags = self._flags(meta)
         size = meta.join(flags, "qid").agg(
             F.count(F.lit(1)), F.max(F.size("var_attr")),

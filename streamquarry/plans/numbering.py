@@ -48,7 +48,7 @@ def _place(window: Window) -> Column:
 
 
 def _number_by_window(df, keys, order_by, out):
-    return df.withColumn(out, _place(Window.partitionBy(*keys).orderBy(*order_by)).cast("int"))
+    return df.withColumn(out, _place(Window.partitionBy(*keys).orderBy(*order_by)).cast("bigint"))
 
 
 def _number_by_range(df, keys, order_by, out, n_ranges):

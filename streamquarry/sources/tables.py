@@ -29,6 +29,8 @@ def streams_from_table(
 ) -> DataFrame:
     """One stream per ``key``, its rows ordered by ``order_by`` (a total order).
 
+    Rows without a key form no stream.
+
     ``last=k`` keeps the last k events of each stream.  The ranking then has a
     limit per key, which Spark applies before the shuffle, so a key with very
     many rows sends only k of them per input task.
@@ -58,14 +60,14 @@ def streams_before_match(
     attrs: list[str | Column],
     seed: Column,
     n_before: int,
-    max_matches: int | None = 1000,
+    max_matches: int | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One stream per row that fulfils ``seed``: the ``n_before`` events before it.
 
-    Matches without any event before them give no stream.  The first
-    ``max_matches`` matches in the order ``order_by, key`` are numbered from 0;
-    with ``max_matches=None`` the stream id is the text ``key:pos``.  Windows
+    Rows without a key form no stream; matches without any event before them give none.
+    The stream id is the text ``key:pos``.  A caller may ask for the first ``max_matches``
+    matches in the order ``order_by, key`` only; these are numbered from 0.  Windows
     may overlap.  Every match lists the positions it needs, so the join is an
     equi join on ``(key, pos)`` and no key meets itself as a whole.
     """

@@ -83,7 +83,7 @@ def test_windows(make_db, make_queries, extra, want):
 def test_windows_in_chunks(make_db, make_queries, extra, want):
     df, _ = make_db({1: "a x b y b"})
     options = matching._Options(
-        keep_all=True, gaps="gaps" in extra, forbidden="gap_forbidden" in extra, span="span" in extra)
+        gaps="gaps" in extra, forbidden="gap_forbidden" in extra, span="span" in extra)
     found = matching._match(df, make_queries("a; b;", **extra), options, None, 2)
     assert sorted({r.p for r in found.collect()})[:1] == want
 
@@ -125,7 +125,7 @@ def test_support_update_and_matched(make_db, make_queries):
         start, qs, 2, df.filter("stream_id = 3"), df.filter("stream_id = 1").select("stream_id"))
     assert {r.query_id: r.n_streams for r in updated.collect()} == full
     pairs = sq.matched_streams(df, qs).collect()
-    assert len(pairs) == 12 and sum(r.matched for r in pairs if r.query_id == 1) == 2
+    assert len(pairs) == 11 and sum(r.query_id == 1 for r in pairs) == 2
 
 
 def test_containment(make_queries):
@@ -145,3 +145,70 @@ def test_containment(make_queries):
     steps = sq.generalisations(qs).collect()
     text = {i + 1: q for i, q in enumerate(queries)}
     assert all(brute.weaker(read(r.qstr), text[r.query_id]) for r in steps)
+
+
+def window_holds(stream, positions, gaps, forbidden, span):
+    """Do these positions keep to the windows of a query?"""
+    last = len(stream) - 1
+    between = [positions[0], *(b - a - 1 for a, b in zip(positions, positions[1:])), last - positions[-1]]
+    if gaps and not all(lo <= n and (hi < 0 or n <= hi) for n, (lo, hi) in zip(between, gaps)):
+        return False
+    if forbidden and any(
+        v in forbidden[i] for i, (a, b) in enumerate(zip(positions, positions[1:]))
+        for e in stream[a + 1 : b] for v in e if v is not None
+    ):
+        return False
+    return not span or positions[-1] - positions[0] + 1 <= span
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_everywhere(make_db, make_queries, seed):
+    rng = random.Random(seed)
+    text = {i: " ".join(",".join(rng.choice("abc") for _ in range(2)) for _ in range(rng.randint(2, 9))) for i in range(6)}
+    df, streams = make_db(text)
+    shapes = [("a;; b;;", [("a", None), ("b", None)]), ("$x0;; ;c; $x0;;", [(0, None), (None, "c"), (0, None)]),
+              (";$x0; ;$x0;", [(None, 0), (None, 0)])]
+    n = [len(q) for _, q in shapes]
+    extra = {
+        "gaps": [[(rng.randint(0, 1), rng.choice([-1, 2, 3])) for _ in range(k + 1)] for k in n],
+        "gap_forbidden": [[rng.sample("abc", rng.randint(0, 1)) for _ in range(k - 1)] for k in n],
+        "span": [rng.choice([-1, k + 1, k + 3]) for k in n],
+    }
+    for names in (["gaps"], ["gap_forbidden"], ["span"], ["gaps", "span"], ["gaps", "gap_forbidden", "span"]):
+        own = {c: extra[c] for c in names}
+        qs = make_queries(*[t for t, _ in shapes], **own)
+        want = {}
+        for q, (_, query) in enumerate(shapes):
+            for s, events in streams.items():
+                found = [pos for pos, _ in brute.matches(query, events) if window_holds(
+                    events, pos, own.get("gaps", [None] * 3)[q], own.get("gap_forbidden", [None] * 3)[q],
+                    max(0, own.get("span", [0] * 3)[q]))]
+                if found:
+                    want[q + 1, s] = found
+        got = {}
+        for r in sq.instances(df, qs).collect():
+            got.setdefault((r.query_id, r.stream_id), []).append(tuple(r.positions))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+        first = {(r.query_id, r.stream_id): (r.p, tuple(r.positions)) for r in sq.witness(df, qs).collect()}
+        assert first == {k: min((pos[-1], pos) for pos in v) for k, v in want.items()}
+        types = {(r.query_id, r.stream_id): r.p for r in sq.match_types(df, qs).collect()}
+        assert types == {k: min(pos[-1] for pos in v) for k, v in want.items() if k[0] == 1}
+
+
+def test_query_without_conditions_matches_every_stream(make_db, make_queries):
+    df, _ = make_db({1: "a", 2: "a b", 3: "b b b"})
+    qs = make_queries("$x0;", "$x1; $x2;", "b;")
+    assert {r.query_id: r.n_streams for r in sq.support(df, qs).collect()} == {1: 3, 2: 3, 3: 2}
+    qs = make_queries("$x0;", "$x0; $x1;", gaps=[[(0, -1), (0, 1)], [(0, -1), (0, 0), (1, -1)]])
+    assert {r.query_id: r.n_streams for r in sq.support(df, qs).collect()} == {1: 3, 2: 1}
+
+
+def test_lookup_with_two_rows_for_a_value(make_db, spark):
+    df, _ = make_db({1: "a b a"})
+    mapping = spark.createDataFrame([("a", "q"), ("a", "p"), ("c", "z")], "val string, mapped string")
+    assert [r.a0 for r in sq.map_values(df, "a0", mapping).orderBy("pos").collect()] == ["p", "b", "p"]
+
+
+def test_generalisations_of_many_equal_symbols(make_queries):
+    qs = make_queries(" ".join(["a;"] * 14))
+    assert sq.generalisations(qs).count() > 500
