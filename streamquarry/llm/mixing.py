@@ -59,10 +59,15 @@ def _probabilities(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _scores(weights, bias, flat, bounds):
-    scale = 1 / np.sqrt(np.maximum(1, np.diff(bounds)))[:, None]
-    sums = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[flat], axis=0, dtype=np.float64)])
-    return (sums[bounds[1:]] - sums[bounds[:-1]]) * scale + bias
+def _scores(weights, bias, flat, doc, scale, n_texts):
+    """Scores per text; ``doc`` and ``scale`` are the text of each feature and its weight there."""
+    sums = [np.bincount(doc, weights[flat, k] * scale, n_texts) for k in range(weights.shape[1])]
+    return np.stack(sums, axis=1) + bias
+
+
+def _places(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(bounds)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), np.repeat(1 / np.sqrt(np.maximum(1, n)), n)
 
 
 def fit_classifier(labelled: pa.Table, n_domains: int, rounds: int = 100, rate: float = 8.0, decay: float = 1e-5):
@@ -73,13 +78,12 @@ def fit_classifier(labelled: pa.Table, n_domains: int, rounds: int = 100, rate:
     lists = labelled["features"].combine_chunks()
     flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
     wanted = np.eye(n_domains)[labelled["domain"].to_numpy()]
-    scale = np.repeat(1 / np.sqrt(np.maximum(1, np.diff(bounds))), np.diff(bounds))
-    doc = np.repeat(np.arange(len(wanted)), np.diff(bounds))
+    doc, scale = _places(bounds)
     w_before, b_before = weights, bias
     for t in range(rounds):
         ahead = t / (t + 3)
         w, b = weights + ahead * (weights - w_before), bias + ahead * (bias - b_before)
-        error = (_probabilities(_scores(w, b, flat, bounds)) - wanted) / len(wanted)
+        error = (_probabilities(_scores(w, b, flat, doc, scale, len(wanted))) - wanted) / len(wanted)
         grad = np.stack([np.bincount(flat, scale * error[doc, k], 1 << FEATURE_BITS) for k in range(n_domains)], axis=1)
         w_before, b_before = weights, bias
         weights, bias = w - rate * (grad + decay * w), b - rate * error.sum(axis=0)
@@ -97,7 +101,7 @@ def _classified(model, n_domains: int):
             for start, end, data, offsets in pieces(batch.column(1)):
                 lists = _features(data, offsets)
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-                p = _probabilities(_scores(weights, bias, np.concatenate(lists) if lists else np.empty(0, np.int32), bounds))
+                p = _probabilities(_scores(weights, bias, np.concatenate(lists), *_places(bounds), len(lists)))
                 tokens = np.diff(word_hashes(data, offsets).bounds) + 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), pa.array(tokens), *(pa.array(p[:, k]) for k in range(n_domains))],
