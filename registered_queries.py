@@ -229,6 +229,16 @@ def q_support_of_empty_query(spark, sf_dir):
     return sq.support(event_streams(spark, sf_dir), query_table(spark, "$x0;;", ";$x1; ;$x2;", "click;; error;;"))
 
 
+def q_streams_before_pair(spark, sf_dir):
+    qs = query_table(spark, "error;; error;;", "$x0;; signup;; $x0;;", extra={"gaps": [[(0, 2)], [(0, 1), (0, 1)]]})
+    return sq.streams_before_query(event_streams(spark, sf_dir), qs, 4)
+
+
+def q_streams_before_span(spark, sf_dir):
+    qs = query_table(spark, "click;; error;; view;;", extra={"span": [5]})
+    return sq.streams_before_query(event_streams(spark, sf_dir), qs, 3)
+
+
 def q_update_support(spark, sf_dir):
     streams = event_streams(spark, sf_dir)
     qs = query_table(spark, *MIXED_QUERIES)
@@ -297,6 +307,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "streams_before_match": q_streams_before_match,
         "streams_before_every_match": q_streams_before_every_match,
         "streams_before_first_matches": q_streams_before_first_matches,
+        "streams_before_query_pair": q_streams_before_pair,
+        "streams_before_query_span": q_streams_before_span,
         "keep_last": on(orders, lambda s: sq.keep_last(s, 4)),
         "drop_longer_than": on(orders, lambda s: sq.drop_longer_than(s, 9)),
         "require_values": on(orders, lambda s: sq.require_values(s, ["F", "1-URGENT", "5-LOW"])),

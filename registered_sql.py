@@ -95,6 +95,12 @@ FIRST_OF_TWO = """SELECT query_id, stream_id, p, p1 || ',' || p AS positions, b
 EARLIEST = "SELECT query_id, stream_id, b, min(p) AS p FROM m GROUP BY query_id, stream_id, b"
 
 
+def before_end(n: int) -> str:
+    return f"""SELECT m.query_id || ':' || m.stream_id || ':' || m.p AS stream_id,
+      CAST(e.pos - greatest(m.p - {n}, 0) AS INT) AS pos, e.a0, e.a1
+      FROM m JOIN ev e ON e.stream_id = m.stream_id AND e.pos >= m.p - {n} AND e.pos < m.p"""
+
+
 def support(n_queries: int) -> str:
     return f"""
   SELECT CAST(q.query_id AS BIGINT) AS query_id, count(DISTINCT m.stream_id) AS n_streams,
@@ -302,6 +308,14 @@ d AS (
         "streams_before_every_match": ev(
             before.format(id="id", n=3, cols="e.a0"),
             "m AS (SELECT *, stream_id || ':' || plc AS id FROM ev_all WHERE a0 = 'purchase' AND plc > 0)"),
+        "streams_before_query_pair": ev(before_end(4), f"""m AS (
+            SELECT DISTINCT 1 AS query_id, a.stream_id, b.pos AS p FROM {TWO}
+            WHERE a.a0 = 'error' AND b.a0 = 'error' AND b.pos - a.pos - 1 BETWEEN 0 AND 2
+            UNION SELECT 2, a.stream_id, c.pos FROM {THREE}
+            WHERE a.a0 = c.a0 AND b.a0 = 'signup' AND b.pos - a.pos - 1 <= 1 AND c.pos - b.pos - 1 <= 1)"""),
+        "streams_before_query_span": ev(before_end(3), f"""m AS (
+            SELECT DISTINCT 1 AS query_id, a.stream_id, c.pos AS p FROM {THREE}
+            WHERE a.a0 = 'click' AND b.a0 = 'error' AND c.a0 = 'view' AND c.pos - a.pos + 1 <= 5)"""),
         "keep_last": od("""SELECT stream_id, CAST(pos - greatest(n - 4, 0) AS INT) AS pos, a0, a1 FROM (
             SELECT *, count(*) OVER (PARTITION BY stream_id) AS n FROM ord) WHERE pos >= n - 4"""),
         "drop_longer_than": od("""SELECT stream_id, pos, a0, a1 FROM ord

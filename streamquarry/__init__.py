@@ -9,8 +9,8 @@ from streamquarry.operators.discovery import (
     discover_types, flag_descriptive, query_lattice, supported_queries,
 )
 from streamquarry.operators.matching import (
-    classify_queries, instances, match, match_types, matched_streams, reached_length, support,
-    support_of, supported, update_matches, update_support, weaker_than, witness,
+    classify_queries, instances, match, match_ends, match_types, matched_streams, reached_length,
+    streams_before_query, support, support_of, supported, update_matches, update_support, weaker_than, witness,
 )
 from streamquarry.operators.profiling import (
     alphabet, count_streams, database_profile, disjointness_score, length_distribution,

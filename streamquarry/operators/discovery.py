@@ -90,17 +90,8 @@ def discover(
     reach.  With ``descriptive_only=False`` all supported queries are returned,
     with a flag ``descriptive``.
     """
-    growth = Growth(sdb, supp, max_terms, max_variables)
-    return _result(growth, _grow(growth, strategy, inner), descriptive_only)
-
-
-def _result(growth: Growth, runs: list[Run], descriptive_only: bool) -> DataFrame:
-    found = materialize(_closed(growth, runs), "supported")
-    growth.close()
-    flagged = flag_descriptive(found)
-    if descriptive_only:
-        return flagged.filter("descriptive")
-    return flagged
+    flagged = flag_descriptive(supported_queries(sdb, supp, max_terms, strategy, inner, max_variables))
+    return flagged.filter("descriptive") if descriptive_only else flagged
 
 
 def supported_queries(
@@ -112,10 +103,8 @@ def supported_queries(
     max_variables: int | None = None,
 ) -> DataFrame:
     """All supported queries, without asking which of them are descriptive."""
-    growth = Growth(sdb, supp, max_terms, max_variables)
-    found = materialize(_closed(growth, _grow(growth, strategy, inner)), "supported")
-    growth.close()
-    return found
+    with Growth(sdb, supp, max_terms, max_variables) as growth:
+        return materialize(_closed(growth, _grow(growth, strategy, inner)), "supported")
 
 
 def discover_types(
@@ -123,51 +112,15 @@ def discover_types(
 ) -> DataFrame:
     """All supported type queries.
 
-    With ``max_items`` (a bound on values instead of terms) and no ``max_terms``
-    Spark's PrefixSpan does the work; otherwise the growth engine does.
+    ``max_items`` bounds the values of a query; it has no more terms than values.
     """
-    if max_terms is None and max_items is not None:
-        return _prefix_span(sdb, supp, max_items)
-    growth = Growth(sdb, supp, max_terms, use_variables=False)
-    found = materialize(_closed(growth, [growth.run(use_variables=False)]), "types")
-    growth.close()
-    return found
-
-
-def _prefix_span(sdb: DataFrame, supp: float, max_items: int) -> DataFrame:
-    from pyspark.ml.fpm import PrefixSpan
-
-    attrs = attributes(sdb)
-    items = F.array_compact(F.array(*[
-        F.when(F.col(a).isNotNull(), F.concat(F.lit(f"{i}="), F.col(a))) for i, a in enumerate(attrs)
-    ]))
-    # PrefixSpan takes one array per stream
-    sequences = (
-        sdb.select("stream_id", "pos", items.alias("items"))
-        .groupBy("stream_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "items"))).alias("events"))
-        .select(F.filter(F.col("events.items"), lambda e: F.size(e) > 0).alias("sequence"))
-    )
-    sequences = materialize(sequences, "sequences")
-    n_streams = sequences.count()
-    share = supp - 1e-9 if supp > 1e-9 else supp
-    mined = PrefixSpan(minSupport=share, maxPatternLength=max_items, sequenceCol="sequence")
-    found = mined.findFrequentSequentialPatterns(sequences)
-
-    def term(itemset):
-        def cell(a):
-            hit = F.filter(itemset, lambda s: F.startswith(s, F.lit(f"{a}=")))
-            value = F.substring(F.get(hit, F.lit(0)), len(f"{a}=") + 1, 1_000_000)
-            return F.when(F.size(hit) > 0, nt.symbol("val", value)).otherwise(nt.any_symbol())
-
-        return F.array(*[cell(a) for a in range(len(attrs))])
-
-    terms = F.transform("sequence", term).cast(nt.TERMS_TYPE)
-    return found.select(
-        F.monotonically_increasing_id().alias("query_id"), nt.format_terms(terms).alias("qstr"),
-        terms.alias("terms"), F.size("sequence").alias("n_terms"), F.lit("type").alias("kind"),
-        F.col("freq").alias("n_streams"), (F.col("freq") / n_streams).alias("support"),
-    )
+    if max_items is not None:
+        max_terms = min(max_items, max_terms or max_items)
+    with Growth(sdb, supp, max_terms, use_variables=False) as growth:
+        found = _closed(growth, [growth.run(use_variables=False)])
+        if max_items is not None:
+            found = found.filter(F.size(nt.values(F.col("terms"))) <= max_items)
+        return materialize(found, "types")
 
 
 def discover_patterns(
@@ -177,10 +130,8 @@ def discover_patterns(
     max_variables: int | None = None,
 ) -> DataFrame:
     """All supported pattern queries."""
-    growth = Growth(sdb, supp, max_terms, max_variables, use_values=False)
-    found = materialize(_closed(growth, [growth.run(use_values=False)]), "patterns")
-    growth.close()
-    return found
+    with Growth(sdb, supp, max_terms, max_variables, use_values=False) as growth:
+        return materialize(_closed(growth, [growth.run(use_values=False)]), "patterns")
 
 
 def flag_descriptive(qs: DataFrame) -> DataFrame:
@@ -237,20 +188,19 @@ def discover_by_templates(
     supp: float = 1.0,
     descriptive_only: bool = True,
 ) -> DataFrame:
-    """Template-first discovery: sequences of event templates, then equality constraints.
+    """Queries as a template-first miner finds them.
 
-    The sequences of values that enough streams share are found first; then
-    terms and places are linked by variables, keeping only queries whose values
-    form one of these sequences.  ``lossy`` wants at least one value in every
+    Without ``lossy`` the result is that of ``discover`` with the strategy ``separated``, which
+    runs: value sequences first, then variables.  ``lossy`` wants at least one value in every
     term, which is faster and misses queries with terms of variables only.
     """
-    growth = Growth(sdb, supp, max_terms, value_in_every_term=lossy)
-    if lossy:
+    if not lossy:
+        return discover(sdb, supp, max_terms, "separated", descriptive_only=descriptive_only)
+    with Growth(sdb, supp, max_terms, value_in_every_term=True) as growth:
         # a term made of variables so far may still get its value
-        runs = [growth.run()]
-    else:
-        runs = _separated(growth)
-    return _result(growth, runs, descriptive_only)
+        found = materialize(_closed(growth, [growth.run()]), "supported")
+    flagged = flag_descriptive(found)
+    return flagged.filter("descriptive") if descriptive_only else flagged
 
 
 def compare_query_sets(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ SALTS = 16
 @dataclass
 class _Options:
     every: bool = False  # every match, not one per end
+    all_ends: bool = False  # a match per end, also without windows
     positions: bool = False
     gaps: bool = False
     forbidden: bool = False
@@ -42,13 +43,15 @@ class _Options:
     @property
     def windows(self) -> bool:
         """With windows a later end can go on where the earliest cannot."""
-        return self.gaps or self.forbidden or self.span
+        return self.gaps or self.forbidden or self.span or self.all_ends
 
 
-def _options_of(qs: DataFrame, positions: bool = False, every: bool = False) -> _Options:
+def _options_of(
+    qs: DataFrame, positions: bool = False, every: bool = False, all_ends: bool = False
+) -> _Options:
     """Options with the conditions that the query table brings."""
     return _Options(
-        every=every, positions=positions, gaps="gaps" in qs.columns,
+        every=every, positions=positions, all_ends=all_ends, gaps="gaps" in qs.columns,
         forbidden="gap_forbidden" in qs.columns, span="span" in qs.columns,
     )
 
@@ -188,9 +191,10 @@ def _first_term(events, qs, n_queries, attrs, options) -> DataFrame:
 
 def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> DataFrame:
     terms = _asked(qs, t, len(attrs), options)
-    asked = _with_driver(
-        state.join(broadcast_if_small(terms, n_queries), "query_id"), len(attrs), bound=True
-    )
+    state = state.join(broadcast_if_small(terms, n_queries), "query_id")
+    if options.windows and not options.every:
+        state = _earliest_if_open(state, terms.columns, options)
+    asked = _with_driver(state, len(attrs), bound=True)
     upper = (["p + 1 + hi"] if options.gaps else []) + (["p_first + span - 1"] if options.span else [])
     upper = f"least({', '.join(upper)})" if len(upper) > 1 else (upper or ["CAST(NULL AS INT)"])[0]
     asked = asked.selectExpr(
@@ -217,6 +221,26 @@ def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> D
     return _reduce(hits, options)
 
 
+def _earliest_if_open(state: DataFrame, asked: list[str], options: _Options) -> DataFrame:
+    """Keep only the earliest end where nothing bounds the next term from above.
+
+    What can follow a later end can then follow the earliest one too, so a stream in which the
+    first term occurs often makes one row here and not one per occurrence.
+    """
+    bounds = (["hi IS NOT NULL"] if options.gaps else []) + (["span IS NOT NULL"] if options.span else []) + (
+        ["coalesce(size(forbidden), 0) > 0"] if options.forbidden else [])
+    own = f"IF({' OR '.join(bounds)}, p, -1)" if bounds else "-1"
+    keys = ["query_id", "stream_id", "b"]
+    kept = ["p", *(["positions"] if options.positions else []), *(["p_first"] if options.span else [])]
+    more = (["p_first"] if options.span else [])
+    rest = [c for c in asked if c != "query_id"]
+    state = state.selectExpr(*keys, *kept, *rest, f"{own} AS _own", *(
+        [f"IF({own} = -1, -1, p_first) AS _own_first"] if more else []))
+    grouped = state.groupBy(*keys, "_own", *(["_own_first"] if more else [])).agg(
+        F.min(F.struct(*kept)).alias("_m"), *[F.first(c).alias(c) for c in rest])
+    return grouped.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in kept], *rest)
+
+
 def _before_forbidden(asked, events, ends, size) -> DataFrame:
     """Bound ``_to`` by the next event after ``p`` that holds a forbidden value."""
     probes = asked.filter("size(forbidden) > 0").selectExpr(
@@ -324,6 +348,29 @@ def match(
     return found.groupBy("query_id", "stream_id", "b").agg(F.min("p").alias("p"))
 
 
+def match_ends(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
+    """``query_id, stream_id, p``: every position at which a match of the query ends."""
+    found = _match(sdb, qs, _options_of(qs, all_ends=True), max_pos)
+    return found.select("query_id", "stream_id", "p").filter("p >= 0").distinct()
+
+
+def streams_before_query(
+    sdb: DataFrame, qs: DataFrame, n_before: int, max_pos: int | None = None
+) -> DataFrame:
+    """One stream per match end of the seed queries ``qs``: the ``n_before`` events before it.
+
+    The stream id is the text ``query:stream:p``; ends without any event before them give none.
+    Every end lists the positions it needs, so events are joined by ``(stream_id, pos)``.
+    """
+    start = F.greatest(F.col("p") - n_before, F.lit(0))
+    wanted = match_ends(sdb, qs, max_pos).filter("p > 0").select(
+        "stream_id", F.concat_ws(":", "query_id", "stream_id", "p").alias("_id"), start.alias("_start"),
+        F.explode(F.sequence(start, F.col("p") - 1)).alias("pos"),
+    )
+    return wanted.join(sdb, ["stream_id", "pos"]).select(
+        F.col("_id").alias("stream_id"), (F.col("pos") - F.col("_start")).cast("int").alias("pos"), *attributes(sdb))
+
+
 def support_of(matches: DataFrame, qs: DataFrame, n_streams: int) -> DataFrame:
     """``query_id, n_streams, support`` for every query of ``qs``."""
     counts = (

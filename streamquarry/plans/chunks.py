@@ -18,6 +18,43 @@ def chunk_of(pos: Column, size: int = CHUNK) -> Column:
     return F.floor(F.greatest(pos, F.lit(0)) / F.lit(size)).cast("int")
 
 
+# Nodes of a binary tree over the chunks of a stream: node x of level l covers 2^l chunks from
+# x * 2^l on.  An interval is a few nodes per level, a position lies in one node of each level.
+_NODE_LEVEL = 40  # bits below the level in the number of a node
+
+
+def chunk_levels(max_pos: int, size: int) -> int:
+    """Levels above the chunks themselves that intervals up to ``max_pos`` can use."""
+    return max(0, (max_pos // size).bit_length())
+
+
+def covering_nodes(first: Column, last: Column, levels: int) -> Column:
+    """The fewest nodes that together cover the chunks ``first`` to ``last``."""
+
+    def of_level(level: Column) -> Column:
+        def inside(x: Column, above: int) -> Column:
+            width = F.pow(F.lit(2), level + above).cast("bigint")
+            return (x * width >= first) & ((x + 1) * width - 1 <= last)
+
+        width = F.pow(F.lit(2), level).cast("bigint")
+        lowest = F.ceil(first / width)
+        highest = F.floor((last + 1) / width) - 1
+        ends = F.filter(
+            F.array_distinct(F.array(lowest, highest)),
+            lambda x: (lowest <= highest) & inside(x, 0) & ~inside(F.floor(x / 2), 1),
+        )
+        return F.transform(ends, lambda x: level.cast("bigint") * (1 << _NODE_LEVEL) + x)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level))
+
+
+def nodes_of(chunk: Column, levels: int) -> Column:
+    """The node of each level that holds a chunk."""
+    return F.array(*[
+        F.lit(level << _NODE_LEVEL) + F.floor(chunk / (1 << level)) for level in range(levels + 1)
+    ])
+
+
 def stream_ends(sdb: DataFrame) -> DataFrame:
     """One row per stream with its last position (partial aggregation first)."""
     return sdb.groupBy("stream_id").agg(F.max("pos").alias("last_pos"))

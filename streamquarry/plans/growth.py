@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from streamquarry.functions.columns import attributes, threshold
 from streamquarry.functions.notation import TERMS_TYPE
-from streamquarry.plans.chunks import chunk_of
+from streamquarry.plans.chunks import chunk_of, nodes_of
 from streamquarry.plans.occurrences import INDEX_CHUNK, OccurrenceIndex, build_index
-from streamquarry.plans.workspace import broadcast_if_small, materialize
+from streamquarry.plans.workspace import broadcast_if_small, delete_steps, write_step
 
 VALUE, NEW, KNOWN = 0, 1, 2
 META = ["qid", "parent", "sym", "n_streams", "k", "last_attr", "terms", "var_attr", "var_count",
@@ -106,8 +106,10 @@ class Growth:
         use_variables: bool = True,
         value_in_every_term: bool = False,
     ):
+        self._used, self._lock, self._paths = 1, Lock(), []
+        self.index: OccurrenceIndex | None = None
         self.n_attrs = len(attributes(sdb))
-        self.sdb = materialize(sdb.select("stream_id", "pos", *attributes(sdb)), "streams")
+        self.sdb = self._write(sdb.select("stream_id", "pos", *attributes(sdb)), "streams")
         size = self.sdb.agg(
             F.sum((F.col("pos") == 0).cast("int")), F.max("pos")
         ).first()
@@ -116,14 +118,29 @@ class Growth:
         self.max_terms = max_terms or self._reached_length()
         self.max_variables = max_variables
         self.value_in_every_term = value_in_every_term
-        self.index: OccurrenceIndex = build_index(
-            self.sdb, self.needed, self.max_pos, use_values, use_variables
+        self.index = build_index(
+            self.sdb, self.needed, self.max_pos, use_values, use_variables, self._write
         )
         self.use_values, self.use_variables = use_values, use_variables
-        self._used, self._lock = 1, Lock()
+
+    def _write(self, df: DataFrame, label: str) -> DataFrame:
+        written, path = write_step(df, label)
+        with self._lock:
+            self._paths.append(path)
+        return written
+
+    def __enter__(self) -> Growth:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def close(self) -> None:
-        self.index.rows.unpersist()
+        """Forget the index and delete what the levels have written."""
+        if self.index is not None:
+            self.index.rows.unpersist()
+        delete_steps(self.sdb.sparkSession, self._paths)
+        self._paths = []
 
     def _reached_length(self) -> int:
         """The longest length that enough streams reach.
@@ -184,7 +201,8 @@ class Growth:
             .selectExpr("qid", "stream_id", "b", "_at.*")
         )
         if "chunk" in self.index.join_keys:
-            probe = probe.withColumn("chunk", chunk_of(F.col("p0"), INDEX_CHUNK))
+            probe = probe.withColumn("chunk", F.explode(
+                nodes_of(chunk_of(F.col("p0"), INDEX_CHUNK), self.index.levels)))
         joined = probe.join(rows, self.index.join_keys).filter("p0 >= lo AND p0 < pos")
         symbols = []
         if use_values:
@@ -257,7 +275,7 @@ class Growth:
         Partitions are counted once they are written, so ids fit whatever their number is.
         """
         rest = [c for c in columns if c != "qid"]
-        written = materialize(described.select(*rest, "_part", "_place"), f"{label}-found")
+        written = self._write(described.select(*rest, "_part", "_place"), f"{label}-found")
         first = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
         parts = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_least"))
         n_queries = written.count()
@@ -265,7 +283,7 @@ class Growth:
             base, self._used = self._used, self._used + n_queries
         # a row per partition
         before = parts.select("_part", "_least", (F.coalesce(first, F.lit(0)) + base).alias("_first"))
-        return materialize(
+        return self._write(
             written.join(F.broadcast(before), "_part")
             .withColumn("qid", F.expr("_first + _place - _least")).select(columns),
             f"{label}-queries",
@@ -293,7 +311,7 @@ class Growth:
             "_new AS qid", "stream_id",
             f"IF((sym div 2) % 3 = {NEW}, concat(b, array(bc)), b) AS b", "p0", "pre", "pos AS p",
         )
-        return Level(meta, n_queries, n_known, materialize(grown, f"{label}-state"))
+        return Level(meta, n_queries, n_known, self._write(grown, f"{label}-state"))
 
     # -- runs --------------------------------------------------------------
 
@@ -382,7 +400,7 @@ class Growth:
                 run.levels.append(empty)
                 continue
             meta, state = _union(metas), _union(states).select(*STATE)
-            allowed = materialize(self._allowed(meta, tree, n_tree), "allowed")
+            allowed = self._write(self._allowed(meta, tree, n_tree), "allowed")
             n_allowed = allowed.count()
             emitted = _join_small(
                 self._emit(state, self._flags(meta, attr is None), n_meta, n_known, rows),

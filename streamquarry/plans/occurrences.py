@@ -13,6 +13,7 @@ many distinct values the database has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from streamquarry.functions.columns import attributes, cells
-from streamquarry.plans.chunks import chunk_of
+from streamquarry.plans.chunks import chunk_levels, chunk_of, covering_nodes
 from streamquarry.plans.spans import join_spans, value_spans
 from streamquarry.plans.workspace import broadcast_if_small, materialize
 
@@ -45,6 +46,7 @@ class OccurrenceIndex:
     n_attrs: int
     packed: bool
     join_keys: list[str]
+    levels: int
 
     @property
     def empty_item_set(self) -> str:
@@ -55,7 +57,8 @@ class OccurrenceIndex:
 
 
 def build_index(
-    sdb: DataFrame, needed: int, max_pos: int, use_values: bool = True, use_variables: bool = True
+    sdb: DataFrame, needed: int, max_pos: int, use_values: bool = True, use_variables: bool = True,
+    write: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> OccurrenceIndex:
     """Index the cells that can matter: supported values, and values that repeat in their stream."""
     n_attrs = len(attributes(sdb))
@@ -65,7 +68,7 @@ def build_index(
     spans = value_spans(found)
     # A supported value needs `needed` streams: their number is bounded by the
     # cells per stream and the support, not by the size of the database.
-    values = materialize(
+    values = write(
         spans.groupBy("attr", "val").agg(F.count(F.lit(1)).alias("_n"))
         .filter((F.col("_n") >= needed) & F.lit(use_values))
         .select(F.monotonically_increasing_id().alias("vid"), "attr", "val"),
@@ -91,7 +94,7 @@ def build_index(
     # at most one item per attribute and event
     events = coded.groupBy("stream_id", "pos").agg(F.sort_array(F.collect_list("item")).alias("items"))
     keys = ["stream_id", "pre"] + (["chunk"] if max_pos >= INDEX_CHUNK else [])
-    index = OccurrenceIndex(events, values, n_values, n_attrs, packed, keys)
+    index = OccurrenceIndex(events, values, n_values, n_attrs, packed, keys, chunk_levels(max_pos, INDEX_CHUNK))
     prefixes = f"""aggregate(
         slice(items, 1, i), array({index.empty_item_set}),
         (done, c) -> concat(done, transform(done, s -> {index.with_value('s', 'c.key')})))"""
@@ -124,7 +127,8 @@ def _intervals(item_sets: DataFrame, max_pos: int) -> DataFrame:
         "lo", F.lag("_end", 1, -1).over(Window.partitionBy(*same).orderBy("chunk"))
     )
     rest = placed.filter(F.col("lo").isNotNull())
-    served = F.sequence(
-        chunk_of(F.col("lo"), INDEX_CHUNK), chunk_of(F.col("pos") - 1, INDEX_CHUNK)
+    served = covering_nodes(
+        chunk_of(F.col("lo"), INDEX_CHUNK), chunk_of(F.col("pos") - 1, INDEX_CHUNK),
+        chunk_levels(max_pos, INDEX_CHUNK),
     )
     return heads.unionByName(rest).drop("_end").withColumn("chunk", F.explode(served))

@@ -27,12 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with a fresh plan."""
+def write_step(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back with a fresh plan; also the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` written and read back; the folder stays as long as the shared folder does."""
+    return write_step(df, label)[0]
+
+
+def delete_steps(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``write_step`` has made, wherever the shared folder lies."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:

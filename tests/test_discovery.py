@@ -124,3 +124,52 @@ def test_lattice_and_comparison(make_db):
     assert best == strings(sq.descriptive(qs)) == ["a; a; b;"]
     row = sq.compare_query_sets(sq.descriptive(qs), qs).first()
     assert (row.true_positives, row.false_positives, row.misses) == (1, 0, qs.count() - 1)
+
+
+def test_nodes_cover_intervals_once(spark):
+    from pyspark.sql import functions as F
+
+    from streamquarry.plans.chunks import chunk_levels, covering_nodes, nodes_of
+
+    levels = chunk_levels(40, 1)
+    pairs = [(a, b) for a in range(0, 40, 3) for b in range(a, 41, 2)]
+    df = spark.createDataFrame(pairs, "a int, b int").withColumn("n", covering_nodes(F.col("a"), F.col("b"), levels))
+    at = {r.c: set(r.n) for r in spark.range(41).select(F.col("id").alias("c"), nodes_of(F.col("id"), levels).alias("n")).collect()}
+    for r in df.collect():
+        assert len(set(r.n)) == len(r.n) <= 2 * (levels + 1)
+        assert all(len(at[c] & set(r.n)) == (r.a <= c <= r.b) for c in range(41))
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_index_grows_with_the_events(spark, n):
+    import random
+
+    from streamquarry.plans.occurrences import build_index
+
+    values = [str(i % (n // 2)) for i in range(n)]
+    random.Random(n).shuffle(values)
+    sdb = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "stream_id bigint, pos int, a0 string")
+    assert build_index(sdb, 1, n - 1).rows.count() <= 12 * n
+
+
+def test_written_levels_are_deleted(spark, make_db):
+    import os
+
+    df, _ = make_db({1: "a b a", 2: "b a a"})
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = {x for x in os.listdir(folder) if x.startswith("level") or x.startswith("streams") or x.startswith("values")}
+    found = sq.discover(df, 1.0)
+    after = {x for x in os.listdir(folder) if x.startswith("level") or x.startswith("streams") or x.startswith("values")}
+    assert after == before and found.count() > 0
+
+
+def test_ids_of_queries_do_not_depend_on_partitions(spark, make_db):
+    df, _ = make_db({1: "a,x b,y a,x", 2: "b,y a,x a,x"})
+    many = df.repartition(97)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = [r.query_id for r in sq.supported_queries(many, 1.0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(set(ids)) == len(ids) and max(ids) < 100_000
+    assert {r.qstr for r in sq.supported_queries(df, 1.0).collect()} == {r.qstr for r in sq.supported_queries(many, 1.0).collect()}
