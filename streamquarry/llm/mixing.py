@@ -31,7 +31,7 @@ from streamquarry.llm.textarrays import mix, pieces, word_edges, word_hashes
 DOMAINS = ["clean", "junk", "toxic"]
 WEIGHTS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 FEATURE_BITS = 16
-SAMPLE = 4096  # labelled documents the classifier is fitted on, at most
+SAMPLE = 2048  # labelled documents the classifier is fitted on, at most
 
 
 def _features(data, offsets) -> list[np.ndarray]:
@@ -126,7 +126,7 @@ def with_domains(docs: DataFrame, labels: DataFrame, carry: list[str], id_col="d
         _classified(model, len(DOMAINS)), f"row {schema}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 1e-6):
+def fit_rates(members: DataFrame, weights: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 1e-5):
     """Vectors that take the rate from 1 to the solution; see ``rate_of``.
 
     ``members`` has ``n_tokens`` and the probabilities.  Without ``total`` the wanted tokens are

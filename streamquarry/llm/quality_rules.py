@@ -7,8 +7,9 @@ documents.  The posterior probability of being good then decides, so a document
 dislikes can stay and one that passes most rules narrowly can go.
 
 Everything but the votes is a function of the pattern of votes.  Documents are counted per
-pattern with map-side aggregation, at most ``3 ** len(RULES)`` rows; the iterations run on
-those counts, each as one small job, and the posterior is an expression over the votes.
+pattern with map-side aggregation, at most ``3 ** len(RULES)`` rows whatever the number of
+documents; the iterations are arithmetic on those counts, and the posterior is an expression
+over the votes.
 
 Null texts count as empty; empty and short texts fail the base rule.  Empty tables give empty
 results.  Ids are carried along as they are, repeated or null; other columns are not read.
@@ -136,26 +137,30 @@ def posterior(model: dict) -> Column:
 def fit(patterns: DataFrame, iterations: int = 40, tolerance: float = 1e-7) -> dict:
     """Estimate the share of good documents and each rule's vote probabilities by EM.
 
-    ``patterns`` has the vote columns and ``n``.  The start says only that rules are better
-    than chance.  One document is added to each count, so no probability becomes 0.
+    ``patterns`` has the vote columns and ``n``, a row per pattern.  The start says only that
+    rules are better than chance.  One document is added to each count, so no probability
+    becomes 0.
     """
+    counts = sorted((tuple(r[v] for v in VOTES), r["n"]) for r in patterns.collect())
     model = {
         "prior": 0.7,
         "good": [{1: 0.78, 0: 0.2, -1: 0.02} for _ in RULES],
         "bad": [{1: 0.3, 0: 0.3, -1: 0.4} for _ in RULES],
     }
-    g, b = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-    sums = [F.sum(g).alias("good"), F.sum(b).alias("bad")] + [
-        F.sum(F.when(F.col(v) == k, x)).alias(f"{side}_{v}_{k}")
-        for v in VOTES for k in (1, 0, -1) for side, x in (("good", g), ("bad", b))
-    ]
     for _ in range(iterations):
-        got = patterns.withColumn("p", posterior(model)).coalesce(1).agg(*sums).first()  # one row
-        good, bad = got["good"] or 0.0, got["bad"] or 0.0
+        sides = {"good": [], "bad": []}
+        for votes, n in counts:
+            odds = model["prior"] / (1 - model["prior"])
+            for v, g, b in zip(votes, model["good"], model["bad"], strict=True):
+                odds *= g[v] / b[v]
+            sides["good"].append(n * odds / (1 + odds))
+            sides["bad"].append(n / (1 + odds))
+        totals = {side: sum(weights) for side, weights in sides.items()}
         last, model = model, {
-            "prior": min(max((good + 1) / (good + bad + 2), 1e-6), 1 - 1e-6),
-            **{side: [{k: ((got[f"{side}_{v}_{k}"] or 0.0) + 1) / (total + 3) for k in (1, 0, -1)} for v in VOTES]
-               for side, total in (("good", good), ("bad", bad))},
+            "prior": min(max((totals["good"] + 1) / (sum(totals.values()) + 2), 1e-6), 1 - 1e-6),
+            **{side: [
+                {k: (sum(w for w, (votes, _) in zip(weights, counts, strict=True) if votes[i] == k) + 1) / (totals[side] + 3)
+                 for k in (1, 0, -1)} for i in range(len(RULES))] for side, weights in sides.items()},
         }
         if abs(model["prior"] - last["prior"]) < tolerance:
             break
@@ -172,7 +177,7 @@ def score_quality(
 ) -> DataFrame:
     """A row per document: ``row`` (its columns ``carry``), measures, votes, ``p_good``, ``kept``."""
     votes = stored(with_votes(docs, text_col, carry or docs.columns), "votes")
-    model = fit(stored(patterns_of(votes).coalesce(1), "patterns"))
+    model = fit(patterns_of(votes))
     scored = votes.withColumn("p_good", posterior(model))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
