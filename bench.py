@@ -19,7 +19,7 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 
 
-def discover(strategy: str, inner: str = "unified", max_terms: int = 3):
+def discover(strategy: str, inner: str = "unified", max_terms: int = 2):
     return lambda spark: sq.discover(
         rq.event_streams(spark, FOLDER), 0.5, max_terms, strategy=strategy, inner=inner
     )
@@ -35,9 +35,8 @@ def main() -> None:
         "discover_separated": discover("separated"),
         "discover_by_attribute": discover("by_attribute"),
         "discover_by_attribute_separated": discover("by_attribute", "separated"),
-        "discover_by_templates_lossy": lambda spark: sq.discover_by_templates(
-            rq.event_streams(spark, FOLDER), max_terms=3, supp=0.5, lossy=True),
-        "discover_types": lambda spark: sq.discover_types(rq.event_streams(spark, FOLDER), 0.5, max_terms=3),
+        "discover_without_bound": lambda spark: sq.supported_queries(rq.talks(spark, FOLDER), 0.75),
+        "discover_types": lambda spark: sq.discover_types(rq.event_streams(spark, FOLDER), 0.5, max_terms=2),
     } | {
         name: registered(name)
         for name in (
