@@ -148,7 +148,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, in_train: Column, id_col: str,
     longest = SAMPLE_BYTES // sample
     start = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - longest + 1)).cast("int")
     found = docs.select(F.col(id_col).alias("_id"), F.substr(text, start + 1, F.lit(longest)).cast("binary").alias("text")).join(
-        F.broadcast(chosen), "_id").select("_id", "label", "text").toArrow().sort_by([("_id", "ascending"), ("label", "ascending")])
+        F.broadcast(chosen), "_id").select("_id", "label", "text").dropDuplicates(["_id"]).toArrow().sort_by([("_id", "ascending"), ("label", "ascending")])
     return found["text"].to_pylist(), found["label"].to_numpy()
 
 

@@ -76,10 +76,12 @@ def _counter(n_languages: int):
 
 def fit_trigrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE):
     """Languages and the logarithms of their trigram probabilities, one row of the table each."""
-    chosen = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col, 0, 5)).select(id_col, text_col, lang_col).orderBy(
-        F.xxhash64(id_col), lang_col).limit(sample)
-    chosen = stored(chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")), "sample")
-    languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())  # at most sample rows
+    labelled = docs.filter(F.col(lang_col).isNotNull() & ~held_out(id_col, 0, 5))
+    ids = labelled.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id")).limit(sample)
+    texts = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # at most sample ids; texts are counted where they lie
+    chosen = stored(texts.join(F.broadcast(ids), "_id").select("lang", "text"), "sample")
+    languages = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     table = np.full((len(languages), 1 << TABLE_BITS), 0.5)
     if languages:
         place = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))])

@@ -118,6 +118,7 @@ def with_domains(docs: DataFrame, labels: DataFrame, carry: list[str], id_col="d
         .filter(F.col("domain").isNotNull() & ~held_out("_id", 0, 5)).orderBy(F.xxhash64("_id"), "domain").limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
+    texts = texts.dropDuplicates(["_id"])  # one of the rows of an id, so no more than the sample are collected
     labelled = texts.select("domain", "text").mapInArrow(_labelled_features, "domain int, features array<int>").toArrow().sort_by("domain")
     model = spark.sparkContext.broadcast(fit_classifier(labelled, len(DOMAINS)))  # 2 ** FEATURE_BITS rows
     packed = docs.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("text"))
