@@ -99,7 +99,7 @@ def _weighed(table, strip: bool):
             texts = batch.column(1)
             if strip:
                 texts = pa.array([visible_text(t.as_py() or "") for t in texts], pa.string())
-            for start, end, data, offsets in pieces(texts):
+            for start, end, data, offsets in pieces(texts, 1 << 19):  # a row of numbers per trigram
                 at, begin = _trigrams(data, offsets)
                 sums = np.concatenate([np.zeros((1, table.value.shape[1])), np.cumsum(table.value[at], axis=0, dtype=np.float64)])
                 n = np.diff(begin)
