@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -66,8 +68,8 @@ def test_names_match():
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for name in ("events", "orders"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    for file in Path(FOLDER).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     return con
 
 
