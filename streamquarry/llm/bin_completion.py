@@ -11,7 +11,7 @@ number of bins leaves.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -114,8 +114,19 @@ def complete_bins(
     best = best_fit(counts, size)
     best_bins = sum(n for n, _ in best)
     left = [steps]
-
-    def search(counts, closed, bins, waste):
+    lengths = sorted(counts)  # changed in place and restored, as the counts are
+    closed: list[tuple[int, tuple[int, ...]]] = []
+
+    def change(uses, n):
+        for x, k in uses.items():
+            if not counts.get(x):
+                insort(lengths, x)
+            counts[x] = counts.get(x, 0) - n * k
+            if not counts[x]:
+                del counts[x]
+                lengths.remove(x)
+
+    def search(bins, waste):
         nonlocal best, best_bins
         if not counts:
             if bins < best_bins:
@@ -124,25 +135,25 @@ def complete_bins(
         if left[0] <= 0 or best_bins == bound:
             return
         left[0] -= 1
-        lengths = sorted(counts)
         largest = lengths[-1]
-        beside = dict(counts)
-        beside[largest] -= 1
-        for filling in fillings(beside, lengths, size - largest, most, nodes) or [()]:
+        counts[largest] -= 1
+        beside = fillings(counts, lengths, size - largest, most, nodes) or [()]
+        counts[largest] += 1
+        for filling in beside:
             content = (largest, *filling)
             uses = {x: content.count(x) for x in content}
             n = min(counts[x] // k for x, k in uses.items())
-            lost = waste + n * (size - sum(content))
-            if lost > (best_bins - 1) * size - total:  # cannot beat the incumbent
-                if n > 1 and waste + (size - sum(content)) <= (best_bins - 1) * size - total:
-                    n = max(1, ((best_bins - 1) * size - total - waste) // max(1, size - sum(content)))
-                    lost = waste + n * (size - sum(content))
-                else:
-                    continue
-            rest = {x: c - n * uses.get(x, 0) for x, c in counts.items() if c > n * uses.get(x, 0)}
+            spare = (best_bins - 1) * size - total - waste  # what an improvement may still waste
+            lost = size - sum(content)
+            if lost > spare:
+                continue
+            if lost:
+                n = min(n, spare // lost)
+            change(uses, n)
             closed.append((n, content))
-            search(rest, closed, bins + n, lost)
+            search(bins + n, waste + n * lost)
             closed.pop()
+            change(uses, -n)
             if best_bins == bound or left[0] <= 0:
                 return
 
@@ -151,7 +162,7 @@ def complete_bins(
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
     try:
-        search(counts, [], 0, 0)
+        search(0, 0)
     finally:
         sys.setrecursionlimit(limit)
     return best
