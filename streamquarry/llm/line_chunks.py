@@ -2,15 +2,18 @@
 
 A rolling hash over the hashes of ``WINDOW`` lines in a row decides where a chunk of lines ends,
 so boundaries move with the content: lines inserted before a passage change the chunks around
-them and no others.  Chunks of several lines are compared by hash over all documents; of equal
-chunks the first stays (smallest id, then address, then place) and the others are removed, each
-only after its bytes were compared with those of the first.  For that the bytes of chunks are
-gathered whose hash is flagged in a table of repeated hashes, of fixed size, and joined with the
-exact list.
+them and no others.  No chunk ends so before it holds ``LEAST`` lines with a word; a line of
+``LONG`` words or more is a chunk of its own.  Chunks of several lines and long lines are compared
+by hash over all documents; of equal chunks the first stays (smallest id, then address, then
+place) and the others are removed, each only after its bytes were compared with those of the
+first.  For that the bytes of chunks are gathered whose hash is flagged in a table of repeated
+hashes, of fixed size, and joined with the exact list.
 
 Lines end with ``\\n`` and are compared byte for byte; chunks with fewer than two lines that hold
-a word are left alone.  Null texts count as empty.  Null ids come last in the order; repeated
-rows are told apart by their address and lose their repeated chunks but for the first row's.
+a word are left alone unless that line is long.  So single shorter lines stay, and what of a
+passage of shorter lines lies before its first or behind its last boundary.  Null texts count as
+empty.  Null ids come last in the order; repeated rows are told apart by their address and lose
+their repeated chunks but for the first row's.
 Empty tables give empty results.
 """
 
@@ -28,10 +31,15 @@ from streamquarry.llm.textarrays import mix, pieces, span_hashes, word_edges
 WINDOW = 2  # lines the rolling hash covers
 REPEATED_BITS = 26  # places of the table of repeated chunks
 ENDS = 3  # a chunk ends at one line in so many
+LEAST = 2  # lines with a word that a chunk holds before it ends so
+LONG = 50  # words from which a line is a chunk of its own
 
 
 def chunks_of(data: np.ndarray, offsets: np.ndarray):
-    """``starts, ends, text, key, lines`` of all chunks: byte ranges with their last line's end."""
+    """``starts, ends, text, key, lines`` of all chunks: byte ranges with their last line's end.
+
+    ``lines`` counts the lines with a word, long ones as ``LEAST``: chunks of so many are compared.
+    """
     n = len(data)
     newline = np.flatnonzero(data == 10)
     ends = np.union1d(newline + 1, offsets[1:])  # a line ends behind its \n or at the end of its text
@@ -40,22 +48,32 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray):
     text = np.searchsorted(offsets, starts, "right") - 1
     tail = ends - (data[ends - 1] == 10) if len(ends) else ends  # the last line may lack its \n
     h = span_hashes(data, starts, tail)
-    rolling = h.copy()
-    for k in range(1, WINDOW):
-        before = np.zeros_like(h)  # nothing of another text
-        before[k:] = np.where(text[k:] == text[:-k], h[:-k], np.uint64(0))
-        rolling = mix(rolling * np.uint64(0x9E3779B97F4A7C15) + before)
-    last = np.ones(len(h), dtype=bool)
-    last[:-1] = (rolling[:-1] % np.uint64(ENDS) == 0) | (text[1:] != text[:-1])
-    close = np.flatnonzero(last)
-    first = np.concatenate([[0], close[:-1] + 1]).astype(np.int64) if len(close) else close
     worded = np.zeros(n + 1, np.int64)
     word_starts, _ = word_edges(data, offsets)
     worded[word_starts + 1] = 1
     words_to = np.cumsum(worded)
-    with_word = (words_to[ends] - words_to[starts] > 0).astype(np.int64)
+    words = words_to[ends] - words_to[starts]
+    long = words >= LONG
+    last = np.ones(len(h), dtype=bool)  # lines that end a chunk whatever its length
+    last[:-1] = (text[1:] != text[:-1]) | long[1:] | long[:-1]
+    run = np.cumsum(last) - last
+    rolling = h.copy()
+    for k in range(1, WINDOW):
+        before = np.zeros_like(h)  # nothing of another text, nor from beyond a long line
+        before[k:] = np.where(run[k:] == run[:-k], h[:-k], np.uint64(0))
+        rolling = mix(rolling * np.uint64(0x9E3779B97F4A7C15) + before)
+    counted = np.where(long, LEAST, words > 0)
+    counted_to = np.cumsum(counted)
+    may = np.flatnonzero(last | (rolling % np.uint64(ENDS) == 0))
+    closed, base = [], 0
+    for line, always, upto in zip(may.tolist(), last[may].tolist(), counted_to[may].tolist(), strict=True):
+        if always or upto - base >= LEAST:
+            closed.append(line)
+            base = upto
+    close = np.array(closed, np.int64)
+    first = np.concatenate([[0], close[:-1] + 1]).astype(np.int64) if len(close) else close
     key = span_hashes(data, starts[first], tail[close])
-    lines = np.add.reduceat(with_word, first) if len(first) else first
+    lines = np.add.reduceat(counted, first) if len(first) else first
     return starts[first], ends[close], tail[close], text[first], key, lines, np.bincount(text, minlength=len(offsets) - 1)
 
 
@@ -71,7 +89,7 @@ def _signatures(batches):
     for batch in batches:
         for start, end, data, offsets in pieces(batch.column(3)):
             _, _, _, text, key, lines, _ = chunks_of(data, offsets)
-            keep = lines >= 2
+            keep = lines >= LEAST
             at = pa.array(text[keep] + start)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(at) for i in range(3)), pa.array(_numbered(text)[keep].astype(np.int32)),
@@ -83,14 +101,14 @@ def _place(keys: np.ndarray) -> np.ndarray:
 
 
 def _chunk_texts(flags):
-    """Bytes of the chunks of several lines whose key is flagged, of rows ``file, row, id, text``."""
+    """Bytes of the compared chunks whose key is flagged, of rows ``file, row, id, text``."""
 
     def rows(batches):
         for batch in batches:
             for start, _, data, offsets in pieces(batch.column(3)):
                 begin, _, tail, text, key, lines, _ = chunks_of(data, offsets)
                 at = _place(key.view(np.int64))
-                keep = np.flatnonzero((lines >= 2) & (flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
+                keep = np.flatnonzero((lines >= LEAST) & (flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1))
                 content = [data[s:e].tobytes() for s, e in zip(begin[keep].tolist(), tail[keep].tolist(), strict=True)]
                 take = pa.array(text[keep] + start)
                 yield pa.RecordBatch.from_arrays(

@@ -131,6 +131,36 @@ def test_repeated_chunks_go_once(spark):
         assert out[i].n_removed > 0 and out[i].n_lines_kept == len(kept)
 
 
+@pytest.mark.parametrize("n_lines", [1, 3])
+def test_passages_of_long_lines_go_between_any_neighbours(spark, n_lines):
+    rng = np.random.default_rng(2)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1_000_000, n))
+    passage = [line(60) for _ in range(n_lines)]
+    rows = []
+    for i in range(40):
+        before, after = ([line(6) for _ in range(int(rng.integers(1, 6)))] for _ in range(2))
+        rows.append((i, "\n".join([*before, *passage, *after]), None, None, None))
+    out = {r.row.doc_id: r for r in line_chunks.drop_repeated_chunks(table(spark, rows), ["doc_id", "text"]).collect()}
+    assert out[0].clean_text == rows[0][1] and out[0].n_removed == 0
+    for i in range(1, 40):
+        assert out[i].clean_text.split("\n") == [x for x in rows[i][1].split("\n") if x not in passage]
+        assert out[i].n_removed == n_lines
+
+
+def test_chunks_hold_two_worded_lines_or_a_long_one():
+    rng = np.random.default_rng(3)
+    lines = [" ".join(["w" + str(rng.integers(1 << 40))] * int(n)) for n in rng.choice([0, 1, 6, line_chunks.LONG - 1, line_chunks.LONG], 2000)]
+    text = "\n".join(lines).encode()
+    begin, stop, tail, _, _, counted, n_lines = line_chunks.chunks_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert begin[0] == 0 and stop[-1] == len(text) and (begin[1:] == stop[:-1]).all() and n_lines == [2000]
+    own = [[len(x.split()) for x in text[s:e].decode().split("\n")] for s, e in zip(begin, tail, strict=True)]
+    is_long = [max(x) >= line_chunks.LONG for x in own]
+    assert all(len(x) == 1 for x, alone in zip(own, is_long, strict=True) if alone)
+    # before a long line and at the end of the text fewer may be left over
+    assert all(sum(n > 0 for n in own[i]) >= 2 for i in range(len(own) - 1) if not is_long[i] and not is_long[i + 1])
+    assert [c >= 2 for c in counted] == [alone or sum(n > 0 for n in x) >= 2 for x, alone in zip(own, is_long, strict=True)]
+
+
 def plain_chunks(rows):
     """Chunks by bytes over all rows; which of them stay."""
     seen, out = set(), Counter()
