@@ -133,13 +133,15 @@ def identify(evidence: DataFrame, languages: list[str]) -> DataFrame:
     uniform = F.array(*[F.lit(1.0 / n)] * n)
     overall = rows.agg(_summed("_t", n).alias("_all")).select(_prior("_all", uniform).alias("_overall"))  # one row
     hosts = rows.groupBy("host", "domain").agg(_summed("_t", n).alias("_host"))
-    domains = hosts.groupBy("domain").agg(_summed("_host", n).alias("_domain"))
+    domains = hosts.groupBy(F.col("domain").alias("_in")).agg(_summed("_host", n).alias("_domain"))
     priors = (
-        hosts.filter("host is not null").join(domains, F.equal_null(hosts["domain"], domains["domain"]), "left").drop(domains["domain"])
+        hosts.filter("host is not null").join(domains, F.equal_null(F.col("domain"), F.col("_in")), "left")
         .join(F.broadcast(overall)).withColumn("_domain", _prior("_domain", "_overall"))
-        .select("host", "domain", _prior("_host", "_domain").alias("_prior"))
+        .select(F.col("host").alias("_at"), "_in", _prior("_host", "_domain").alias("_prior"))
     )
-    out = rows.join(priors, ["host", "domain"], "left").join(F.broadcast(overall))
+    # a null domain is a value like others: documents have no domain, nor do hosts without a dot
+    same = (F.col("host") == F.col("_at")) & F.equal_null(F.col("domain"), F.col("_in"))
+    out = rows.join(priors, same, "left").drop("_at", "_in").join(F.broadcast(overall))
     logs = F.zip_with("log_text", F.coalesce("_prior", "_overall"), lambda a, b: a + F.log(b))
     for name in ("declared", "hint"):
         said = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(_summed("_t", n).alias(f"_{name}"))

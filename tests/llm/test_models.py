@@ -227,5 +227,25 @@ def test_evidence_of_odd_pages(spark, sf):
     assert {r.hint for r in rows} == {"de", None, "org"} and {r.declared for r in rows} == {"de", None}
 
 
+def test_empty_texts_get_the_language_of_their_host(spark):
+    words = {"de": "der hund und die katze sind nicht auf dem dach", "en": "the dog and the cat are not on the roof"}
+    rows = [(i, f"{words['de']} {i}", "de", "s1", 1) for i in range(60)]
+    rows += [(100 + i, f"{words['en']} {i}", "en", "s2", 1) for i in range(200)]
+    rows += [(900, "", None, "s1", 0), (901, None, None, "s1", 0), (902, "", None, "s2", 0), (903, "", None, None, 0), (904, "", None, "s3", 0)]
+    docs = table(spark, rows)
+    model = language_id.fit_trigrams(docs)
+    evidence = language_id.document_evidence(docs, model).withColumn("row", F.col("id")).drop("id")
+    got = language_id.identify(evidence, model[0]).collect()
+    assert Counter(r.row for r in got) == Counter(r[0] for r in rows)
+    found = {r.row: (r.language, r.host) for r in got}
+    assert found[900] == ("de", "s1") and found[901] == ("de", "s1") and found[902] == ("en", "s2")
+    assert found[903] == ("en", None) and found[904] == ("en", "s3")  # no host, or one of which nothing is known
+    pages = spark.createDataFrame(
+        [(i, "http://intern/x", f"<p>{words['de']} {i}</p>") for i in range(60)] + [(100 + i, "http://a.org/x", f"<p>{words['en']} {i}</p>") for i in range(200)]
+        + [(900, "http://intern/y", "")], "page_id long, url string, html string")
+    evidence = language_id.page_evidence(pages, model).withColumn("row", F.col("id")).drop("id")
+    assert [r.language for r in language_id.identify(evidence, model[0]).collect() if r.row == 900] == ["de"]
+
+
 def test_visible_text():
     assert language_id.visible_text("<nav>no</nav><!-- <p>no --><P>a &amp; b</P><script>no</script >").split() == ["a", "&", "b"]
