@@ -90,11 +90,11 @@ def _count(batches):
         yield from flush()
 
 
-def count_grams(train: DataFrame, text_col: str, min_pair: int = 2) -> DataFrame:
+def count_grams(train: DataFrame, text_col: str, min_pair: int = 1) -> DataFrame:
     """``gram, n``: counts of all words (even ids) and of pairs (odd ids) from ``min_pair`` up."""
     grams = train.select(text_col).mapInArrow(_count, "gram long, n long")
-    return grams.groupBy("gram").agg(F.sum("n").alias("n")).filter(
-        (F.col("gram").bitwiseAND(1) == 0) | (F.col("n") >= min_pair))
+    counts = grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    return counts if min_pair <= 1 else counts.filter((F.col("gram").bitwiseAND(1) == 0) | (F.col("n") >= min_pair))
 
 
 def _positions(grams: np.ndarray, level: int, bits_log2: int):

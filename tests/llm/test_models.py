@@ -73,6 +73,19 @@ def test_filter_never_reads_too_low(spark):
     assert least > 1 and bits <= 16
 
 
+def test_pairs_counted_once_are_held(spark, odd_docs):
+    counted = Counter()
+    for r in ODD_ROWS:
+        tokens = [*plain.lower_words(r[1]), "\0end"]
+        counted.update(zip(["\0start", *tokens], tokens))
+    counts = ngram_filter.count_grams(odd_docs, "text")
+    pairs = counts.filter(F.col("gram").bitwiseAND(1) == 1).toArrow()
+    assert Counter(pairs["n"].to_pylist()) == Counter(counted.values()) and 1 in counted.values()
+    held, bits, least = ngram_filter.build_filter(counts, 1 << 30)
+    level = ngram_filter.read_levels(held, bits, pairs["gram"].to_numpy().view(np.uint64))
+    assert least == 1 and (level >= np.searchsorted(ngram_filter.LEVELS, pairs["n"].to_numpy(), "right")).all()
+
+
 def test_empty_tables(spark, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert ngram_filter.score_texts(no_docs, F.lit(True)).count() == 0
