@@ -68,9 +68,12 @@ def test_streams_before_match_overlap(spark):
     df = spark.createDataFrame(rows, "k string, t int, c string")
     seed = F.col("c") == "S"
     got = events_of(sq.streams_before_match(df, "k", ["t"], ["c"], seed, 3))
-    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 0, "b"), (1, 1, "S"), (1, 2, "a")]
+    want = [("a", 0), ("b", 1)], [("b", 0), ("S", 1), ("a", 2)]
+    assert got == [(s, pos, c) for s, events in zip(("u:2", "u:4"), want, strict=True) for c, pos in events]
     every = sq.streams_before_match(df, "k", ["t"], ["c"], seed, 3, max_matches=None, hot_rows=2)
-    assert {r.stream_id for r in every.collect()} == {"u:2", "u:4"}
+    assert events_of(every) == got
+    numbered = sq.streams_before_match(df, "k", ["t"], ["c"], seed, 3, max_matches=1)
+    assert events_of(numbered) == [(0, 0, "a"), (0, 1, "b")]
 
 
 def test_shaping(make_db):
