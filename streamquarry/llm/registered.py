@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import byte_cnn, exact_dedup, fill_middle, jaccard_join, language_id, line_chunks, mixing, ngram_filter, packing, quality_rules, sharding
+from streamquarry.llm import byte_cnn, exact_dedup, fill_middle, importance_resampling, jaccard_join, language_id, line_chunks, mixing, ngram_filter, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_chunks.query,
         "op10_lm_scoring": ngram_filter.query,
         "op12_fill_in_middle": fill_middle.query,
+        "op13_importance_resampling": importance_resampling.query,
     }
 
 

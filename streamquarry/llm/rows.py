@@ -27,26 +27,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label)
 
 
+def _place(docs: DataFrame) -> Column:
+    """What Spark knows of a row's file, also where the table has a column of that name."""
+    return docs.metadataColumn("_metadata")
+
+
 def landed(docs: DataFrame) -> DataFrame:
     """``docs`` if its rows come straight from files, else written to the shared folder and read."""
     try:
-        docs.select("_metadata.row_index")
+        docs.select(_place(docs)["row_index"])
         return docs
     except AnalysisException:
         return stored(docs, "landed")
 
 
-def addressed(docs: DataFrame, *columns: str) -> DataFrame:
+def addressed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """``columns`` of ``docs`` with the address of each row: hash of its file, place in the file.
 
     The address tells repeated rows and rows without an id apart and stays the same when a
     task is run again.  To use addresses of one table twice, land it first.
     """
-    return landed(docs).select(
-        *columns,
-        F.xxhash64("_metadata.file_path").alias(FILE),
-        F.col("_metadata.row_index").alias(ROW),
-    )
+    docs = landed(docs)
+    return docs.select(
+        *columns, F.xxhash64(_place(docs)["file_path"]).alias(FILE), _place(docs)["row_index"].alias(ROW))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
