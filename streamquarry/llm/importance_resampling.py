@@ -194,7 +194,8 @@ def resampled(
 
     Only documents of ``min_words`` words or more take part in the draw.
     """
-    found = weighed(docs, target, docs.columns if carry is None else carry, id_col, text_col, n_max, buckets)
+    # written before it is ranged: drawing the borders of ranges would scan all texts once more
+    found = stored(weighed(docs, target, docs.columns if carry is None else carry, id_col, text_col, n_max, buckets), "weights")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("row.id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
