@@ -6,9 +6,12 @@ more values share a place; what is read from a table may therefore only save wor
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BITS = 16  # places per row while a table is summed
 
@@ -48,3 +51,48 @@ def table_of_places(rows: DataFrame, column: str, to_places, bits: int, flags: b
     for row in parts.toLocalIterator():
         out[row.block] = np.frombuffer(row.cells, kept)
     return out.reshape(-1)
+
+
+FLAG_BITS = 29  # most places of a table that ``flag_table`` makes: 64 MB
+FLAGS_PER_KEY = 3
+
+
+def _flags_in_block(keys: np.ndarray):
+    """Places of a key within its block: its lowest sixteen bits, the next sixteen, and so on."""
+    for k in range(FLAGS_PER_KEY):
+        yield ((keys >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+
+def flag_table(keys: DataFrame, column: str, n: int) -> np.ndarray:
+    """A Bloom filter of ``n`` well mixed 64-bit keys as packed bits; see ``flagged``.
+
+    Sixteen places a key, as long as that are no more than 2 ^ ``FLAG_BITS``.  The top bits of a
+    key name its block of places; blocks are filled side by side, each from its own keys.
+    """
+    bits = min(FLAG_BITS, max(BLOCK_BITS, math.ceil(math.log2(16 * max(1, n)))))
+    block = F.shiftrightunsigned(column, 64 - bits + BLOCK_BITS) if bits > BLOCK_BITS else F.lit(0).cast("long")
+
+    def fill(table: pa.Table) -> pa.Table:
+        held = np.zeros(1 << BLOCK_BITS, dtype=bool)
+        for place in _flags_in_block(table["key"].to_numpy().view(np.uint64)):
+            held[place] = True
+        return pa.table({"block": table["block"].slice(0, 1), "cells": [np.packbits(held).tobytes()]})
+
+    parts = keys.select(F.col(column).alias("key"), block.alias("block")).groupBy("block").applyInArrow(
+        fill, "block long, cells binary")
+    out = np.zeros((1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        out[row.block] = np.frombuffer(row.cells, np.uint8)
+    return out.reshape(-1)
+
+
+def flagged(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the places of each key are set: so for all keys of the table, and for one of 200 others."""
+    bits = len(table).bit_length() + 2
+    keys = keys.view(np.uint64)
+    first = (keys >> np.uint64(64 - bits + BLOCK_BITS)).astype(np.int64) << BLOCK_BITS if bits > BLOCK_BITS else np.zeros(len(keys), np.int64)
+    found = np.ones(len(keys), dtype=bool)
+    for place in _flags_in_block(keys):
+        place = first + place
+        found &= table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 == 1
+    return found

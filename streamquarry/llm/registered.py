@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamquarry.llm import byte_cnn, exact_dedup, fill_middle, importance_resampling, jaccard_join, language_id, line_chunks, mixing, ngram_filter, packing, quality_rules, sharding
+from streamquarry.llm import byte_cnn, de_bruijn, exact_dedup, fill_middle, importance_resampling, jaccard_join, language_id, line_chunks, mixing, ngram_filter, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_line_dedup": line_chunks.query,
         "op10_lm_scoring": ngram_filter.query,
+        "op11_substring_dedup": de_bruijn.query,
         "op12_fill_in_middle": fill_middle.query,
         "op13_importance_resampling": importance_resampling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op12_fill_in_middle": fill_middle.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+        "op11_substring_dedup": de_bruijn.SQL,
+        "op12_fill_in_middle": fill_middle.SQL,
+    }

@@ -97,3 +97,13 @@ def combined(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix(out + hashes[i : i + count])
     return out
+
+
+def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Like ``combined``, from running sums: the cost does not depend on ``n``."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _table("up", _P, len(hashes))[: len(hashes)], out=sums[1:])
+    return mix((sums[n:] - sums[:-n]) * _table("down", _P_INVERSE, len(hashes))[:count])
