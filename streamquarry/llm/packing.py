@@ -7,8 +7,9 @@ ranked within their length and take the place that their rank has in the plan.
 in ``SALTS`` parts per length, so a length that a third of all pieces share spreads over tasks.
 
 Ids are those of ``tokenizers``.  Texts whose characters all lie below U+0250 and that do not
-hold a special token's string go through ``tiktoken``, which has the same ranks and pattern and
-is several times as fast; all others go through ``tokenizers`` itself.
+hold a special token's string, nor a run of white space of ``LONG_BLANK`` characters, go through
+``tiktoken``, which has the same ranks and pattern and is several times as fast (but overflows its
+stack on runs of some hundred thousand); all others go through ``tokenizers`` itself.
 
 Null and empty texts are the end id alone.  Null and repeated ids are carried along.  An empty
 table gives an empty result.  Other columns are not read.
@@ -29,7 +30,8 @@ from streamquarry.llm.bin_completion import complete_bins
 from streamquarry.llm.rows import stored
 
 SALTS = 1024
-_beyond = re.compile("[^\x00-ɏ]")
+LONG_BLANK = 1000
+_beyond = re.compile(f"[^\x00-ɏ]|\\s{{{LONG_BLANK}}}")
 
 
 class Encoder:

@@ -174,3 +174,11 @@ def test_bin_completion_is_optimal_on_small_cases():
 def test_dominance():
     assert bin_completion.dominates((5, 3), (4, 3)) and bin_completion.dominates((7,), (4, 3))
     assert not bin_completion.dominates((4, 3), (7,))
+
+
+def test_long_white_space_is_packed(spark):
+    """Runs that overflow the stack of the faster encoder."""
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "\t" * 300_000 + "x", "a" + " " * 1000 + "b", "a" + "\r\n" * 200_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    check_packing(rows, packing.pack(docs).collect(), 2048)
