@@ -5,20 +5,29 @@ Each document gets a rate that is not negative; a domain's expected tokens are t
 rate * tokens * probability.  The rates solve a least-squares problem, expected against wanted
 tokens, by projected gradients from the rate 1 on, so documents change no more than needed.
 
+A posterior is not certain even of a document whose domain is known, and the less so the more
+words a corpus has that the labelled table lacks.  So the classifier is held against labelled
+documents it was not fitted on: their mean posterior per token, by domain, says what the expected
+tokens of a mixture on target look like, and these are what the rates are fitted to.  A corpus of
+clean documents then counts as clean, however soft the classifier.
+
 Domains are few.  A step needs the expected tokens per domain under the present rates, one
 aggregation over all documents, and moves the rate of a document by the product of its
 probabilities with one vector (gradients are taken per token, and the residual is weighted by
-the inverse of the domains' second moments, so a full step is safe).  The rate is therefore an
+the inverse of the domains' second moments over the documents whose rate is not 0).  The rate is therefore an
 expression over the probabilities and the vectors so far: nothing per document is kept between
-steps, and lost work is simply computed again.
+steps, and lost work is simply computed again.  Steps end when the targets are met; where no rates
+meet them, when the distance has stopped falling, with a warning that names it.
 
 Null and empty texts have no words: the classifier gives them the prior and they count one
 token, the end.  Without labels the probabilities are even.  Null and repeated ids are carried
-along.  Empty tables give empty results.
+along; of the rows of a labelled id the least text is learned from.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +40,9 @@ from streamquarry.llm.textarrays import mix, pieces, word_edges, word_hashes
 DOMAINS = ["clean", "junk", "toxic"]
 WEIGHTS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
 FEATURE_BITS = 16
-SAMPLE = 2048  # labelled documents the classifier is fitted on, at most
+SAMPLE = 2048  # labelled documents the classifier is fitted and calibrated on, at most
+CALIBRATE = 4  # one in so many of them is held out of the fit, to see what posteriors its domain gets
+PATIENCE = 10  # steps that gain less than a tenth, after which no rates are taken to meet the targets
 
 
 def _features(data, offsets) -> list[np.ndarray]:
@@ -50,8 +61,10 @@ def _features(data, offsets) -> list[np.ndarray]:
 def _labelled_features(batches):
     for batch in batches:
         for start, end, data, offsets in pieces(batch.column(1)):
+            tokens = np.diff(word_hashes(data, offsets).bounds) + 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, end - start), pa.array(_features(data, offsets), pa.list_(pa.int32()))], ["domain", "features"])
+                [batch.column(0).slice(start, end - start), pa.array(tokens),
+                 pa.array(_features(data, offsets), pa.list_(pa.int32()))], ["domain", "n_tokens", "features"])
 
 
 def _probabilities(scores: np.ndarray) -> np.ndarray:
@@ -70,13 +83,30 @@ def _places(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n), dtype=np.int32), n), np.repeat(1 / np.sqrt(np.maximum(1, n)), n)
 
 
+def _flat(features: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = features.combine_chunks()
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+
+
+def confusion(labelled: pa.Table, model, n_domains: int) -> np.ndarray:
+    """Row k: the mean posterior per token of documents of domain k; of a domain without any, its own."""
+    out = np.eye(n_domains)
+    if not labelled.num_rows:
+        return out
+    flat, bounds = _flat(labelled["features"])
+    p = _probabilities(_scores(*model, flat, *_places(bounds), labelled.num_rows))
+    tokens, domain = labelled["n_tokens"].to_numpy(), labelled["domain"].to_numpy()
+    for k in np.unique(domain):
+        out[k] = np.average(p[domain == k], axis=0, weights=tokens[domain == k])
+    return out
+
+
 def fit_classifier(labelled: pa.Table, n_domains: int, rounds: int = 100, rate: float = 8.0, decay: float = 1e-5):
     """Weights and bias of a softmax over hashed features; Nesterov steps on all rows."""
     weights, bias = np.zeros((1 << FEATURE_BITS, n_domains)), np.zeros(n_domains)
     if not labelled.num_rows:
         return weights, bias
-    lists = labelled["features"].combine_chunks()
-    flat, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    flat, bounds = _flat(labelled["features"])
     wanted = np.eye(n_domains)[labelled["domain"].to_numpy()]
     doc, scale = _places(bounds)
     w_before, b_before = weights, bias
@@ -110,59 +140,93 @@ def _classified(model, n_domains: int):
     return rows
 
 
-def with_domains(docs: DataFrame, labels: DataFrame, carry: list[str], id_col="doc_id", text_col="text", sample: int = SAMPLE) -> DataFrame:
-    """``row`` (the columns ``carry``), ``n_tokens`` and a probability per domain for each document."""
-    spark = docs.sparkSession
+def learned(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE):
+    """``(weights, bias)`` of the classifier, and its confusion on labelled documents left out of the fit."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
         .filter(F.col("domain").isNotNull() & ~held_out("_id", 0, 5)).orderBy(F.xxhash64("_id"), "domain").limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
-    texts = texts.dropDuplicates(["_id"])  # one of the rows of an id, so no more than the sample are collected
-    labelled = texts.select("domain", "text").mapInArrow(_labelled_features, "domain int, features array<int>").toArrow().sort_by("domain")
-    model = spark.sparkContext.broadcast(fit_classifier(labelled, len(DOMAINS)))  # 2 ** FEATURE_BITS rows
-    packed = docs.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("text"))
+    # one text of an id, so no more than the sample are collected
+    texts = texts.groupBy("_id").agg(F.min("domain").alias("domain"), F.min("text").alias("text"))
+    labelled = texts.select("domain", "text").mapInArrow(_labelled_features, "domain int, n_tokens long, features array<int>").toArrow()
+    # by content, so that every run learns from the same rows in the same order
+    first = pa.array([x[0] if x else -1 for x in labelled["features"].to_pylist()], pa.int32())
+    labelled = labelled.append_column("first", first).sort_by([(c, "ascending") for c in ("domain", "n_tokens", "first")])
+    out = np.arange(labelled.num_rows) % CALIBRATE == CALIBRATE - 1
+    model = fit_classifier(labelled.filter(pa.array(~out)), len(DOMAINS))
+    return model, confusion(labelled.filter(pa.array(out)), model, len(DOMAINS))
+
+
+def with_domains(docs: DataFrame, model, carry: list[str], text_col="text") -> DataFrame:
+    """``row`` (the columns ``carry``), ``n_tokens`` and a probability per domain for each document."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** FEATURE_BITS rows
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = packed.schema["row"].dataType.simpleString()
     return packed.mapInArrow(
-        _classified(model, len(DOMAINS)), f"row {schema}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+        _classified(sent, len(DOMAINS)), f"row {schema}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+
 
+def _totals(members: DataFrame, *more: Column) -> np.ndarray:
+    values = members.agg(*(F.sum(x) for x in more)).first()
+    return np.array([v or 0.0 for v in values])
 
-def fit_rates(members: DataFrame, weights: dict[str, float], total: float | None = None, steps: int = 30, tolerance: float = 1e-5):
-    """Vectors that take the rate from 1 to the solution; see ``rate_of``.
 
-    ``members`` has ``n_tokens`` and the probabilities.  Without ``total`` the wanted tokens are
-    such that the domain of the largest weight keeps what it has.
+def fit_rates(
+    members: DataFrame, weights: dict[str, float], known: np.ndarray | None = None, total: float | None = None,
+    tolerance: float = 1e-4,
+):
+    """Vectors that take the rate from 1 to the solution, see ``rate_of``; wanted and reached tokens.
+
+    ``members`` has ``n_tokens`` and the probabilities.  ``known`` is the classifier's confusion, none
+    if posteriors are taken as they are.  Without ``total`` the wanted tokens are such that the
+    domain of the largest weight keeps what it has.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    moments = members.agg(*(F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(len(p)) for j in range(len(p))),
-                          *(F.sum(F.col("n_tokens") * x) for x in p)).first()
-    values = np.array([v or 0.0 for v in moments])
-    gram, have = values[: len(p) ** 2].reshape(len(p), len(p)), values[len(p) ** 2 :]
+    tokens = F.col("n_tokens")
     share = np.array([weights[d] for d in DOMAINS]) / sum(weights.values())
-    main = int(share.argmax())
-    wanted = share * (have[main] / share[main] if total is None else total)
-    metric, path = np.linalg.pinv(gram, rcond=1e-10), []
-    expected = have
-    while len(path) < steps and np.abs(expected - wanted).sum() > tolerance * wanted.sum():
-        path.append((metric @ (expected - wanted)).tolist())
+    share = share if known is None else share @ known
+    path, gaps, wanted = [], [], None
+    while True:
         rate = rate_of(path)
-        expected = np.array([v or 0.0 for v in members.agg(*(F.sum(rate * F.col("n_tokens") * x) for x in p)).first()])
+        values = _totals(members, *(rate * tokens * x for x in p), *(F.when(rate > 0, tokens * x * y) for x in p for y in p))
+        expected, gram = values[: len(p)], values[len(p) :].reshape(len(p), len(p))
+        if wanted is None:
+            main = int(share.argmax())
+            wanted = share * (expected[main] / share[main] if total is None else total)
+        if not wanted.sum():
+            break
+        gaps.append(float(np.abs(expected - wanted).sum() / wanted.sum()))
+        if gaps[-1] <= tolerance:
+            break
+        if len(gaps) > PATIENCE and min(gaps[-PATIENCE:]) > 0.9 * min(gaps[:-PATIENCE]):
+            warnings.warn(f"no rates meet the target weights: a share of {min(gaps):.2g} of the tokens is off", stacklevel=2)
+            break
+        path.append((np.linalg.pinv(gram, rcond=1e-10) @ (expected - wanted)).tolist())
     return path, wanted, expected
 
 
 def rate_of(path: list[list[float]]) -> Column:
     """A document's rate after the steps in ``path``, each projected onto what is not negative."""
-    rate = F.lit(1.0)
-    for vector in path:
-        move = sum((F.col(f"p_{d}") * v for d, v in zip(DOMAINS, vector, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+    if not path:
+        return F.lit(1.0)
+    steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in vector) + ")" for vector in path) + ")")
+
+    def step(rate: Column, vector: Column) -> Column:
+        move = sum((F.col(f"p_{d}") * vector[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - move)
+
+    return F.aggregate(steps, F.lit(1.0), step)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, carry: list[str], weights: dict[str, float] = WEIGHTS, **columns) -> DataFrame:
+def mixed(
+    docs: DataFrame, labels: DataFrame, carry: list[str], weights: dict[str, float] = WEIGHTS, id_col="doc_id", text_col="text",
+    sample: int = SAMPLE,
+) -> DataFrame:
     """``row, n_tokens, p_*, rate, copies``: ``copies`` is the rate rounded by a hash of the row."""
-    members = stored(with_domains(docs, labels, carry, **columns), "members")
-    path, _, _ = fit_rates(members, weights)
+    model, known = learned(docs, labels, id_col, text_col, sample)
+    members = stored(with_domains(docs, model, carry, text_col), "members")
+    path, _, _ = fit_rates(members, weights, known)
     chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / (1 << 30)
     return members.withColumn("rate", rate_of(path)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 

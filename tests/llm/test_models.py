@@ -96,7 +96,7 @@ def test_empty_tables(spark, no_docs):
 
 def test_rates_reach_the_targets(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    members = mixing.stored(mixing.with_domains(docs, labels, ["doc_id"]), "m")
+    members = mixing.stored(mixing.with_domains(docs, mixing.learned(docs, labels)[0], ["doc_id"]), "m")
     for weights in ({"clean": 0.9, "junk": 0.05, "toxic": 0.05}, {"clean": 0.5, "junk": 0.4, "toxic": 0.1}):
         path, wanted, expected = mixing.fit_rates(members, weights)
         assert np.abs(expected - wanted).sum() < 1e-4 * wanted.sum()
@@ -112,18 +112,46 @@ def test_rates_equal_plain_projected_gradients(spark):
     tokens = rng.integers(1, 500, 200)
     members = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(tokens, p, strict=True)], "n_tokens long, p_clean double, p_junk double, p_toxic double")
     path, wanted, _ = mixing.fit_rates(members, {"clean": 0.9, "junk": 0.08, "toxic": 0.02})
-    rate, metric = np.ones(200), np.linalg.pinv((p * tokens[:, None]).T @ p)
+    rate = np.ones(200)
     for _ in path:
+        metric = np.linalg.pinv((p * (tokens * (rate > 0))[:, None]).T @ p, rcond=1e-10)
         rate = np.maximum(0, rate - p @ (metric @ (p.T @ (rate * tokens) - wanted)))
     got = [r.rate for r in members.select(mixing.rate_of(path).alias("rate")).collect()]
     assert np.allclose(sorted(got), sorted(rate), atol=1e-6)
 
 
+def test_soft_posteriors_are_measured_against_their_confusion(spark):
+    """Of documents that are all clean, by a classifier that is never sure, all stay."""
+    rng = np.random.default_rng(3)
+    soft = np.array([[0.9, 0.06, 0.04], [0.3, 0.6, 0.1], [0.4, 0.1, 0.5]])
+    kinds = rng.choice(3, 600, p=[0.9, 0.06, 0.04])
+    p = np.clip(soft[kinds] + rng.normal(0, 0.03, (600, 3)), 0.001, None)
+    p /= p.sum(axis=1, keepdims=True)
+    members = mixing.stored(spark.createDataFrame(
+        [(100, *map(float, x), int(k)) for x, k in zip(p, kinds, strict=True)],
+        "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS) + ", kind int"), "soft")
+    known = np.stack([p[kinds == k].mean(axis=0) for k in range(3)])
+    path, wanted, reached = mixing.fit_rates(members, mixing.WEIGHTS, known)
+    assert np.abs(wanted - reached).sum() <= 1e-4 * wanted.sum()
+    rates = [r.rate for r in members.filter("kind = 0").select(mixing.rate_of(path).alias("rate")).collect()]
+    assert np.minimum(rates, 1).mean() > 0.97
+    rows = members.select("kind", mixing.rate_of(path).alias("rate")).collect()
+    tokens = np.bincount([r.kind for r in rows], [r.rate for r in rows])
+    assert np.allclose(tokens / tokens.sum(), [0.96, 0.02, 0.02], atol=0.02)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    members = spark.createDataFrame([(10, 0.6, 0.3, 0.1)] * 20, "n_tokens long, p_clean double, p_junk double, p_toxic double")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        path, wanted, reached = mixing.fit_rates(members, mixing.WEIGHTS)
+    assert np.abs(wanted - reached).sum() > 0.01 * wanted.sum()
+
+
 def test_classifier_on_held_out(spark, sf, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     truth = {r.doc_id: "toxic" if r.toxic else "clean" if r.quality else "junk" for r in labels.collect()}
-    rows = mixing.with_domains(docs, labels, ["doc_id"]).collect()
+    rows = mixing.with_domains(docs, mixing.learned(docs, labels)[0], ["doc_id"]).collect()
     held = [(truth[r.row.doc_id], max(mixing.DOMAINS, key=lambda d: r[f"p_{d}"])) for r in rows if r.row.doc_id in truth and plain.crc(r.row.doc_id) % 5 == 0]
     assert sum(a == b for a, b in held) >= 0.8 * len(held)
     out = mixing.mixed(odd_docs, labels, odd_docs.columns)

