@@ -4,13 +4,14 @@ from streamquarry.operators.abstraction import (
     bin_values, explode_attribute, map_values, mask_top_values, mask_values, project,
     split_attributes, uniquify_frequent,
 )
+from streamquarry.operators.containment import weaker_queries, weaker_than
 from streamquarry.operators.discovery import (
     compare_query_sets, descriptive, discover, discover_by_templates, discover_patterns,
     discover_types, flag_descriptive, query_lattice, supported_queries,
 )
 from streamquarry.operators.matching import (
     classify_queries, instances, match, match_ends, match_types, matched_streams, reached_length,
-    streams_before_query, support, support_of, supported, update_matches, update_support, weaker_than, witness,
+    streams_before_query, support, support_of, supported, update_matches, update_support, witness,
 )
 from streamquarry.operators.profiling import (
     alphabet, count_streams, database_profile, disjointness_score, length_distribution,

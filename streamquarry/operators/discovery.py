@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamquarry.functions import notation as nt
 from streamquarry.functions.columns import attributes
-from streamquarry.operators.matching import weaker_than
+from streamquarry.operators.containment import weaker_queries
 from streamquarry.operators.queries import generalisations
 from streamquarry.plans.growth import Growth, Run, run_together
 from streamquarry.plans.workspace import materialize
@@ -90,7 +90,9 @@ def discover(
     reach.  With ``descriptive_only=False`` all supported queries are returned,
     with a flag ``descriptive``.
     """
-    flagged = flag_descriptive(supported_queries(sdb, supp, max_terms, strategy, inner, max_variables))
+    found = supported_queries(sdb, supp, max_terms, strategy, inner, max_variables)
+    # a step may need one variable more than both of the queries it lies between
+    flagged = flag_descriptive(found, complete=max_variables is None)
     return flagged.filter("descriptive") if descriptive_only else flagged
 
 
@@ -134,10 +136,14 @@ def discover_patterns(
         return materialize(_closed(growth, [growth.run(use_values=False)]), "patterns")
 
 
-def flag_descriptive(qs: DataFrame) -> DataFrame:
-    """Add ``descriptive``: no other query of the table is stricter."""
-    pairs = weaker_than(qs, qs).select(F.col("weaker_id").alias("query_id")).distinct()
-    return qs.join(pairs.withColumn("_weaker", F.lit(True)), "query_id", "left").withColumn(
+def flag_descriptive(qs: DataFrame, complete: bool = False) -> DataFrame:
+    """Add ``descriptive``: no other query of the table is stricter.
+
+    ``complete`` states that the table holds every generalisation of its queries, as a table of all
+    supported queries does; then only queries one step apart are compared.
+    """
+    weaker = weaker_queries(qs, complete).withColumn("_weaker", F.lit(True))
+    return qs.join(weaker, "query_id", "left").withColumn(
         "descriptive", F.col("_weaker").isNull()
     ).drop("_weaker")
 

@@ -262,8 +262,10 @@ def _before_forbidden(asked, events, ends, size) -> DataFrame:
 
 
 def _match(
-    sdb: DataFrame, qs: DataFrame, options: _Options, max_pos: int | None, size: int = CHUNK
+    sdb: DataFrame, qs: DataFrame, options: _Options, max_pos: int | None, size: int = CHUNK,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
+    """States of all matches; of ``pairs(query_id, stream_id)`` only, if given (without windows)."""
     attrs = attributes(sdb)
     prepared = _prepare(qs, options)
     # one row per query length
@@ -277,12 +279,17 @@ def _match(
     columns = _state_columns(options)
     results = []
     if 0 in lengths:
-        results.append(_empty_matches(sdb, prepared.filter("n_terms = 0"), lengths.pop(0), options).select(*columns))
+        empty = _empty_matches(sdb, prepared.filter("n_terms = 0"), lengths.pop(0), options).select(*columns)
+        results.append(empty if pairs is None else empty.join(pairs, ["query_id", "stream_id"], "left_semi"))
     for n_terms, n_queries in sorted(lengths.items()):
         group = prepared.filter(F.col("n_terms") == n_terms)
-        state = _first_term(events, group, n_queries, attrs, options)
-        for t in range(1, n_terms):
-            if t % TERMS_PER_PLAN == 0:
+        if pairs is None:
+            state, first = _first_term(events, group, n_queries, attrs, options), 1
+        else:
+            state, first = pairs.selectExpr(
+                "query_id", "stream_id", "CAST(array() AS ARRAY<STRING>) AS b", "-1 AS p"), 0
+        for t in range(first, n_terms):
+            if t and t % TERMS_PER_PLAN == 0:
                 state = materialize(state, "matches")
             state = _next_term(
                 state, events, ends, group, n_queries, t, attrs, options, size
@@ -510,28 +517,3 @@ def canonical_streams(qs: DataFrame, n_attrs: int) -> DataFrame:
             for a in range(n_attrs)
         ],
     )
-
-
-def weaker_than(qs1: DataFrame, qs2: DataFrame) -> DataFrame:
-    """Pairs ``weaker_id`` (of qs1), ``stricter_id`` (of qs2) of different queries in normal form.
-
-    q' is weaker than q exactly when q' matches the stream that q itself forms,
-    so containment is one run of the matcher.
-    """
-    size = qs2.agg(F.max(F.size(F.get("terms", F.lit(0)))), F.max(F.size("terms"))).first()
-    # without any query in qs2 there is still one (empty) attribute to match
-    n_attrs, max_terms = max(size[0] or 0, 1), size[1] or 0
-    tagged = qs1.select("query_id", F.transform(
-        "terms", lambda t: F.transform(t, lambda s: F.when(
-            s["kind"] == "val", nt.symbol("val", F.concat(F.lit("val="), s["val"]))
-        ).otherwise(s))
-    ).cast(nt.TERMS_TYPE).alias("terms"))
-    pairs = match(canonical_streams(qs2, n_attrs), tagged, max_pos=max_terms).select(
-        F.col("query_id").alias("weaker_id"), F.col("stream_id").alias("stricter_id")
-    ).distinct()
-    left = qs1.select(F.col("query_id").alias("weaker_id"), nt.format_terms(F.col("terms")).alias("_w"))
-    right = qs2.select(F.col("query_id").alias("stricter_id"), nt.format_terms(F.col("terms")).alias("_s"))
-    return (
-        pairs.join(left, "weaker_id").join(right, "stricter_id")
-        .filter(F.col("_w") != F.col("_s")).select("weaker_id", "stricter_id")
-    )
