@@ -129,6 +129,16 @@ class Growth:
             self._paths.append(path)
         return written
 
+    def _carried(self, emitted: DataFrame) -> tuple[DataFrame, str]:
+        """What a level's only join has found, written: it is counted, then read again for the survivors.
+
+        The folder goes when the level ends, or with all others if it does not.
+        """
+        written, path = write_step(emitted, "emitted")
+        with self._lock:
+            self._paths.append(path)
+        return written, path
+
     def __enter__(self) -> Growth:
         return self
 
@@ -184,11 +194,7 @@ class Growth:
         self, state: DataFrame, flags: DataFrame, n_queries: int, n_known: int, rows: DataFrame,
         use_values: bool = True, use_variables: bool = True,
     ) -> DataFrame:
-        """All symbols that continue a match, with the earliest end they lead to.
-
-        Computed twice per level, to count and to keep the survivors: the join
-        over the small written state costs less than storing what it emits.
-        """
+        """All symbols that continue a match, with the earliest end they lead to."""
         empty, grown = self.index.empty_item_set, self.index.with_value
         probe = (
             _join_small(state, flags, "qid", n_queries)
@@ -335,12 +341,13 @@ class Growth:
         limit = self.max_terms * (1 if attr is not None else self.n_attrs)
         while state is not None and n_queries and len(run.levels) < limit:
             flags = self._flags(meta, within_terms=attr is None)
-            emitted = self._emit(
+            emitted, path = self._carried(self._emit(
                 state, flags, n_queries, n_known, rows,
                 use_values and self.use_values, use_variables and self.use_variables,
-            )
+            ))
             described = self._describe(self._candidates(emitted), meta, n_queries)
             level = self._finish(emitted, described, META, f"level{len(run.levels) + 1}")
+            delete_steps(self.sdb.sparkSession, [path])
             run.levels.append(level)
             state, meta = level.state, level.meta
             n_queries, n_known = level.n_queries, level.n_known
@@ -402,10 +409,10 @@ class Growth:
             meta, state = _union(metas), _union(states).select(*STATE)
             allowed = self._write(self._allowed(meta, tree, n_tree), "allowed")
             n_allowed = allowed.count()
-            emitted = _join_small(
+            emitted, path = self._carried(_join_small(
                 self._emit(state, self._flags(meta, attr is None), n_meta, n_known, rows),
                 allowed.select("qid", "sym"), ["qid", "sym"], n_allowed, "left_semi",
-            )
+            ))
             candidates = _join_small(self._candidates(emitted), allowed, ["qid", "sym"], n_allowed)
             described = self._describe(candidates, meta, n_meta)
             described = described.withColumns({
@@ -417,6 +424,7 @@ class Growth:
                 "own": F.lit(-1),
             })
             mixed = self._finish(emitted, described, META + extra, f"mixed{depth + 1}")
+            delete_steps(self.sdb.sparkSession, [path])
             run.levels.append(mixed)
         return Run([
             Level(v.meta.select(*META), v.n_queries, v.n_known, v.state) for v in run.levels
