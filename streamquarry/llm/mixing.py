@@ -16,8 +16,10 @@ aggregation over all documents, and moves the rate of a document by the product
 probabilities with one vector (gradients are taken per token, and the residual is weighted by
 the inverse of the domains' second moments over the documents whose rate is not 0).  The rate is therefore an
 expression over the probabilities and the vectors so far: nothing per document is kept between
-steps, and lost work is simply computed again.  Steps end when the targets are met; where no rates
-meet them, when the distance has stopped falling, with a warning that names it.
+steps, and lost work is simply computed again.  Steps end when the targets are met.  Where no
+rates up to ``MOST_RATE`` meet them (few rows, or a classifier that cannot tell the domains apart),
+the wanted shares are moved halfway back to the present ones, and again, so that documents are
+never traded for a few copied many times; a warning names the part of the way that is left.
 
 Null and empty texts have no words: the classifier gives them the prior and they count one
 token, the end.  Without labels the probabilities are even.  Null and repeated ids are carried
@@ -43,6 +45,8 @@ FEATURE_BITS = 16
 SAMPLE = 2048  # labelled documents the classifier is fitted and calibrated on, at most
 CALIBRATE = 4  # one in so many of them is held out of the fit, to see what posteriors its domain gets
 PATIENCE = 10  # steps that gain less than a tenth, after which no rates are taken to meet the targets
+MOST_RATE = 2.0
+HALVINGS = 6  # of the way to the targets, after which rates stay 1
 
 
 def _features(data, offsets) -> list[np.ndarray]:
@@ -168,7 +172,7 @@ def with_domains(docs: DataFrame, model, carry: list[str], text_col="text") -> D
 
 
 def _totals(members: DataFrame, *more: Column) -> np.ndarray:
-    values = members.agg(*(F.sum(x) for x in more)).first()
+    values = members.agg(*more).first()
     return np.array([v or 0.0 for v in values])
 
 
@@ -182,28 +186,40 @@ def fit_rates(
     if posteriors are taken as they are.  Without ``total`` the wanted tokens are such that the
     domain of the largest weight keeps what it has.
     """
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    tokens = F.col("n_tokens")
+    p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
     share = np.array([weights[d] for d in DOMAINS]) / sum(weights.values())
     share = share if known is None else share @ known
-    path, gaps, wanted = [], [], None
+    present = _totals(members, *(F.sum(tokens * x) for x in p))
+    if not present.sum():
+        return [], present, present
+    present_share, main = present / present.sum(), int(share.argmax())
+    for halving in range(HALVINGS + 1):
+        aim = present_share + (share - present_share) / 2**halving
+        wanted = aim * (present[main] / aim[main] if total is None else total)
+        path, expected = _descent(members, wanted, tolerance)
+        if path is not None:
+            if halving:
+                warnings.warn(f"no rates meet the target weights: {1 / 2**halving:g} of the way is gone", stacklevel=2)
+            return path, wanted, expected
+    warnings.warn("no rates meet the target weights: rates stay 1", stacklevel=2)
+    return [], wanted, present
+
+
+def _descent(members: DataFrame, wanted: np.ndarray, tolerance: float):
+    """Vectors and reached tokens of projected-gradient steps, no vectors if the wanted tokens are out of reach."""
+    p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
+    path, gaps = [], []
     while True:
         rate = rate_of(path)
-        values = _totals(members, *(rate * tokens * x for x in p), *(F.when(rate > 0, tokens * x * y) for x in p for y in p))
-        expected, gram = values[: len(p)], values[len(p) :].reshape(len(p), len(p))
-        if wanted is None:
-            main = int(share.argmax())
-            wanted = share * (expected[main] / share[main] if total is None else total)
-        if not wanted.sum():
-            break
+        values = _totals(members, F.max(rate), *(F.sum(rate * tokens * x) for x in p),
+                         *(F.sum(F.when(rate > 0, tokens * x * y)) for x in p for y in p))
+        largest, expected, gram = values[0], values[1 : len(p) + 1], values[len(p) + 1 :].reshape(len(p), len(p))
         gaps.append(float(np.abs(expected - wanted).sum() / wanted.sum()))
         if gaps[-1] <= tolerance:
-            break
-        if len(gaps) > PATIENCE and min(gaps[-PATIENCE:]) > 0.9 * min(gaps[:-PATIENCE]):
-            warnings.warn(f"no rates meet the target weights: a share of {min(gaps):.2g} of the tokens is off", stacklevel=2)
-            break
+            return (path if largest <= MOST_RATE else None), expected
+        if len(gaps) > PATIENCE and not min(gaps[-PATIENCE:]) <= 0.9 * min(gaps[:-PATIENCE]):
+            return None, expected
         path.append((np.linalg.pinv(gram, rcond=1e-10) @ (expected - wanted)).tolist())
-    return path, wanted, expected
 
 
 def rate_of(path: list[list[float]]) -> Column:

@@ -24,16 +24,26 @@ def plain_mix(docs, labels):
     if not rows:
         return []
     p, tokens = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows]), np.array([r.n_tokens for r in rows], float)
-    share = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS]) @ known
-    wanted = share * ((p * tokens[:, None]).sum(0)[share.argmax()] / share.max())
-    rate, gaps = np.ones(len(rows)), []
-    while True:
-        over = p.T @ (rate * tokens) - wanted
-        gaps.append(np.abs(over).sum() / wanted.sum())
-        if gaps[-1] <= 1e-4 or (len(gaps) > mixing.PATIENCE and min(gaps[-mixing.PATIENCE :]) > 0.9 * min(gaps[: -mixing.PATIENCE])):
+    share, present = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS]) @ known, p.T @ tokens
+
+    def descent(wanted):
+        rate, gaps = np.ones(len(rows)), []
+        while True:
+            over = p.T @ (rate * tokens) - wanted
+            gaps.append(np.abs(over).sum() / wanted.sum())
+            if gaps[-1] <= 1e-4:
+                return rate if rate.max() <= mixing.MOST_RATE else None
+            if len(gaps) > mixing.PATIENCE and min(gaps[-mixing.PATIENCE :]) > 0.9 * min(gaps[: -mixing.PATIENCE]):
+                return None
+            rate = np.maximum(0, rate - p @ (np.linalg.pinv((p * (tokens * (rate > 0))[:, None]).T @ p, rcond=1e-10) @ over))
+
+    rate, now = None, present / present.sum()
+    for halving in range(mixing.HALVINGS + 1):
+        aim = now + (share - now) / 2**halving
+        rate = descent(aim * present[share.argmax()] / aim[share.argmax()])
+        if rate is not None:
             break
-        metric = np.linalg.pinv((p * (tokens * (rate > 0))[:, None]).T @ p, rcond=1e-10)
-        rate = np.maximum(0, rate - p @ (metric @ over))
+    rate = np.ones(len(rows)) if rate is None else rate
     return [r.row for r, x in zip(rows, rate, strict=True) if np.floor(x + r.chance) > 0]
 
 
@@ -73,6 +83,7 @@ def follow(spark, docs, sf):
         elif name == "mixing":
             table = spark.createDataFrame(before, docs.schema)
             assert text(after) == text(plain_mix(table, spark.read.parquet(f"{sf}/labels.parquet")))
+            assert len(after) >= 0.5 * len(before)
         else:
             used, bound = check_packing([(r.doc_id, r.text) for r in before], after, 2048)
             assert used <= bound + 1
