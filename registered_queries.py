@@ -197,6 +197,11 @@ def q_instances(spark, sf_dir):
                         F.array_join("b", ",").alias("b"))
 
 
+def q_count_instances(spark, sf_dir):
+    found = sq.count_instances(event_streams(spark, sf_dir), query_table(spark, *MIXED_QUERIES[:3]))
+    return found.withColumn("n_instances", F.col("n_instances").cast("bigint"))
+
+
 GAPS = [[(-1, -1), (1, 3), (-1, -1)], [(0, 9), (0, 4), (1, 30)], [(0, 1)]]
 GAP_QUERIES = ("click;; error;;", "$x0;; $x0;;", ";0; ;1;")
 
@@ -373,6 +378,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_with_span": q_span,
         "witness": q_witness,
         "instances": q_instances,
+        "count_instances": q_count_instances,
         "witness_with_gaps": q_witness_with_gaps,
         "witness_with_forbidden_values": q_witness_with_forbidden_values,
         "instances_with_span": q_instances_with_span,

@@ -434,6 +434,7 @@ d AS (
         "witness": ev("""SELECT query_id, stream_id, p, p1 || ',' || p2 || ',' || p3 AS positions, b FROM m WHERE query_id < 4
             QUALIFY row_number() OVER (PARTITION BY query_id, stream_id ORDER BY p, p1, p2, p3, b) = 1""", f"m AS ({mixed_matches()})"),
         "instances": ev("SELECT query_id, stream_id, p1 || ',' || p2 || ',' || p3 AS positions, b FROM m WHERE query_id < 4", f"m AS ({mixed_matches()})"),
+        "count_instances": ev("SELECT query_id, stream_id, count(*) AS n_instances FROM m WHERE query_id < 4 GROUP BY ALL", f"m AS ({mixed_matches()})"),
         "witness_with_gaps": ev(FIRST_OF_TWO, LAST_EVENTS, gap_matches),
         "match_types_with_gaps": ev(
             "SELECT CASE query_id WHEN 3 THEN 2 ELSE 1 END AS query_id, stream_id, min(p) AS p FROM m WHERE query_id <> 2 GROUP BY ALL",

@@ -10,8 +10,8 @@ from streamquarry.operators.discovery import (
     discover_types, flag_descriptive, query_lattice, supported_queries,
 )
 from streamquarry.operators.matching import (
-    classify_queries, instances, match, match_ends, match_types, matched_streams, reached_length,
-    streams_before_query, support, support_of, supported, update_matches, update_support, witness,
+    classify_queries, count_instances, instances, match, match_ends, match_types, matched_streams,
+    reached_length, streams_before_query, support, support_of, supported, update_matches, update_support, witness,
 )
 from streamquarry.operators.profiling import (
     alphabet, count_streams, database_profile, disjointness_score, length_distribution,

@@ -3,9 +3,13 @@
 Queries advance term by term.  The driving condition of a term is its first
 fixed value or already bound variable, so a step is one equi join on
 ``(stream_id, chunk, attribute, value)`` with a position range; all other
-conditions are checked on the joined event.  Queries of equal length share the
-joins.  Without windows only the earliest end per binding is kept, which is
-enough because every later continuation of a later end also continues it.
+conditions are checked on the joined event.  Queries form a trie: those that
+begin alike share the state of what they have in common, held under the smallest
+of their ids, and all queries, of whatever length, share the one join per term
+number.  Without windows only the earliest end per binding is kept, which is
+enough because every later continuation of a later end also continues it.  With
+windows the events within reach of the ends so far are kept as intervals, of which
+an event lies in one (of each chunk), so state does not grow with pairs of events.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamquarry.functions import notation as nt
@@ -27,6 +31,8 @@ from streamquarry.plans.workspace import BROADCAST_ROWS, broadcast_if_small, mat
 
 # Terms joined in one plan before the matches so far are written.
 TERMS_PER_PLAN = 6
+# Numbers of matches, which are binomial in the length of a stream.
+COUNT = "decimal(38,0)"
 # Parts a query table too large to broadcast is repeated in, against hot values.
 SALTS = 16
 
@@ -39,11 +45,12 @@ class _Options:
     gaps: bool = False
     forbidden: bool = False
     span: bool = False
+    counting: bool = False  # the number of matches per end, not the matches
 
     @property
     def windows(self) -> bool:
         """With windows a later end can go on where the earliest cannot."""
-        return self.gaps or self.forbidden or self.span or self.all_ends
+        return self.gaps or self.forbidden or self.span or self.all_ends or self.counting
 
 
 def _options_of(
@@ -56,13 +63,15 @@ def _options_of(
     )
 
 
-def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
+def _prepare(qs: DataFrame, options: _Options, share: bool = True) -> DataFrame:
     """Queries in normal form; windows move along with dropped terms.
 
     Next to forbidden values an empty term stays, as one event of any kind, since
     the sets belong to the gaps on both of its sides.
-    ``n_before`` counts, per term, the variables met in earlier terms.  The
-    table is written, so that later steps read plain columns.
+    ``n_before`` counts, per term, the variables met in earlier terms.  ``nodes`` holds, per
+    term, the smallest id of the queries that are alike up to there, windows included: the
+    nodes of the trie (with ``share=False`` each query has its own).  The table is written, so
+    that later steps read plain columns.
     """
     terms = normal_terms(F.col("terms"))
     extra = []
@@ -83,7 +92,23 @@ def _prepare(qs: DataFrame, options: _Options) -> DataFrame:
         """transform(terms, (t, i) -> size(array_distinct(filter(
                flatten(slice(terms, 1, i)), s -> s.kind = 'var')))) AS n_before""",
     )
-    return materialize(prepared, "queries")
+    if not share:
+        return materialize(prepared.selectExpr("*", "array_repeat(query_id, n_terms) AS nodes"), "queries")
+    return materialize(_with_nodes(prepared, options), "queries")
+
+
+def _with_nodes(prepared: DataFrame, options: _Options) -> DataFrame:
+    alike = ["slice(terms, 1, i + 1) AS t"]
+    alike += ["slice(gaps, 1, i + 1) AS g"] if options.gaps else []
+    alike += ["slice(gap_forbidden, 1, i) AS f"] if options.forbidden else []
+    alike += ["span AS s"] if options.span else []
+    beginnings = prepared.selectExpr(
+        "query_id", f"posexplode(transform(terms, (x, i) -> sha2(to_json(struct({', '.join(alike)})), 256))) AS (_t, _begin)"
+    )
+    least = beginnings.groupBy("_t", "_begin").agg(F.min("query_id").alias("_node"))
+    nodes = beginnings.join(least, ["_t", "_begin"]).groupBy("query_id").agg(
+        F.expr("transform(array_sort(collect_set(struct(_t, _node))), x -> x._node)").alias("nodes"))
+    return prepared.join(nodes, "query_id", "left")
 
 
 ANY_EVENT = "named_struct('d_attr', -1, 'd_key', '#')"
@@ -104,8 +129,11 @@ def _events_by_value(sdb: DataFrame, size: int | None, any_event: bool = False)
 
 
 def _asked(qs: DataFrame, t: int, n_attrs: int, options: _Options) -> DataFrame:
-    """Conditions of term t: per attribute a value ``v``, a known variable ``x`` or a new one."""
-    columns = []
+    """Conditions of term t per node of the trie, and the node of the term before (``_parent``).
+
+    Per attribute there is a value ``v``, a known variable ``x`` or a new one.
+    """
+    columns = [f"{f'nodes[{t - 1}]' if t else 'query_id'} AS _parent"]
     for a in range(n_attrs):
         s = f"terms[{t}][{a}]"
         var, before = f"CAST({s}.val AS INT)", f"n_before[{t}]"
@@ -120,7 +148,7 @@ def _asked(qs: DataFrame, t: int, n_attrs: int, options: _Options) -> DataFrame:
         columns.append(f"get(gap_forbidden, {t - 1}) AS forbidden")
     if options.span:
         columns.append("span")
-    return qs.selectExpr("query_id", *columns)
+    return qs.filter(f"n_terms > {t} AND nodes[{t}] = query_id").selectExpr("query_id", *columns)
 
 
 def _with_driver(df: DataFrame, n_attrs: int, bound: bool) -> DataFrame:
@@ -147,18 +175,26 @@ def _new_bindings(attrs: list[str]) -> str:
 
 
 def _reduce(df: DataFrame, options: _Options) -> DataFrame:
-    """One row per state: the earliest end, or every end if windows ask for it."""
+    """One row per state: the earliest end, or every end if windows ask for it.
+
+    Of the starts that a span reaches back to the latest serves every continuation.
+    """
     keys = ["query_id", "stream_id", "b"]
     if options.every:
         return df
+    if options.counting:
+        return df.groupBy(*keys, "p", *(["p_first"] if options.span else [])).agg(
+            F.sum("n").cast(COUNT).alias("n"))
     ends = ["p", *(["p_first"] if options.span else [])]
     if options.positions and options.windows:
         return df.groupBy(*keys, *ends).agg(F.min("positions").alias("positions"))
     if options.positions:
         best = F.min(F.struct("p", "positions")).alias("_m")
         return df.groupBy(*keys).agg(best).select(*keys, "_m.p", "_m.positions")
+    if options.span:
+        return df.groupBy(*keys, "p").agg(F.max("p_first").alias("p_first"))
     if options.windows:
-        return df.select(*keys, *ends).distinct()
+        return df.select(*keys, "p").distinct()
     return df.groupBy(*keys).agg(F.min("p").alias("p"))
 
 
@@ -167,6 +203,7 @@ def _state_columns(options: _Options) -> list[str]:
         ["query_id", "stream_id", "b", "p"]
         + (["positions"] if options.positions else [])
         + (["p_first"] if options.span else [])
+        + (["n"] if options.counting else [])
     )
 
 
@@ -185,14 +222,16 @@ def _first_term(events, qs, n_queries, attrs, options) -> DataFrame:
         "query_id", "stream_id", f"{_new_bindings(attrs)} AS b", "pos AS p",
         *(["array(pos) AS positions"] if options.positions else []),
         *(["pos AS p_first"] if options.span else []),
+        *([f"CAST(1 AS {COUNT}) AS n"] if options.counting else []),
     )
     return _reduce(hits, options)
 
 
 def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> DataFrame:
     terms = _asked(qs, t, len(attrs), options)
-    state = state.join(broadcast_if_small(terms, n_queries), "query_id")
-    if options.windows and not options.every:
+    state = state.withColumnRenamed("query_id", "_parent").join(
+        broadcast_if_small(terms, n_queries), "_parent").drop("_parent")
+    if options.windows and not options.every and not options.counting:
         state = _earliest_if_open(state, terms.columns, options)
     asked = _with_driver(state, len(attrs), bound=True)
     upper = (["p + 1 + hi"] if options.gaps else []) + (["p_first + span - 1"] if options.span else [])
@@ -200,8 +239,10 @@ def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> D
     asked = asked.selectExpr(
         "*", f"p + 1{' + lo' if options.gaps else ''} AS _from", f"{upper} AS _to"
     )
-    if options.forbidden:
-        asked = _before_forbidden(asked, events, ends, size)
+    if options.forbidden and t:
+        asked = _before_forbidden(asked, terms, events, ends, size)
+    if options.windows and not options.every and not options.positions:
+        asked = _reach(asked, options, size)
     on = ["stream_id", "d_attr", "d_key"]
     if ends is not None:
         # long streams exist: ask every chunk that may hold the next term
@@ -217,10 +258,60 @@ def _next_term(state, events, ends, qs, n_queries, t, attrs, options, size) -> D
         "query_id", "stream_id", f"concat(b, {_new_bindings(attrs)}) AS b", "pos AS p",
         *(["concat(positions, array(pos)) AS positions"] if options.positions else []),
         *(["p_first"] if options.span else []),
+        *(["n"] if options.counting else []),
     )
     return _reduce(hits, options)
 
 
+def _reach(asked: DataFrame, options: _Options, size: int) -> DataFrame:
+    """The ends of a state and binding as few intervals ``_from`` to ``_to`` of what may follow.
+
+    Bounded gaps: overlapping intervals become one.  A span over open gaps: an interval ends before
+    the next one begins, which takes the latest start so far.  Counts over open gaps: likewise, and
+    the next one takes the sum so far.  Each chunk of positions has its own intervals, so a hot
+    stream is many groups.  Spans over bounded gaps, and counts under any window, stay as they are.
+    """
+    any_bound = (["hi IS NOT NULL"] if options.gaps else []) + (
+        ["coalesce(size(forbidden), 0) > 0"] if "forbidden" in asked.columns else [])
+    bounded = f"({' OR '.join(any_bound)})" if any_bound else "false"
+    spanned = "span IS NOT NULL" if options.span else "false"
+    if options.counting:
+        style = f"CASE WHEN {bounded} OR {spanned} THEN 'own' ELSE 'next' END"
+    else:
+        style = f"CASE WHEN NOT ({spanned}) THEN 'merged' WHEN {bounded} THEN 'own' ELSE 'next' END"
+    asked = asked.withColumn("_style", F.expr(style))
+    keys = ["query_id", "stream_id", "b", "_style", "_block"]
+    blocks = asked.filter("_style <> 'own'").withColumn("_block", chunk_of(F.col("_from"), size))
+    own = [c for c in asked.columns if c not in (*keys, "p", "_from", "_to", "p_first", "n")]
+    in_order = Window.partitionBy(*keys).orderBy("_from")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+
+    follows = F.lead("_from").over(in_order) - 1
+    nexts = blocks.filter("_style = 'next'")
+    if options.span and not options.counting:
+        nexts = nexts.withColumn("p_first", F.max("p_first").over(so_far)).withColumn("_follows", follows)
+        nexts = nexts.withColumn("_to", F.least(F.expr("p_first + span - 1"), "_follows"))
+    elif options.counting:
+        nexts = nexts.withColumn("n", F.sum("n").over(so_far).cast(COUNT)).withColumn("_to", follows)
+    columns = [*keys[:3], *own, "_from", "_to", *(["p_first"] if options.span else []),
+               *(["n"] if options.counting else [])]
+    parts = [asked.filter("_style = 'own'").select(*columns), nexts.select(*columns)]
+    if not options.counting:
+        open_end = F.coalesce("_to", F.lit(2**31 - 1))
+        fresh = F.col("_from") - 1 > F.max("_to").over(before)
+        merged = (
+            blocks.filter("_style = 'merged'").withColumn("_to", open_end)
+            .withColumn("_fresh", F.coalesce(fresh, F.lit(False)).cast("int"))
+            .withColumn("_part", F.sum("_fresh").over(so_far))
+            .groupBy(*keys, "_part").agg(
+                F.min("_from").alias("_from"), F.max("_to").alias("_to"),
+                *[F.first(c).alias(c) for c in [*own, *(["p_first"] if options.span else [])]])
+        )
+        parts.append(merged.select(*columns))
+    return reduce(DataFrame.unionByName, parts if options.span or options.counting else parts[2:])
+
+
 def _earliest_if_open(state: DataFrame, asked: list[str], options: _Options) -> DataFrame:
     """Keep only the earliest end where nothing bounds the next term from above.
 
@@ -233,7 +324,7 @@ def _earliest_if_open(state: DataFrame, asked: list[str], options: _Options) ->
     keys = ["query_id", "stream_id", "b"]
     kept = ["p", *(["positions"] if options.positions else []), *(["p_first"] if options.span else [])]
     more = (["p_first"] if options.span else [])
-    rest = [c for c in asked if c != "query_id"]
+    rest = [c for c in asked if c not in ("query_id", "_parent")]
     state = state.selectExpr(*keys, *kept, *rest, f"{own} AS _own", *(
         [f"IF({own} = -1, -1, p_first) AS _own_first"] if more else []))
     grouped = state.groupBy(*keys, "_own", *(["_own_first"] if more else [])).agg(
@@ -241,24 +332,39 @@ def _earliest_if_open(state: DataFrame, asked: list[str], options: _Options) ->
     return grouped.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in kept], *rest)
 
 
-def _before_forbidden(asked, events, ends, size) -> DataFrame:
-    """Bound ``_to`` by the next event after ``p`` that holds a forbidden value."""
+def _before_forbidden(asked, terms, events, ends, size) -> DataFrame:
+    """Bound ``_to`` by the next event after ``p`` that holds a forbidden value.
+
+    Ends and events with forbidden values are put in one descending order per stream, value and
+    chunk, and each end takes the last event met; if there is none, the first of the next chunk that
+    has one.  So no end is paired with the events behind it.
+    """
     probes = asked.filter("size(forbidden) > 0").selectExpr(
         "query_id", "stream_id", "p", "explode(forbidden) AS _f"
-    ).selectExpr("query_id", "stream_id", "p", "concat('v', _f) AS d_key").distinct()
+    ).selectExpr("query_id", "stream_id", "p AS pos", "concat('v', _f) AS d_key").distinct()
     on = ["stream_id", "d_key"]
     if ends is not None:
-        chunks = F.sequence(chunk_of(F.col("p"), size), chunk_of(F.col("last_pos"), size))
-        probes = probes.join(ends, "stream_id").withColumn("chunk", F.explode(chunks)).drop("last_pos")
+        probes = probes.withColumn("chunk", chunk_of(F.col("pos"), size))
         on = [*on, "chunk"]
-    stops = (
-        probes.join(events.select(*on, "pos"), on)
-        .filter("pos > p")
-        .groupBy("query_id", "stream_id", "p").agg(F.min("pos").alias("_stop"))
+    values = terms.selectExpr("explode(forbidden) AS _f").selectExpr("concat('v', _f) AS d_key").distinct()
+    marks = events.join(values, "d_key", "left_semi").selectExpr(*on, "pos", "true AS _event").unionByName(
+        probes.selectExpr(*on, "pos", "false AS _event").distinct())
+    event_pos = F.expr("IF(_event, pos, NULL)")
+    downwards = Window.partitionBy(*on).orderBy(F.desc("pos"), "_event").rowsBetween(Window.unboundedPreceding, 0)
+    stops = marks.withColumn("_stop", F.min(event_pos).over(downwards)).filter("NOT _event").drop("_event")
+    if ends is not None:
+        chunks = Window.partitionBy("stream_id", "d_key").orderBy(F.desc("chunk")).rowsBetween(
+            Window.unboundedPreceding, -1)
+        later = marks.groupBy(*on).agg(F.min(event_pos).alias("_least")).select(
+            *on, F.min("_least").over(chunks).alias("_later"))
+        stops = stops.join(later, on).select(*on, "pos", F.coalesce("_stop", "_later").alias("_stop"))
+    nearest = (
+        probes.join(stops, [*on, "pos"])
+        .groupBy("query_id", "stream_id", F.col("pos").alias("p")).agg(F.min("_stop").alias("_stop"))
     )
-    return asked.join(stops, ["query_id", "stream_id", "p"], "left").withColumn(
+    return asked.join(nearest, ["query_id", "stream_id", "p"], "left").withColumn(
         "_to", F.least("_to", "_stop")
-    )
+    ).drop("_stop")
 
 
 def _match(
@@ -267,7 +373,7 @@ def _match(
 ) -> DataFrame:
     """States of all matches; of ``pairs(query_id, stream_id)`` only, if given (without windows)."""
     attrs = attributes(sdb)
-    prepared = _prepare(qs, options)
+    prepared = _prepare(qs, options, share=pairs is None)
     # one row per query length
     lengths = {r[0]: r[1] for r in prepared.groupBy("n_terms").count().collect()}
     if max_pos is None:
@@ -281,38 +387,44 @@ def _match(
     if 0 in lengths:
         empty = _empty_matches(sdb, prepared.filter("n_terms = 0"), lengths.pop(0), options).select(*columns)
         results.append(empty if pairs is None else empty.join(pairs, ["query_id", "stream_id"], "left_semi"))
-    for n_terms, n_queries in sorted(lengths.items()):
-        group = prepared.filter(F.col("n_terms") == n_terms)
-        if pairs is None:
-            state, first = _first_term(events, group, n_queries, attrs, options), 1
+    longest = max(lengths, default=0)
+    state = None if pairs is None else pairs.selectExpr(
+        "query_id", "stream_id", "CAST(array() AS ARRAY<STRING>) AS b", "-1 AS p")
+    unwritten = 0
+    for t in range(longest):
+        n_queries = sum(n for n_terms, n in lengths.items() if n_terms > t)
+        if state is None:
+            state = _first_term(events, prepared, n_queries, attrs, options)
         else:
-            state, first = pairs.selectExpr(
-                "query_id", "stream_id", "CAST(array() AS ARRAY<STRING>) AS b", "-1 AS p"), 0
-        for t in range(first, n_terms):
-            if t and t % TERMS_PER_PLAN == 0:
-                state = materialize(state, "matches")
-            state = _next_term(
-                state, events, ends, group, n_queries, t, attrs, options, size
-            )
-        if options.gaps:
-            bounds = group.selectExpr(
-                "query_id", f"gaps[{n_terms}].lo AS _lo", f"gaps[{n_terms}].hi AS _hi"
-            )
-            lasts = sdb.groupBy("stream_id").agg(F.max("pos").alias("_last"))
-            state = (
-                state.join(broadcast_if_small(bounds, n_queries), "query_id")
-                .join(lasts, "stream_id")
-                .filter("_last - p >= _lo AND (_hi IS NULL OR _last - p <= _hi)")
-            )
-        results.append(state.select(*columns))
+            state = _next_term(state, events, ends, prepared, n_queries, t, attrs, options, size)
+        unwritten += 1
+        ending = lengths.get(t + 1, 0)
+        # read by the queries that end here and by those that go on
+        if t + 1 < longest and (ending or unwritten == TERMS_PER_PLAN):
+            state, unwritten = materialize(state, "matches"), 0
+        if ending:
+            results.append(_ended(sdb, state, prepared, t + 1, ending, options).select(*columns))
     if not results:
         schema = "query_id bigint, stream_id bigint, b array<string>, p int"
         schema += ", positions array<int>" if options.positions else ""
         schema += ", p_first int" if options.span else ""
+        schema += f", n {COUNT}" if options.counting else ""
         return sdb.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, results)
 
 
+def _ended(sdb, state, qs, n_terms, n_queries, options) -> DataFrame:
+    """The matches of the queries with ``n_terms`` terms, out of the states of their last nodes."""
+    own = qs.filter(F.col("n_terms") == n_terms).selectExpr(
+        "query_id", f"nodes[{n_terms - 1}] AS _node",
+        *([f"gaps[{n_terms}].lo AS _lo", f"gaps[{n_terms}].hi AS _hi"] if options.gaps else []))
+    found = state.withColumnRenamed("query_id", "_node").join(broadcast_if_small(own, n_queries), "_node")
+    if not options.gaps:
+        return found
+    lasts = sdb.groupBy("stream_id").agg(F.max("pos").alias("_last"))
+    return found.join(lasts, "stream_id").filter("_last - p >= _lo AND (_hi IS NULL OR _last - p <= _hi)")
+
+
 def _empty_matches(sdb: DataFrame, qs: DataFrame, n_queries: int, options: _Options) -> DataFrame:
     """A query without conditions matches every stream, before its first event (``p`` is -1).
 
@@ -325,7 +437,7 @@ def _empty_matches(sdb: DataFrame, qs: DataFrame, n_queries: int, options: _Opti
         pairs = pairs.filter("_last + 1 >= _lo AND (_hi IS NULL OR _last + 1 <= _hi)")
     return pairs.selectExpr(
         "query_id", "stream_id", "CAST(array() AS ARRAY<STRING>) AS b", "-1 AS p",
-        "CAST(array() AS ARRAY<INT>) AS positions", "-1 AS p_first")
+        "CAST(array() AS ARRAY<INT>) AS positions", "-1 AS p_first", f"CAST(1 AS {COUNT}) AS n")
 
 
 def match_types(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
@@ -450,6 +562,17 @@ def instances(
     return _match(sdb, qs, options, max_pos).select("query_id", "stream_id", "positions", "b")
 
 
+def count_instances(sdb: DataFrame, qs: DataFrame, max_pos: int | None = None) -> DataFrame:
+    """``query_id, stream_id, n_instances``: how many matches ``instances`` would list.
+
+    Matches are counted per end and added up term by term, never listed.  A number beyond 38 digits is an error.
+    """
+    options = _options_of(qs)
+    options.counting = True
+    return _match(sdb, qs, options, max_pos).groupBy("query_id", "stream_id").agg(
+        F.sum("n").cast(COUNT).alias("n_instances"))
+
+
 def update_matches(
     state: DataFrame,
     qs: DataFrame,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import streamquarry as sq
 from streamquarry.operators import matching
@@ -185,12 +187,20 @@ def test_windows_everywhere(make_db, make_queries, seed):
                     max(0, own.get("span", [0] * 3)[q]))]
                 if found:
                     want[q + 1, s] = found
+        if seed == 0:
+            counted = {(r.query_id, r.stream_id): int(r.n_instances) for r in sq.count_instances(df, qs).collect()}
+            assert counted == {k: len(v) for k, v in want.items()}
         got = {}
         for r in sq.instances(df, qs).collect():
             got.setdefault((r.query_id, r.stream_id), []).append(tuple(r.positions))
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
         first = {(r.query_id, r.stream_id): (r.p, tuple(r.positions)) for r in sq.witness(df, qs).collect()}
         assert first == {k: min((pos[-1], pos) for pos in v) for k, v in want.items()}
+        if seed == 1:  # chunks of two events
+            found = matching._match(df, qs, matching._options_of(qs), None, 2)
+            first = found.groupBy("query_id", "stream_id").agg(F.min("p").alias("p")).collect()
+            assert {(r.query_id, r.stream_id): r.p for r in first} == {
+                k: min(pos[-1] for pos in v) for k, v in want.items()}
         types = {(r.query_id, r.stream_id): r.p for r in sq.match_types(df, qs).collect()}
         assert types == {k: min(pos[-1] for pos in v) for k, v in want.items() if k[0] == 1}
 
@@ -212,3 +222,43 @@ def test_lookup_with_two_rows_for_a_value(make_db, spark):
 def test_generalisations_of_many_equal_symbols(make_queries):
     qs = make_queries(" ".join(["a;"] * 14))
     assert sq.generalisations(qs).count() > 500
+
+
+def test_queries_that_begin_alike_share_nodes(make_db, make_queries):
+    df, db = make_db({1: "a,x b,y a,x c,y", 2: "a,y c,y b,x a,y"})
+    texts = ["a;; b;;", "a;; b;; a;;", "a;;", "a;; c;;", "$x0;; $x0;;", "a;; b;;", ";$x0; b;; ;$x0;"]
+    qs = make_queries(*texts)
+    nodes = {r.query_id: r.nodes for r in matching._prepare(qs, matching._Options()).collect()}
+    assert nodes == {1: [1, 1], 2: [1, 1, 2], 3: [1], 4: [1, 4], 5: [5, 5], 6: [1, 1], 7: [7, 7, 7]}
+    assert ends(sq.match(df, qs)) == expected(db, texts)
+    spans = matching._prepare(make_queries("a;; b;;", "a;; c;;", span=[2, 3]), matching._Options(span=True))
+    assert {r.query_id: r.nodes for r in spans.collect()} == {1: [1, 1], 2: [2, 2]}
+
+
+def asked_rows(spark, ends, **columns):
+    rows = [{"query_id": 1, "stream_id": 1, "b": ["v"], "p": p, "_from": p + 1, **columns} for p in ends]
+    return spark.createDataFrame(
+        [{**r, "_to": r["p"] + 1 + r["hi"] if r.get("hi") is not None else None, "p_first": r["p"]} for r in rows],
+        "query_id long, stream_id long, b array<string>, p int, hi int, span int, _from int, _to int, p_first int, n decimal(38,0)")
+
+
+def test_reach_of_many_ends_is_few_intervals(spark):
+    options = matching._Options(gaps=True)
+    got = matching._reach(asked_rows(spark, [*range(100), 200], hi=5), options, 4096).collect()
+    assert sorted((r._from, r._to) for r in got) == [(1, 105), (201, 206)]
+    # with a span each event behind the ends lies in one interval
+    options = matching._Options(span=True)
+    got = matching._reach(asked_rows(spark, range(100), span=10), options, 4096).collect()
+    assert all(sum(r._from <= pos <= r._to for r in got) == 1 for pos in range(1, 108))
+    options = matching._Options(counting=True)
+    got = matching._reach(asked_rows(spark, range(100), n=Decimal(1)), options, 4096).collect()
+    assert all([int(r.n) for r in got if r._from <= pos and (r._to is None or pos <= r._to)] == [min(pos, 100)]
+               for pos in range(1, 150))
+
+
+def test_number_of_instances_of_one_long_stream(make_db, make_queries):
+    df, _ = make_db({1: " ".join(["a"] * 40)})
+    qs = make_queries("a; a; a; a; a;", "a; b;", "$x0; $x0;", "$x0;")
+    assert {r.query_id: int(r.n_instances) for r in sq.count_instances(df, qs).collect()} == {1: 658008, 3: 780, 4: 1}
+    small = matching._match(df, qs, matching._Options(counting=True), None, 8).groupBy("query_id").agg(F.sum("n").alias("n"))
+    assert {r.query_id: int(r.n) for r in small.collect()} == {1: 658008, 3: 780, 4: 1}
