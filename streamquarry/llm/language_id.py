@@ -37,13 +37,34 @@ TABLE_BITS = 16
 TEXT_WEIGHT = 40.0
 SMOOTH = 20.0  # rows' worth of the wider prior in a narrower one
 
-_hidden = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>")
-_tag = re.compile(r"(?s)<[^>]*>")
+_opening = re.compile(r"(?i)<(?:!--|(?P<script>script)\b|(?P<style>style)\b|(?P<nav>nav)\b)")
+_closing = {None: re.compile("-->")} | {
+    name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav")}
+_tag = re.compile(r"<[^>]*>")
+
+
+def _shown(page: str) -> str:
+    """``page`` with a blank for each comment, script, style and navigation that is closed.
+
+    What has no closing behind it is looked for once, so the time is linear in the page.
+    """
+    kept, start, at, unclosed = [], 0, 0, set()
+    while opening := _opening.search(page, at):
+        at, kind = opening.end(), opening.lastgroup
+        closing = None if kind in unclosed else _closing[kind].search(page, at)
+        if closing is None:
+            unclosed.add(kind)
+            continue
+        kept += [page[start:opening.start()], " "]
+        start = at = closing.end()
+    return "".join([*kept, page[start:]])
 
 
 def visible_text(page: str) -> str:
     """Text of a page without scripts, styles, navigation, comments and tags."""
-    return markup.unescape(_tag.sub(" ", _hidden.sub(" ", page)))
+    shown = _shown(page)
+    last = shown.rfind(">") + 1  # no tag ends behind it
+    return markup.unescape(_tag.sub(" ", shown[:last]) + shown[last:])
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import math
+import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -290,3 +294,18 @@ def test_empty_texts_get_the_language_of_their_host(spark):
 
 def test_visible_text():
     assert language_id.visible_text("<nav>no</nav><!-- <p>no --><P>a &amp; b</P><script>no</script >").split() == ["a", "&", "b"]
+
+
+def test_visible_text_equals_lazy_patterns_and_is_linear():
+    hidden = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>")
+    parts = ["<nav>", "</nav >", "<NAV a", "</Nav>", "<!--", "-->", "<script>", "</script>", "<style", "</style\n>",
+             "<", ">", "<b>", "word ", "&amp;", "<navy>", "</nav"]
+    rng = random.Random(8)
+    for _ in range(5000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        want = html.unescape(re.sub(r"(?s)<[^>]*>", " ", hidden.sub(" ", page)))
+        assert language_id.visible_text(page) == want, page
+    start = time.process_time()
+    for piece in ("<nav>", "<", "<!--", "</nav", "<nav>-->", "<script></style>", "<b"):
+        language_id.visible_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 15
