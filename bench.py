@@ -40,7 +40,8 @@ def main() -> None:
         for name in (
             "streams_from_table", "streams_before_match", "uniquify_frequent", "profile_report",
             "database_profile", "type_pattern_disjointness", "ngrams_of_values", "match", "support",
-            "match_with_gaps", "instances_with_span", "generalisations",
+            "match_with_gaps", "instances_with_span", "generalisations", "discover_by_templates",
+            "discover_by_templates_lossy", "count_instances",
         )
     }
     only = os.environ.get("BENCH_QUERIES")

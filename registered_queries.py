@@ -412,5 +412,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             sq.discover_by_templates(event_streams(spark, d), max_terms=2, supp=SUPP)),
         "discover_by_templates_lossy": lambda spark, d: _strings(
             sq.discover_by_templates(event_streams(spark, d), max_terms=2, supp=SUPP, lossy=True)),
+        "discover_by_templates_three_terms": lambda spark, d: _strings(
+            sq.discover_by_templates(talks(spark, d), max_terms=3, supp=0.75)),
+        "query_lattice_frequent": lambda spark, d: sq.query_lattice(one_attribute_queries(spark, d), frequent_only=True),
         "compare_query_sets": q_compare,
     }

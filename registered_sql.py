@@ -467,7 +467,11 @@ d AS (
         "query_lattice": ev("""SELECT e.child, e.parent, e.child_n_streams, f.n_streams AS parent_n_streams,
             NOT EXISTS (SELECT 1 FROM edges o WHERE o.parent = e.child) AS child_descriptive
             FROM edges e LEFT JOIN found f ON f.qstr = e.parent""", one, EDGES),
+        "query_lattice_frequent": ev("""SELECT e.child, e.parent, e.child_n_streams, f.n_streams AS parent_n_streams,
+            NOT EXISTS (SELECT 1 FROM edges o WHERE o.parent = e.child) AS child_descriptive
+            FROM edges e JOIN found f ON f.qstr = e.parent""", one, EDGES),
         "discover_by_templates": discovered(2, flags=False, only=True),
+        "discover_by_templates_three_terms": discovered(2, flags=False, only=True, supp=0.75, max_terms=3, streams=TALKS),
         "discover_by_templates_lossy": discovered(2, flags=False, only=True, where=HAS_VALUE),
         "compare_query_sets": ev("""SELECT tp AS true_positives, fp AS false_positives, mi AS misses,
             CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END AS precision, CASE WHEN tp + mi > 0 THEN tp / (tp + mi)::DOUBLE END AS recall,

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from streamquarry.functions import notation as nt
 from streamquarry.functions.columns import attributes
-from streamquarry.operators.containment import weaker_queries
+from streamquarry.operators.containment import neighbour_candidates, verified, weaker_queries
 from streamquarry.operators.queries import generalisations
+from streamquarry.operators.templates import TemplateMining, without_open_terms
 from streamquarry.plans.growth import Growth, Run, run_together
 from streamquarry.plans.workspace import materialize
 
@@ -29,8 +30,6 @@ def _closed(growth: Growth, runs: list[Run]) -> DataFrame:
     found = reduce(DataFrame.unionByName, metas).filter(
         ~F.exists("var_count", lambda c: c < 2)
     )
-    if growth.value_in_every_term:
-        found = found.filter("has_value")
     terms = F.col("terms")
     return found.select(
         F.col("qid").alias("query_id"), nt.format_terms(terms).alias("qstr"), "terms",
@@ -116,13 +115,19 @@ def discover_types(
 
     ``max_items`` bounds the values of a query; it has no more terms than values.
     """
-    if max_items is not None:
-        max_terms = min(max_items, max_terms or max_items)
-    with Growth(sdb, supp, max_terms, use_variables=False) as growth:
-        found = _closed(growth, [growth.run(use_variables=False)])
-        if max_items is not None:
-            found = found.filter(F.size(nt.values(F.col("terms"))) <= max_items)
-        return materialize(found, "types")
+    with TemplateMining(sdb, supp, max_terms, max_items) as mining:
+        return _mined(mining, [mining.sequences()], "types")
+
+
+def _mined(mining: TemplateMining, parts: list[DataFrame], label: str) -> DataFrame:
+    """What template-first mining has found, as a discovery result."""
+    found = reduce(DataFrame.unionByName, [p.select("terms", "n_streams") for p in parts])
+    terms = F.col("terms")
+    return materialize(without_open_terms(found).select(
+        F.monotonically_increasing_id().alias("query_id"), nt.format_terms(terms).alias("qstr"), "terms",
+        F.size("terms").alias("n_terms"), nt.query_kind(terms).alias("kind"), "n_streams",
+        (F.col("n_streams") / mining.n_streams).alias("support"),
+    ), label)
 
 
 def discover_patterns(
@@ -163,14 +168,23 @@ def descriptive(qs: DataFrame, method: str = "containment") -> DataFrame:
     return qs.join(weaker, "qstr", "left_anti").select(qs.columns)
 
 
-def query_lattice(qs: DataFrame) -> DataFrame:
+def query_lattice(qs: DataFrame, frequent_only: bool = False) -> DataFrame:
     """Edges from each query to its one-step generalisations.
 
     ``child`` is the stricter query; ``parent_n_streams`` is NULL for a
     generalisation outside the table, ``child_descriptive`` tells whether no
     query of the table is a child of the child.
+
+    ``frequent_only`` leaves out generalisations outside the table.  They are then not formed at all,
+    which takes 2^m of them for m equal symbols: queries meet under what a step leaves of their parts.
     """
-    edges = generalisations(qs).select("query_id", F.col("qstr").alias("parent"))
+    if frequent_only:
+        names = materialize(qs.select("query_id", "terms", "qstr"), "queries")
+        edges = verified(neighbour_candidates(names), names, names).join(
+            names.select("query_id", F.col("qstr").alias("parent")), "query_id"
+        ).select(F.col("stream_id").alias("query_id"), "parent")
+    else:
+        edges = generalisations(qs).select("query_id", F.col("qstr").alias("parent"))
     known = qs.select(F.col("qstr").alias("parent"), F.col("n_streams").alias("parent_n_streams"))
     has_child = edges.select(F.col("parent").alias("child")).distinct().withColumn(
         "_has", F.lit(True)
@@ -194,18 +208,16 @@ def discover_by_templates(
     supp: float = 1.0,
     descriptive_only: bool = True,
 ) -> DataFrame:
-    """Queries as a template-first miner finds them.
+    """Queries by template-first mining; the same as ``discover`` finds unless ``lossy``.
 
-    Without ``lossy`` the result is that of ``discover`` with the strategy ``separated``, which
-    runs: value sequences first, then variables.  ``lossy`` wants at least one value in every
-    term, which is faster and misses queries with terms of variables only.
+    Sequences of event templates come first, then equality constraints between their open places
+    (``operators.templates``).  ``lossy`` wants at least one value in every term, which is faster
+    and misses queries with terms of variables only.
     """
-    if not lossy:
-        return discover(sdb, supp, max_terms, "separated", descriptive_only=descriptive_only)
-    with Growth(sdb, supp, max_terms, value_in_every_term=True) as growth:
-        # a term made of variables so far may still get its value
-        found = materialize(_closed(growth, [growth.run()]), "supported")
-    flagged = flag_descriptive(found)
+    with TemplateMining(sdb, supp, max_terms, open_terms=not lossy) as mining:
+        sequences = mining.sequences()
+        found = _mined(mining, [sequences, *mining.constrained(sequences)], "supported")
+    flagged = flag_descriptive(found, complete=not lossy)
     return flagged.filter("descriptive") if descriptive_only else flagged
 
 

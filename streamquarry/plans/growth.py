@@ -37,8 +37,7 @@ from streamquarry.plans.occurrences import INDEX_CHUNK, OccurrenceIndex, build_i
 from streamquarry.plans.workspace import broadcast_if_small, delete_steps, write_step
 
 VALUE, NEW, KNOWN = 0, 1, 2
-META = ["qid", "parent", "sym", "n_streams", "k", "last_attr", "terms", "var_attr", "var_count",
-        "has_value"]
+META = ["qid", "parent", "sym", "n_streams", "k", "last_attr", "terms", "var_attr", "var_count"]
 STATE = ["qid", "stream_id", "b", "p0", "pre", "p"]
 
 
@@ -104,7 +103,6 @@ class Growth:
         max_variables: int | None = None,
         use_values: bool = True,
         use_variables: bool = True,
-        value_in_every_term: bool = False,
     ):
         self._used, self._lock, self._paths = 1, Lock(), []
         self.index: OccurrenceIndex | None = None
@@ -117,7 +115,6 @@ class Growth:
         self.needed = threshold(self.n_streams, supp)
         self.max_terms = max_terms or self._reached_length()
         self.max_variables = max_variables
-        self.value_in_every_term = value_in_every_term
         self.index = build_index(
             self.sdb, self.needed, self.max_pos, use_values, use_variables, self._write
         )
@@ -173,7 +170,6 @@ class Growth:
             "id AS qid", "-1L AS parent", "-1L AS sym", f"{self.n_streams}L AS n_streams", "0 AS k",
             f"{self.n_attrs} AS last_attr", f"CAST(array() AS {TERMS_TYPE}) AS terms",
             "CAST(array() AS ARRAY<INT>) AS var_attr", "CAST(array() AS ARRAY<INT>) AS var_count",
-            "true AS has_value",
         )
         return state, meta
 
@@ -183,7 +179,7 @@ class Growth:
         room = str(self.use_variables).lower()
         if self.max_variables is not None:
             room = f"({room} AND size(var_attr) < {self.max_variables})"
-        can_s = f"k < {limit}" + (" AND has_value" if self.value_in_every_term else "")
+        can_s = f"k < {limit}"
         can_i = f"k > 0 AND last_attr < {self.n_attrs - 1} AND {str(within_terms).lower()}"
         return meta.selectExpr(
             "qid", f"({can_s}) AS can_s", f"({can_i}) AS can_i",
@@ -262,7 +258,6 @@ class Growth:
             "var_attr": f"IF(_kind = {NEW}, concat(var_attr, array(_attr)), var_attr)",
             "k": "CAST(k + 1 - _mode AS INT)",
             "last_attr": "_attr",
-            "has_value": f"(_mode = 1 AND has_value) OR _kind = {VALUE}",
         }
         rest = [c for c in grown.columns if c not in changed and c != "n"]
         grown = grown.selectExpr(*rest, "n AS n_streams", *[f"{e} AS {c}" for c, e in changed.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import brute
@@ -106,6 +107,46 @@ def test_types_patterns_and_lossy_templates(make_db):
     assert counts(lossy) == only(lambda q: all(any(isinstance(s, str) for s in t) for t in q))
 
 
+@pytest.mark.parametrize("seed, supp, max_terms", [(3, 0.5, 3), (7, 1.0, 2)])
+def test_templates_against_brute_force(make_db, seed, supp, max_terms):
+    """Open terms, constraints across terms and sets of several constraints."""
+    df, db = make_db(random_db(random.Random(seed), 2, 5, ["p", "q"]))
+    found = sq.discover_by_templates(df, max_terms, supp=supp, descriptive_only=False)
+    assert counts(found) == {brute.text(q): n for q, n in brute.discover(db, supp, max_terms).items()}
+    assert strings(sq.discover_by_templates(df, max_terms, supp=supp)) == strings(sq.discover(df, supp, max_terms))
+
+
+def test_templates_of_worked_example(make_db):
+    rows = sq.discover_by_templates(make_db(NODES)[0], descriptive_only=False).collect()
+    assert len(rows) == len({r.query_id for r in rows}) == len({r.qstr for r in rows}) == 38
+    assert sum(r.descriptive for r in rows) == 4
+
+
+def test_templates_of_long_and_empty_streams(make_db):
+    """Places of a template in several chunks; constraints of four places; nothing to find."""
+    texts = "a b c a b d a b a b", "b a b a c d d a b b a a b"
+    df, _ = make_db(dict(enumerate(texts)))
+    common = set.intersection(*(
+        {" ".join(e + ";" for e in c) for k in range(1, 11) for c in itertools.combinations(t.split(), k)}
+        for t in texts
+    ))
+    for chunk in (4096, 2):
+        assert {r.terms: r.n_streams for r in _template_sequences(df, chunk)} == dict.fromkeys(common, 2)
+    df, _ = make_db({1: "a b a b", 2: "c d c d"})
+    assert strings(sq.discover_by_templates(df, descriptive_only=False)) == [
+        "$x0; $x0;", "$x0; $x1; $x0; $x1;"]
+    assert sq.discover_by_templates(df, lossy=True).count() == 0
+    assert sq.discover_by_templates(df.limit(0)).count() == sq.discover_types(df.limit(0)).count() == 0
+
+
+def _template_sequences(df, chunk):
+    from streamquarry.functions import notation as nt
+    from streamquarry.operators.templates import TemplateMining
+
+    with TemplateMining(df, 1.0, chunk=chunk) as mining:
+        return mining.sequences().select(nt.format_terms("terms").alias("terms"), "n_streams").collect()
+
+
 def test_prefix_span_gives_the_same_types(make_db):
     df, db = make_db(NODES)
     want = {brute.text(q): n for q, n in brute.discover(db, 1.0, 2).items()
@@ -126,6 +167,28 @@ def test_lattice_and_comparison(make_db):
     assert (row.true_positives, row.false_positives, row.misses) == (1, 0, qs.count() - 1)
 
 
+@pytest.mark.parametrize("streams, supp", [
+    (NODES, 0.6), ({1: "a a a b b", 2: "a b a b a", 3: "b b a a a"}, 0.6), ({1: "a b a b a b", 2: "c d c d c d"}, 1.0)])
+def test_lattice_within_the_table(make_db, streams, supp):
+    qs = sq.supported_queries(make_db(streams)[0], supp, 4)
+    edges = lambda df: {tuple(r) for r in df.collect()}
+    every = edges(sq.query_lattice(qs).filter("parent_n_streams IS NOT NULL"))
+    inner = sq.query_lattice(qs, frequent_only=True)
+    assert edges(inner) == every and inner.count() == len(every) > 1
+    # also in a table that lacks queries
+    some = qs.filter("n_terms > 1")
+    assert edges(sq.query_lattice(some, frequent_only=True)) == edges(
+        sq.query_lattice(some).filter("parent_n_streams IS NOT NULL"))
+
+
+def test_lattice_of_many_equal_symbols(make_queries):
+    """Forty equal symbols have 2^40 generalisations; the lattice of the table forms none of them."""
+    qs = sq.to_strings(make_queries(" ".join(["a;"] * 40), " ".join(["a;"] * 39), " ".join(["a;"] * 38 + ["$x0;"] * 2), "a;"))
+    qs = qs.withColumn("n_streams", qs.query_id)
+    edges = [(r.child_n_streams, r.parent_n_streams, r.child_descriptive) for r in sq.query_lattice(qs, True).collect()]
+    assert sorted(edges) == [(1, 2, True), (1, 3, True)]
+
+
 def test_nodes_cover_intervals_once(spark):
     from pyspark.sql import functions as F
 
