@@ -145,14 +145,19 @@ def map_values(sdb: DataFrame, attr: str, mapping: DataFrame | dict[str, str]) -
     return joined.withColumn(attr, F.coalesce("_mapped", attr)).drop("_val", "_mapped")
 
 
-def explode_attribute(sdb: DataFrame, attr: str, values: list[str] | None = None) -> DataFrame:
+def explode_attribute(
+    sdb: DataFrame, attr: str, values: list[str] | None = None, max_values: int = 1000
+) -> DataFrame:
     """Replace an attribute by one attribute per value, in its place.
 
     A column per value has to be part of the schema: ``values`` names those wanted, others
-    become unset.  Without it all values are looked up, which suits attributes of few values.
+    become unset.  Without it all values are looked up; more than ``max_values`` are an error.
     """
     if values is None:
-        values = [r[0] for r in sdb.filter(F.col(attr).isNotNull()).select(attr).distinct().collect()]
+        found = sdb.filter(F.col(attr).isNotNull()).select(attr).distinct().limit(max_values + 1).collect()
+        if len(found) > max_values:
+            raise ValueError(f"{attr} has more than {max_values} values: name those wanted, or bin or map them first")
+        values = [r[0] for r in found]
     columns = []
     for a in attributes(sdb):
         if a == attr:

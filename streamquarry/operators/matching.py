@@ -26,7 +26,7 @@ from streamquarry.operators.profiling import count_streams
 from streamquarry.operators.queries import (
     _merged_gaps, drop_empty_terms, full_gaps, normal_terms,
 )
-from streamquarry.plans.chunks import CHUNK, chunk_of, longest_position
+from streamquarry.plans.chunks import CHUNK, chosen_streams, chunk_of, longest_position
 from streamquarry.plans.workspace import BROADCAST_ROWS, broadcast_if_small, materialize
 
 # Terms joined in one plan before the matches so far are written.
@@ -557,7 +557,7 @@ def instances(
 ) -> DataFrame:
     """All matches as ``query_id, stream_id, positions, b``, optionally of chosen streams only."""
     if streams is not None:
-        sdb = sdb.join(streams.select("stream_id").distinct(), "stream_id", "left_semi")
+        sdb = chosen_streams(sdb, streams)
     options = _options_of(qs, positions=True, every=True)
     return _match(sdb, qs, options, max_pos).select("query_id", "stream_id", "positions", "b")
 

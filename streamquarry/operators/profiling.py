@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from streamquarry.functions.columns import attributes, cells, threshold
 from streamquarry.functions.notation import encode_value
-from streamquarry.plans.chunks import chunk_of, overlapping_chunks
+from streamquarry.plans.chunks import chosen_streams, chunk_of, overlapping_chunks
 from streamquarry.plans.numbering import HOT_ROWS, number_rows
 from streamquarry.plans.spans import join_spans, value_spans
 from streamquarry.plans.workspace import broadcast_if_small
@@ -101,9 +101,7 @@ def vertical_index(
     ``block`` counts blocks of 4096 positions, so a value that fills a long
     stream gives several arrays of bounded size instead of one huge one.
     """
-    found = cells(sdb)
-    if streams is not None:
-        found = found.join(streams.select("stream_id").distinct(), "stream_id", "left_semi")
+    found = cells(sdb if streams is None else chosen_streams(sdb, streams))
     keys = ["attr", "val"] if per_attribute else ["val"]
     return found.groupBy("stream_id", *keys, chunk_of(F.col("pos")).alias("block")).agg(
         F.sort_array(F.collect_set("pos")).alias("positions")

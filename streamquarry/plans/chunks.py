@@ -82,6 +82,12 @@ def keep_streams(sdb: DataFrame, ids: DataFrame, how: str = "left_semi", size: i
     )
 
 
+def chosen_streams(sdb: DataFrame, streams: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The events of the streams that ``streams`` names; long streams by chunks."""
+    wanted = stream_ends(sdb).join(streams.select("stream_id").distinct(), "stream_id", "left_semi")
+    return keep_streams(sdb, wanted, size=size)
+
+
 def overlapping_chunks(sdb: DataFrame, overlap: int, size: int = CHUNK) -> DataFrame:
     """Add ``_chunk``; the first ``overlap`` events of a chunk are repeated in the one before.
 

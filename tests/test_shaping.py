@@ -114,6 +114,25 @@ def test_abstraction(make_db):
     assert wide.columns[2:] == ["a0", "a1", "a2"]
     assert [(r.a1, r.a2) for r in wide.filter("stream_id = 1").orderBy("pos").collect()] == [
         (None, "low"), (None, "low"), ("high", None)]
+    with pytest.raises(ValueError, match="more than 1 values"):
+        sq.explode_attribute(df, "a1", max_values=1)
+
+
+def test_chosen_streams(spark, make_db, make_queries):
+    """Chosen streams keep all their events, whatever their chunks; others none."""
+    from streamquarry.plans.chunks import chosen_streams
+
+    df, _ = make_db({1: "a b a b a", 2: "a a", 3: "b"})
+    some = spark.createDataFrame([(1,), (1,), (3,), (7,)], "stream_id bigint")
+    for size in (2, 4096):
+        kept = chosen_streams(df, some, size)
+        assert sorted((r.stream_id, r.pos, r.a0) for r in kept.collect()) == [
+            (1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a"), (3, 0, "b")]
+    found = sq.instances(df, make_queries("a; a;"), streams=some).collect()
+    assert sorted(tuple(r.positions) for r in found) == [(0, 2), (0, 4), (2, 4)]
+    index = sq.vertical_index(df, streams=some).collect()
+    assert sorted((r.stream_id, r.val, r.positions) for r in index) == [
+        (1, "a", [0, 2, 4]), (1, "b", [1, 3]), (3, "b", [0])]
 
 
 def test_profile_of_the_worked_example(make_db):
