@@ -30,3 +30,18 @@ def test_results_stay_without_broadcasts(spark, make_db, monkeypatch):
     monkeypatch.setattr(workspace, "BROADCAST_ROWS", 0)
     after = [q(db, supp=0.6, max_terms=2).select("qstr", "n_streams").collect() for q in queries]
     assert [sorted(x) for x in before] == [sorted(x) for x in after]
+
+
+def test_alike_queries_are_matched_once(spark, make_db, make_queries, monkeypatch):
+    from streamquarry.operators import matching
+
+    db, _ = make_db({1: "a,1 b,2 a,2", 2: "a,1 b,1 a,1", 3: "b,2 a,1 a,2"})
+    asked = []
+    inner = matching._match
+    monkeypatch.setattr(matching, "_match", lambda s, qs, *rest: asked.append(qs.count()) or inner(s, qs, *rest))
+    qs = make_queries(*["a;; b;;", "$x0;; $x0;;", "$x7;; $x7;; $x1;;", "a;; ;$x2; b;;"] * 5, "c;;", "b;; a;;")
+    found = {r.query_id: r.n_streams for r in sq.support(db, qs).collect()}
+    assert asked == [4]
+    assert found == {i: [2, 3, 3, 2][(i - 1) % 4] for i in range(1, 21)} | {21: 0, 22: 3}
+    windows = make_queries("a;; a;;", "a;; a;;", "a;; a;;", gaps=[[(0, 0)], [(0, 1)], [(0, 0)]])
+    assert {r.query_id: r.n_streams for r in sq.support(db, windows).collect()} == {1: 1, 2: 3, 3: 1}
