@@ -45,3 +45,20 @@ def test_alike_queries_are_matched_once(spark, make_db, make_queries, monkeypatc
     assert found == {i: [2, 3, 3, 2][(i - 1) % 4] for i in range(1, 21)} | {21: 0, 22: 3}
     windows = make_queries("a;; a;;", "a;; a;;", "a;; a;;", gaps=[[(0, 0)], [(0, 1)], [(0, 0)]])
     assert {r.query_id: r.n_streams for r in sq.support(db, windows).collect()} == {1: 1, 2: 3, 3: 1}
+
+
+def test_normal_form_of_many_variables_in_time(spark, make_queries):
+    import time
+
+    n = 400  # x1, x4, ... occur again behind all others
+    text = " ".join(f"$x{n - i};$y{i};" if i % 2 else f"$x{n - i};v;" for i in range(n))
+    long = " ".join([text, *(f"$x{i};;" for i in range(1, n, 3))])
+    start = time.time()
+    (row,) = sq.normal_form(make_queries(long)).collect()
+    assert time.time() - start < 20
+    kept = [i for i in range(n) if (n - i) % 3 == 1 and n - i < n]
+    names = {n - i: k for k, i in enumerate(kept)}
+    want = [
+        ";".join([f"$x{names[n - i]}" if n - i in names else "", f"$y{i}" if i % 2 else "v"]) + ";" for i in range(n)
+    ] + [f"$x{names[i]};;" for i in range(1, n, 3)]
+    assert row.qstr.replace("%24", "$") == " ".join(want)
