@@ -5,7 +5,8 @@ A count is quantised to a level; the filter holds an n-gram once per level up to
 probing levels upwards until the first miss reads the count back, never too low, and too high
 only by false positives.  The filter is built in segments, one group each, and sent to the
 workers; its size grows with the counts up to ``max_bits``, beyond which the smallest count that
-is stored rises.  The probability of a word interpolates pair and word estimates from such
+is stored rises.  Words and pairs of smaller counts are then joined: those of each text that the
+filter does not hold meet their counts, which go to the text's row.  The probability of a word interpolates pair and word estimates from such
 probes.
 
 The base score uses exact counts: the most frequent words come from a table of at most
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamquarry.llm.rows import FILE, ROW, addressed, stored
+from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
 
 FREQUENT = 1 << 18  # most rows of the broadcast table of word counts
@@ -163,10 +164,46 @@ _LEAST = np.concatenate([[0], LEVELS])  # smallest count of a level
 _MOST = np.concatenate([[0], LEVELS[1:] - 1, LEVELS[-1:]])  # largest
 
 
+def _missed(model):
+    """``file, row, gram``: the words and pairs of each text ``file, row, text`` that the filter does not hold."""
+
+    def rows(batches):
+        m = model.value
+        for batch in batches:
+            for start, end, data, offsets in pieces(batch.column(2)):
+                ids, bounds = _tokens(data, offsets)
+                distinct, place = np.unique(np.concatenate([ids, _pairs(ids, bounds)]), return_inverse=True)
+                text = np.tile(np.repeat(np.arange(end - start), np.diff(bounds)), 2)
+                none = (read_levels(m["filter"], m["bits_log2"], distinct) == 0)[place]
+                keys = np.unique(text[none] * len(distinct) + place[none])
+                at = pa.array(start + keys // max(1, len(distinct)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at),
+                     pa.array(distinct.view(np.int64)[keys % max(1, len(distinct))])], [FILE, ROW, "gram"])
+
+    return rows
+
+
+def _with_rest(texts: DataFrame, rest: DataFrame, model) -> DataFrame:
+    """``texts`` with the counts ``rest`` of their words and pairs that the filter leaves out, as ``low``, ``low_n``."""
+    found = (
+        texts.select(FILE, ROW, "text").mapInArrow(_missed(model), f"{FILE} long, {ROW} long, gram long")
+        .join(rest, "gram").groupBy(FILE, ROW).agg(F.collect_list(F.struct("gram", "n")).alias("low"))
+    )
+    return texts.join(found, [FILE, ROW], "left").withColumns({"low": F.col("low.gram"), "low_n": F.col("low.n")})
+
+
 def _scorer(model):
-    """Scores of batches of ``file, row, id, held_out, text``; ``model`` is a broadcast dict."""
+    """Scores of batches of ``file, row, id, held_out, text`` and maybe ``low, low_n``; ``model`` is a broadcast dict."""
+
+    def of_texts(data, offsets, m, low, low_level):
+        def levels(grams):
+            level = read_levels(m["filter"], m["bits_log2"], grams)
+            if len(low):
+                at = np.minimum(np.searchsorted(low, grams), len(low) - 1)
+                level = np.where((level == 0) & (low[at] == grams), low_level[at], level)
+            return level
 
-    def of_texts(data, offsets, m):
         ids, bounds = _tokens(data, offsets)
         begin = bounds[:-1]
         distinct, place = np.unique(ids, return_inverse=True)
@@ -177,11 +214,11 @@ def _scorer(model):
         smooth = math.log10(m["n"] + m["v"] + 1)
         base = np.where(frequent, np.log10(exact + 1), 0.0)[place] - smooth
 
-        word = read_levels(m["filter"], m["bits_log2"], distinct)[place]
+        word = levels(distinct)[place]
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[begin] = np.searchsorted(LEVELS, m["texts"], "right")
-        pair = read_levels(m["filter"], m["bits_log2"], _pairs(ids, bounds))
+        pair = levels(_pairs(ids, bounds))
         alone = (_LEAST[word] + 1) / (m["n"] + m["v"] + 1)
         of_pair = np.minimum(_LEAST[pair], _MOST[context]) / np.maximum(_MOST[context], 1)
         weight = m["weight"] * _LEAST[context] / (_LEAST[context] + SEEN)
@@ -205,7 +242,14 @@ def _scorer(model):
         for batch in batches:
             for start, end, data, offsets in pieces(batch.column(4)):
                 own = [batch.column(i).slice(start, end - start) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(own + of_texts(data, offsets, m), SCORED)
+                low, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+                if batch.num_columns > 5:
+                    # a count holds for every text, so those of all texts of a piece are read together
+                    low, n = (batch.column(i).slice(start, end - start).flatten().to_numpy() for i in (5, 6))
+                    low, first = np.unique(low.view(np.uint64), return_index=True)
+                    n = n[first]
+                yield pa.RecordBatch.from_arrays(
+                    own + of_texts(data, offsets, m, low, np.searchsorted(LEVELS, n, "right")), SCORED)
 
     return score
 
@@ -222,7 +266,7 @@ def score_texts(
     pair_weight: float = 0.4,
 ) -> DataFrame:
     """A row per document: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, landed(docs)
     counts = stored(count_grams(docs.filter(in_train), text_col), "gram-counts")
     words = counts.filter(F.col("gram").bitwiseAND(1) == 0)
     end = words.filter(F.col("gram") == int(END)).agg(F.sum("n")).first()[0] or 0
@@ -244,10 +288,12 @@ def score_texts(
     })
 
     id_type = docs.schema[id_col].dataType.simpleString()
+    texts = addressed(docs, id_col, text_col).select(
+        FILE, ROW, F.col(id_col).alias("id"), (~in_train).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    if least > 1:
+        texts = _with_rest(texts, counts.filter(F.col("n") < least), model)
     scored = stored(
-        addressed(docs, id_col, text_col)
-        .select(FILE, ROW, F.col(id_col).alias("id"), (~in_train).alias("held_out"), F.col(text_col).cast("string"))
-        .mapInArrow(_scorer(model), f"{FILE} long, {ROW} long, id {id_type}, held_out boolean, n_tokens long, "
+        texts.mapInArrow(_scorer(model), f"{FILE} long, {ROW} long, id {id_type}, held_out boolean, n_tokens long, "
                     "known long, base double, score double, rare array<long>, rare_n array<long>"),
         "scored",
     )

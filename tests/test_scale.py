@@ -62,3 +62,22 @@ def test_normal_form_of_many_variables_in_time(spark, make_queries):
         ";".join([f"$x{names[n - i]}" if n - i in names else "", f"$y{i}" if i % 2 else "v"]) + ";" for i in range(n)
     ] + [f"$x{names[i]};;" for i in range(1, n, 3)]
     assert row.qstr.replace("%24", "$") == " ".join(want)
+
+
+def test_counts_left_out_of_the_filter_are_joined(spark, monkeypatch):
+    from streamquarry.llm import ngram_filter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(ngram_filter, "BITS_PER_ENTRY", 256)  # next to no false positives
+    scores = lambda: {r.doc_id: r.score for r in ngram_filter.score_texts(
+        docs, ~ngram_filter.held_out("doc_id", 2, 7)).select("doc_id", "score").collect()}
+    want, build = scores(), ngram_filter.build_filter
+
+    def with_floor(counts, max_bits):
+        held, bits_log2, least = build(counts.filter("n >= 4"), max_bits)
+        assert least == 1
+        return held, bits_log2, 4
+
+    monkeypatch.setattr(ngram_filter, "build_filter", with_floor)
+    got = scores()
+    assert got.keys() == want.keys() and sum(abs(got[d] - want[d]) > 1e-6 for d in want) <= 2
