@@ -39,6 +39,7 @@ from streamquarry.llm.places import table_of_places
 from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
 from streamquarry.llm.signature_tree import LEAF, candidate_pairs, leaf_bound, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
+from streamquarry.plans.workspace import delete_steps, write_step
 
 TABLE_BITS = 22  # places of the table of shingle counts
 FIRST = 8  # shingles by which classes are tried first
@@ -279,15 +280,22 @@ def similar_documents(
     without words.  Documents of one ``class`` have the same set.  One document of each component
     ``stays``, that with the smallest id, then address; so does every one without words.
     """
-    spark = docs.sparkSession
+    spark, paths = docs.sparkSession, []
+
+    def step(df: DataFrame, label: str) -> DataFrame:
+        """Stored until the documents are labelled: later joins of whole texts need the disk."""
+        written, path = write_step(df, label)
+        paths.append(path)
+        return written
+
     read = addressed(docs, id_col, text_col).select(
         F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), FILE, ROW).alias("row"),
         F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(read, "text", n_words))  # 2 ** TABLE_BITS bytes
     row_type = read.schema["row"].dataType.simpleString()
-    rows = stored(read.mapInArrow(
+    rows = step(read.mapInArrow(
         _class_rows(levels, n_words, num, den), f"row {row_type}, class long, n long, prefix array<long>, bits binary"), "shingles")
-    classes = stored(
+    classes = step(
         rows.filter("n > 0").groupBy("class").agg(
             F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")),
         "classes",
@@ -310,16 +318,16 @@ def similar_documents(
             _bounded(num, den), "a long, b long")
 
     def sets_of(wanted):
-        return stored(_wanted_sets(read, "text", n_words, stored(wanted.distinct(), "wanted")), "sets")
+        return step(_wanted_sets(read, "text", n_words, step(wanted.distinct(), "wanted")), "sets")
 
-    tries = stored(allowed(tries), "tries")
-    links = stored(_checked(tries, sets_of(_classes_of(tries)), num, den), "links")
+    tries = step(allowed(tries), "tries")
+    links = step(_checked(tries, sets_of(_classes_of(tries)), num, den), "links")
     known = stored(components(links), "components").withColumnRenamed("node", "class")
 
     # every prefix shingle in more than one component
     label = F.coalesce("label", "class").alias("label")
     labelled = classes.join(known, "class", "left").select("class", label, "prefix")
-    shared = stored(
+    shared = step(
         labelled.select(F.explode("prefix").alias("token"), "class", "label")
         .repartition("token").sortWithinPartitions("token")
         .mapInArrow(_crossing, "token long, class long, label long, size long"),
@@ -329,12 +337,12 @@ def similar_documents(
     leaves = by_token(shared.filter(F.col("size") <= LEAF).join(sized, "class").select("token", "class", "label", "n"))
     trees = by_token(shared.filter((F.col("size") > LEAF) & (F.col("size") <= LARGE)).join(signed, "class").select(
         "token", "class", "label", "n", "bits"))
-    small = stored(
+    small = step(
         allowed(leaves.mapInArrow(_leaf_pairs(num, den), "a long, b long").distinct())
         .union(trees.mapInArrow(_tree_pairs(num, den), "a long, b long")).distinct(), "pairs")
-    large = stored(shared.filter(F.col("size") > LARGE), "large")
+    large = step(shared.filter(F.col("size") > LARGE), "large")
     sets = sets_of(_classes_of(small).union(large.select("class")))
-    links = links.union(stored(_checked(small, sets, num, den), "links"))
+    links = links.union(step(_checked(small, sets, num, den), "links"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks.cast("bigint")).cast("int")
     cut = (
@@ -345,7 +353,7 @@ def similar_documents(
         .join(signed, "class").join(sets, "class")
         .select("token", "i", "j", "side", "class", "label", "n", "bits", "set")
     )
-    links = links.union(stored(
+    links = links.union(step(
         cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
         .mapInArrow(_block_links(num, den), "a long, b long"), "links"))
 
@@ -354,6 +362,7 @@ def similar_documents(
         rows.select("row", "n", "class").join(joined, "class", "left").select("row", "n", "class", F.coalesce("label", "class").alias("label")),
         "labelled",
     )
+    delete_steps(spark, paths)
     least = labelled.filter("n > 0").groupBy("label").agg(F.min("row").alias("least"))
     return labelled.join(least, "label", "left").select(
         F.col("row.id").alias(id_col), F.col("n").alias("n_shingles"), "class",

@@ -81,3 +81,14 @@ def test_counts_left_out_of_the_filter_are_joined(spark, monkeypatch):
     monkeypatch.setattr(ngram_filter, "build_filter", with_floor)
     got = scores()
     assert got.keys() == want.keys() and sum(abs(got[d] - want[d]) > 1e-6 for d in want) <= 2
+
+
+def test_steps_of_the_similarity_join_go_before_texts_are_joined(spark, tmp_path, monkeypatch):
+    from streamquarry.llm import jaccard_join
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(workspace, "shared_dir", lambda _: str(tmp_path))
+    found = jaccard_join.similar_documents(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert not left & {"shingles", "classes", "shared", "sets", "pairs", "large"} and "labelled" in left
+    assert found.count() == docs.count()
