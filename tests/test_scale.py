@@ -32,6 +32,19 @@ def test_results_stay_without_broadcasts(spark, make_db, monkeypatch):
     assert [sorted(x) for x in before] == [sorted(x) for x in after]
 
 
+def test_matches_of_streams_are_never_broadcast(spark, make_db, monkeypatch):
+    from streamquarry.plans.growth import Growth
+
+    db, _ = make_db({i: "a,1 b,2 a,2" if i % 2 else "a,1 b,1 a,1" for i in range(40)})
+    plans, carried = [], Growth._carried
+    monkeypatch.setattr(Growth, "_carried", lambda self, e: plans.append(plan_of(e)) or carried(self, e))
+    for strategy in ("unified", "separated"):
+        assert sq.supported_queries(db, 0.5, 2, strategy).count() > 0
+    assert any("Union" in p for p in plans)
+    # the one join of a level is that of matches and index; what is broadcast are tables of queries
+    assert all("SortMergeJoin [stream_id" in p for p in plans)
+
+
 def test_alike_queries_are_matched_once(spark, make_db, make_queries, monkeypatch):
     from streamquarry.operators import matching
 
