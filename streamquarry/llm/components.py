@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     summary = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     state = summary(edges)
     while True:
-        edges = stored(_stars(_stars(edges, large=True), large=False), "edges")
+        # one plan for both would hold the large stars once per use; the driver plans it again after each stage
+        edges = stored(_stars(stored(_stars(edges, large=True), "stars"), large=False), "edges")
         last, state = state, summary(edges)
         if state == last:
             break

@@ -39,7 +39,7 @@ from streamquarry.llm.places import table_of_places
 from streamquarry.llm.rows import FILE, ROW, addressed, landed, stored
 from streamquarry.llm.signature_tree import LEAF, candidate_pairs, leaf_bound, signature
 from streamquarry.llm.textarrays import combined, mix, pieces, word_hashes
-from streamquarry.plans.workspace import delete_steps, write_step
+from streamquarry.plans.workspace import broadcast_if_small, delete_steps, write_step
 
 TABLE_BITS = 22  # places of the table of shingle counts
 FIRST = 8  # shingles by which classes are tried first
@@ -293,17 +293,19 @@ def similar_documents(
         F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(read, "text", n_words))  # 2 ** TABLE_BITS bytes
     row_type = read.schema["row"].dataType.simpleString()
-    rows = step(read.mapInArrow(
+    # prefixes are only dealt out by class once, when the first links have labelled the classes
+    wide = step(read.mapInArrow(
         _class_rows(levels, n_words, num, den), f"row {row_type}, class long, n long, prefix array<long>, bits binary"), "shingles")
+    rows = step(wide.select("row", "n", "class"), "rows")
     classes = step(
-        rows.filter("n > 0").groupBy("class").agg(
-            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")),
+        wide.filter("n > 0").groupBy("class").agg(
+            F.first("n").alias("n"), F.first(F.slice("prefix", 1, FIRST)).alias("first"), F.first("bits").alias("bits")),
         "classes",
     )
     sized = classes.select("class", "n")
 
     # first links: each class with one class of each group of its first shingles
-    near = classes.select("class", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
+    near = classes.select("class", "n", F.explode("first").alias("token"))
     centre = near.groupBy("token").agg(
         F.min(F.struct(F.xxhash64("token", "class").alias("h"), F.col("class").alias("b"), F.col("n").alias("n_b"))).alias("c"),
         F.count(F.lit(1)).alias("size")).filter("size > 1").select("token", "c.b", "c.n_b")
@@ -321,18 +323,22 @@ def similar_documents(
         return step(_wanted_sets(read, "text", n_words, step(wanted.distinct(), "wanted")), "sets")
 
     tries = step(allowed(tries), "tries")
+    tried = len(paths)
     links = step(_checked(tries, sets_of(_classes_of(tries)), num, den), "links")
+    delete_steps(spark, paths[tried:-1])
     known = stored(components(links), "components").withColumnRenamed("node", "class")
 
     # every prefix shingle in more than one component
     label = F.coalesce("label", "class").alias("label")
-    labelled = classes.join(known, "class", "left").select("class", label, "prefix")
+    prefixes = wide.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix"))
+    labelled = prefixes.join(known, "class", "left").select("class", label, "prefix")
     shared = step(
         labelled.select(F.explode("prefix").alias("token"), "class", "label")
         .repartition("token").sortWithinPartitions("token")
         .mapInArrow(_crossing, "token long, class long, label long, size long"),
         "shared",
     )
+    delete_steps(spark, paths[:1])  # the wide rows
     by_token = lambda rows: rows.repartition("token").sortWithinPartitions("token")
     leaves = by_token(shared.filter(F.col("size") <= LEAF).join(sized, "class").select("token", "class", "label", "n"))
     trees = by_token(shared.filter((F.col("size") > LEAF) & (F.col("size") <= LARGE)).join(signed, "class").select(
@@ -350,7 +356,9 @@ def similar_documents(
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "label")
-        .join(signed, "class").join(sets, "class")
+    )
+    cut = (
+        broadcast_if_small(cut, cut.count()).join(signed, "class").join(sets, "class")
         .select("token", "i", "j", "side", "class", "label", "n", "bits", "set")
     )
     links = links.union(step(

@@ -105,3 +105,22 @@ def test_steps_of_the_similarity_join_go_before_texts_are_joined(spark, tmp_path
     left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
     assert not left & {"shingles", "classes", "shared", "sets", "pairs", "large"} and "labelled" in left
     assert found.count() == docs.count()
+
+
+def test_similarity_join_deals_prefixes_out_once_and_drops_used_steps(spark, tmp_path, monkeypatch):
+    from streamquarry.llm import jaccard_join
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(workspace, "shared_dir", lambda _: str(tmp_path))
+    there, plans, inner = {}, [], jaccard_join.write_step
+
+    def watched(df, label):
+        there.setdefault(label, {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()})
+        plans.append(plan_of(df))
+        return inner(df, label)
+
+    monkeypatch.setattr(jaccard_join, "write_step", watched)
+    jaccard_join.similar_documents(docs)
+    assert sum("partial_first(prefix" in p for p in plans) == 1
+    assert not there["shared"] & {"sets", "wanted"}
+    assert not there["pairs"] & {"shingles", "sets"}
