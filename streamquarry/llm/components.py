@@ -6,11 +6,13 @@ aggregated and joined back, so a node with very many links is one record per tas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from streamquarry.llm.rows import stored
 
+TASKS, ROWS = 16, 20_000  # tasks that write a step's links: so many, or one per so many links if that is more
+
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """``links`` (``u > v``) with the far ends hung onto the smallest neighbour of each node."""
@@ -28,15 +30,23 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
+def _summed(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """``edges`` stored, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    written = stored(edges.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return written, seen.get
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node with a link; ``links`` has ``a, b``; the label is the smallest node."""
-    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    summary = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    state = summary(edges)
+    edges, state = _summed(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         # one plan for both would hold the large stars once per use; the driver plans it again after each stage
-        edges = stored(_stars(stored(_stars(edges, large=True), "stars"), large=False), "edges")
-        last, state = state, summary(edges)
+        # and links are short rows: a task for few of them costs more than its work
+        tasks = max(TASKS, state["n"] // ROWS)
+        large = stored(_stars(edges, large=True).coalesce(tasks), "stars")
+        last, (edges, state) = state, _summed(_stars(large, large=False).coalesce(tasks))
         if state == last:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(

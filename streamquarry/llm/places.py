@@ -48,11 +48,20 @@ def table_of_places(rows: DataFrame, column: str, to_places, bits: int, flags: b
     parts = rows.select(column).mapInArrow(per_task, "block int, cells binary").groupBy("block").applyInArrow(
         merged, "block int, cells binary")
     out = np.zeros(((1 << bits) // block, block >> 3 if flags else block), dtype=kept)
-    for row in parts.toLocalIterator():
-        out[row.block] = np.frombuffer(row.cells, kept)
+    _fill(out, parts)
     return out.reshape(-1)
 
 
+def _fill(out: np.ndarray, parts: DataFrame) -> None:
+    """The rows ``block, cells`` put into ``out``, all fetched in one job.
+
+    An iterator over partitions runs a job per partition, each with a broadcast of its own on the driver.
+    """
+    for batch in parts.toArrow().to_batches():
+        for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
+            out[block] = np.frombuffer(cells.as_buffer(), out.dtype)
+
+
 FLAG_BITS = 29  # most places of a table that ``flag_table`` makes: 64 MB
 FLAGS_PER_KEY = 3
 

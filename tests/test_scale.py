@@ -124,3 +124,61 @@ def test_similarity_join_deals_prefixes_out_once_and_drops_used_steps(spark, tmp
     assert sum("partial_first(prefix" in p for p in plans) == 1
     assert not there["shared"] & {"sets", "wanted"}
     assert not there["pairs"] & {"shingles", "sets"}
+
+
+def test_tables_of_places_take_one_job(spark):
+    import numpy as np
+
+    from streamquarry.llm.places import table_of_places
+
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id * 16 AS place")
+    to_places = lambda column: [column.to_numpy(zero_copy_only=False)]
+    tracker = spark.sparkContext.statusTracker()
+    for flags in (False, True):
+        spark.sparkContext.setJobGroup(f"places-{flags}", "a table of 16 blocks, a partition each")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        try:
+            table = table_of_places(rows, "place", to_places, 20, flags)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        table = np.unpackbits(table) if flags else table
+        assert np.array_equal(np.flatnonzero(table), np.arange(0, 64000, 16))
+        # the shuffle and the fetch; an iterator ran one more for each of the 40 partitions
+        assert len(tracker.getJobIdsForGroup(f"places-{flags}")) <= 2
+
+
+def test_states_of_components_take_no_job_of_their_own(spark, monkeypatch):
+    from streamquarry.llm import components as module
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (6, 6)], "a long, b long")
+    edges, state = module._summed(links.filter("a <> b").selectExpr("b AS u", "a AS v"))
+    assert state["n"] == 3 == edges.count()
+    assert state["sum"] == sum(edges.selectExpr("xxhash64(u, v) AS h").toPandas().h.astype(object))
+    assert {r.node: r.label for r in module.components(links).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+    assert module.components(links.filter("a = b")).count() == 0
+
+
+def test_steps_of_components_are_written_by_few_tasks(spark, monkeypatch):
+    from streamquarry.llm import components as module
+
+    links = spark.range(3000).selectExpr("id AS a", "id - id % 3 AS b")
+    files, inner = {}, module.stored
+
+    def watched(df, label):
+        written = inner(df, label)
+        files.setdefault(label, []).append(len(written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(module, "stored", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r.node: r.label for r in module.components(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: i - i % 3 for i in range(3000)}
+    assert max(files["stars"] + files["edges"][1:]) <= module.TASKS
