@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def shingle_sets(data, offsets, n_words: int):
     runs = combined(words.hashes, n_words)
     for start, end in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
         if end - start >= n_words:
-            yield np.unique(runs[start : end - n_words + 1])
+            x = np.sort(runs[start : end - n_words + 1])  # np.unique takes several times as long on short arrays
+            yield x[np.r_[True, x[1:] != x[:-1]]]
         elif end > start:
             yield combined(words.hashes[start:end], end - start)
         else:
@@ -77,7 +79,10 @@ def shingle_levels(docs: DataFrame, text_col: str, n_words: int) -> np.ndarray:
     counts = table_of_places(docs, text_col, places, TABLE_BITS)
     mean = counts.mean()
     usual = mean + 6 * mean**0.5 + 8
-    return np.where(counts < usual, 0, np.floor(2 * np.log2(np.maximum(counts, 1) / usual)) + 1).astype(np.uint8)
+    levels = np.zeros(len(counts), np.uint8)
+    common = np.flatnonzero(counts >= usual)  # few of the places: the driver holds no wider copies of the table
+    levels[common] = (np.floor(2 * np.log2(np.maximum(counts[common], 1) / usual)) + 1).astype(np.uint8)
+    return levels
 
 
 def _class_rows(levels, n_words: int, num: int, den: int):
@@ -100,8 +105,8 @@ def _class_rows(levels, n_words: int, num: int, den: int):
     return rows
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, n_words: int, wanted: DataFrame) -> DataFrame:
-    """``class, set`` for the classes in ``wanted`` (and few others); texts are hashed again."""
+def _wanted_sets(docs: DataFrame, text_col: str, n_words: int, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """``class, set`` for the classes in ``wanted``, texts are hashed again; and what was sent for it."""
     shift = np.uint64(64 - WANTED_BITS)
     place = lambda c: (mix(c.view(np.uint64)) >> shift).astype(np.int64)
     bits = table_of_places(wanted, "class", lambda column: [place(column.to_numpy(zero_copy_only=False))], WANTED_BITS, flags=True)
@@ -122,7 +127,7 @@ def _wanted_sets(docs: DataFrame, text_col: str, n_words: int, wanted: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "set"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(rows, "class long, set binary")
-    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    return found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), chosen
 
 
 def _similar(x: bytes, y: bytes, num: int, den: int) -> bool:
@@ -251,18 +256,34 @@ def _tree_pairs(num: int, den: int):
 
 
 def _block_links(num: int, den: int):
-    """Links found in blocks ``token, i, j, side, class, label, n, bits, set``."""
+    """Links found in blocks ``token, i, j, side, class, label, n, bits, set``.
+
+    Near copies meet under many tokens: a task keeps what its links have joined for its later
+    groups, at most an entry per component of its rows.
+    """
 
     def rows(batches):
+        joined: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            end = label
+            while end in joined:
+                end = joined[end]
+            while label != end:  # next time in one step
+                joined[label], label = end, joined[label]
+            return end
+
         for group in _groups(batches, 3):
             classes, sets = group["class"].to_numpy(), group["set"].to_pylist()
-            labels = group["label"].to_numpy().copy()
+            own, at = np.unique(group["label"].to_numpy(), return_inverse=True)
+            labels = np.array([root(x) for x in own.tolist()], np.int64)[at]
             sides = group["side"].to_numpy() if group["i"][0] != group["j"][0] else None
             i, j = candidate_pairs(group["bits"].to_pylist(), group["n"].to_numpy(), labels, sides, num, den)
             links = []
             for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if labels[x] != labels[y] and _similar(sets[x], sets[y], num, den):
                     links.append((classes[x], classes[y]))
+                    joined[int(labels[y])] = int(labels[x])
                     labels[labels == labels[y]] = labels[x]
             a, b = (np.array(z, np.int64) for z in zip(*links, strict=True)) if links else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -296,6 +317,7 @@ def similar_documents(
     # prefixes are only dealt out by class once, when the first links have labelled the classes
     wide = step(read.mapInArrow(
         _class_rows(levels, n_words, num, den), f"row {row_type}, class long, n long, prefix array<long>, bits binary"), "shingles")
+    levels.destroy()
     rows = step(wide.select("row", "n", "class"), "rows")
     classes = step(
         wide.filter("n > 0").groupBy("class").agg(
@@ -320,7 +342,10 @@ def similar_documents(
             _bounded(num, den), "a long, b long")
 
     def sets_of(wanted):
-        return step(_wanted_sets(read, "text", n_words, step(wanted.distinct(), "wanted")), "sets")
+        found, sent = _wanted_sets(read, "text", n_words, step(wanted.distinct(), "wanted"))
+        found = step(found, "sets")
+        sent.destroy()
+        return found
 
     tries = step(allowed(tries), "tries")
     tried = len(paths)

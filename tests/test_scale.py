@@ -182,3 +182,37 @@ def test_steps_of_components_are_written_by_few_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {i: i - i % 3 for i in range(3000)}
     assert max(files["stars"] + files["edges"][1:]) <= module.TASKS
+
+
+def test_levels_of_places_are_those_of_the_whole_formula(spark, monkeypatch):
+    import numpy as np
+
+    from streamquarry.llm import jaccard_join
+
+    counts = np.random.default_rng(1).geometric(0.02, 1 << 12).astype(np.uint32)
+    counts[:5] = [0, 1, 10**5, 10**6, 2**31]
+    monkeypatch.setattr(jaccard_join, "table_of_places", lambda *_: counts)
+    usual = counts.mean() + 6 * counts.mean() ** 0.5 + 8
+    want = np.where(counts < usual, 0, np.floor(2 * np.log2(np.maximum(counts, 1) / usual)) + 1).astype(np.uint8)
+    assert np.array_equal(jaccard_join.shingle_levels(None, "text", 5), want) and want.max() > 20
+
+
+def test_links_found_in_a_task_are_not_checked_again(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from streamquarry.llm import jaccard_join
+    from streamquarry.llm.signature_tree import signature
+
+    rng = np.random.default_rng(2)
+    bases = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(2)]
+    sets = [np.sort(np.delete(bases[k % 2], k)) for k in range(20)]
+    names = ["token", "i", "j", "side", "class", "label", "n", "bits", "set"]
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in ([t] * 20, [0] * 20, [0] * 20, [0] * 20, [*range(20)], [*range(20)], [len(s) for s in sets],
+                               [signature(s) for s in sets], [s.tobytes() for s in sets])], names) for t in range(30)]
+    asked, similar = [], jaccard_join._similar
+    monkeypatch.setattr(jaccard_join, "_similar", lambda *a: asked.append(similar(*a)) or asked[-1])
+    found = [p for b in jaccard_join._block_links(75, 100)(batches) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    # the two components, each link once for all groups of the task: 18 of them, not 540
+    assert len(found) == 18 and sum(asked) == 18 and all(a % 2 == b % 2 for a, b in found)
