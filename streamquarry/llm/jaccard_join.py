@@ -55,7 +55,7 @@ def shingle_sets(data, offsets, n_words: int):
     runs = combined(words.hashes, n_words)
     for start, end in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
         if end - start >= n_words:
-            x = np.sort(runs[start : end - n_words + 1])  # np.unique takes several times as long on short arrays
+            x = np.sort(runs[start : end - n_words + 1])  # faster here than np.unique
             yield x[np.r_[True, x[1:] != x[:-1]]]
         elif end > start:
             yield combined(words.hashes[start:end], end - start)
