@@ -207,11 +207,11 @@ def fit_rates(
 
 def _descent(members: DataFrame, wanted: np.ndarray, tolerance: float):
     """Vectors and reached tokens of projected-gradient steps, no vectors if the wanted tokens are out of reach."""
-    p, tokens = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens")
+    p, tokens, rate = [F.col(f"p_{d}") for d in DOMAINS], F.col("n_tokens"), F.col("rate")
     path, gaps = [], []
     while True:
-        rate = rate_of(path)
-        values = _totals(members, F.max(rate), *(F.sum(rate * tokens * x) for x in p),
+        # as a column of its own: the sums would each repeat the vectors so far, in a plan that grows with every step
+        values = _totals(members.select(tokens, *p, rate_of(path).alias("rate")), F.max(rate), *(F.sum(rate * tokens * x) for x in p),
                          *(F.sum(F.when(rate > 0, tokens * x * y)) for x in p for y in p))
         largest, expected, gram = values[0], values[1 : len(p) + 1], values[len(p) + 1 :].reshape(len(p), len(p))
         gaps.append(float(np.abs(expected - wanted).sum() / wanted.sum()))

@@ -124,6 +124,22 @@ def test_rates_equal_plain_projected_gradients(spark):
     assert np.allclose(sorted(got), sorted(rate), atol=1e-6)
 
 
+def test_plan_of_a_step_does_not_repeat_the_steps_before(spark, monkeypatch):
+    """The driver plans a step for each vector; its plan holds the vectors once, not once per sum."""
+    plans, totals = [], mixing._totals
+
+    def seen(members, *more):
+        plans.append(members.agg(*more)._jdf.queryExecution().optimizedPlan().toString())
+        return totals(members, *more)
+
+    monkeypatch.setattr(mixing, "_totals", seen)
+    members = spark.createDataFrame([(10, 0.6, 0.3, 0.1)] * 20, "n_tokens long, p_clean double, p_junk double, p_toxic double")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        mixing.fit_rates(members, mixing.WEIGHTS)
+    steps = [p for p in plans if "aggregate(" in p]
+    assert len(steps) > mixing.PATIENCE and {p.count("aggregate(") for p in steps} == {1}
+
+
 def test_soft_posteriors_are_measured_against_their_confusion(spark):
     """Of documents that are all clean, by a classifier that is never sure, all stay."""
     rng = np.random.default_rng(3)
