@@ -58,6 +58,49 @@ PAIRS = """pq AS (
   SELECT stream_id AS query_id, arg_min(a0, pos) AS a, arg_max(a0, pos) AS b
   FROM ev GROUP BY stream_id)"""
 
+# All priorities of a customer as a query, values numbered, and the same with the first priority as variable x,
+# which goes if it occurs once. Streams as text, so that a query without variables is a LIKE pattern.
+WHOLE = """vals AS (
+  SELECT a1 AS val, CAST(row_number() OVER (ORDER BY a1) AS VARCHAR) AS c
+  FROM (SELECT DISTINCT a1 FROM ord WHERE a1 IS NOT NULL)),
+coded AS (
+  SELECT stream_id, pos, c, CASE WHEN a1 = first_value(a1) OVER (PARTITION BY stream_id ORDER BY pos) THEN 'x' ELSE c END AS x
+  FROM ord LEFT JOIN vals ON a1 = val),
+whole AS (
+  SELECT stream_id, coalesce(list(c ORDER BY pos) FILTER (WHERE c IS NOT NULL), []) AS c,
+         coalesce(list(x ORDER BY pos) FILTER (WHERE x IS NOT NULL), []) AS x
+  FROM coded GROUP BY stream_id),
+given AS (
+  SELECT 2 * stream_id AS query_id, c AS q FROM whole
+  UNION ALL
+  SELECT 2 * stream_id + 1, CASE WHEN len(list_filter(x, lambda s: s = 'x')) = 1 THEN list_filter(x, lambda s: s <> 'x') ELSE x END
+  FROM whole),
+texts AS (SELECT coalesce('|' || array_to_string(c, '||') || '|', '') AS t, count(*) AS n FROM whole GROUP BY ALL)"""
+
+
+def counted(name: str, queries: str) -> str:
+    """CTE ``name``: q, n_streams of each of ``queries``: streams that match it under some values of x and y."""
+    return f"""{name} AS (
+  SELECT q, CAST(sum(n) AS BIGINT) AS n_streams FROM (
+    SELECT DISTINCT q, t, n FROM (
+      SELECT DISTINCT q, '%' || array_to_string(list_transform(q, lambda s:
+        '|' || CASE s WHEN 'x' THEN v.c WHEN 'y' THEN w.c ELSE s END || '|'), '%') || '%' AS p
+      FROM (SELECT DISTINCT q FROM ({queries})), vals v, vals w) JOIN texts ON t LIKE p)
+  GROUP BY q)"""
+
+
+# What is one step stricter than a supported query of WHOLE, of whatever length: a variable gets a value; a term is
+# added, of a value or the variable; two terms of a new variable are. A query below any stricter supported one is
+# below such a step, which is supported too, so the strictest queries are those without a supported step.
+STEPS = """steps AS (
+  SELECT q, list_transform(q, lambda s: CASE s WHEN 'x' THEN vals.c ELSE s END) AS m FROM supp, vals WHERE list_contains(q, 'x')
+  UNION ALL
+  SELECT q, q[1:i] || [s] || q[i + 1:] FROM supp, unnest(range(0, len(q) + 1)) g(i), (SELECT c FROM vals UNION ALL SELECT 'x') o(s)
+  WHERE s <> 'x' OR list_contains(q, 'x')
+  UNION ALL
+  SELECT q, q[1:i] || ['y'] || q[i + 1:j] || ['y'] || q[j + 1:]
+  FROM supp, unnest(range(0, len(q) + 1)) g(i), unnest(range(0, len(q) + 1)) h(j) WHERE i <= j)"""
+
 # -- matching ---------------------------------------------------------------
 
 TYPE_MATCHES = """
@@ -286,14 +329,12 @@ d AS (
                 f"AND x.pos < b.pos AND (x.a0 IN ({values}) OR x.a1 IN ({values})))")
 
     lengths = "SELECT stream_id, count(*) AS n_events FROM ord GROUP BY stream_id"
+    at_least = f"n_streams >= {needed(0.5, 'ord')}"
     classify = f"""SELECT CAST(query_id AS BIGINT) AS query_id, n_streams,
-      CASE WHEN n_streams < {needed(0.5)} THEN 'not_supported'
-           WHEN EXISTS (SELECT 1 FROM found w WHERE w.qstr = c.qstr AND NOT EXISTS (
-             SELECT 1 FROM found q WHERE {weaker(1)})) THEN 'descriptive' ELSE 'supported' END AS label
-      FROM (SELECT query_id, a || '; ' || b || ';' AS qstr,
-              (SELECT count(DISTINCT x.stream_id) FROM ev x JOIN ev y
-               ON x.stream_id = y.stream_id AND x.pos < y.pos WHERE x.a0 = pq.a AND y.a0 = pq.b) AS n_streams
-            FROM pq) c"""
+      CASE WHEN NOT {at_least} THEN 'not_supported'
+           WHEN len(q) > 0 AND q NOT IN (SELECT s.q FROM steps s JOIN stricter w ON w.q = s.m WHERE {at_least}) THEN 'descriptive'
+           ELSE 'supported' END AS label
+      FROM given JOIN counts USING (q)"""
     sql = {
         "read_traces": ev("SELECT pos, a0, a1, count(*) AS n, count(DISTINCT stream_id) AS n_streams FROM ev GROUP BY pos, a0, a1"),
         "write_read_streams": od("SELECT stream_id, pos, a0, a1 FROM ord"),
@@ -454,7 +495,9 @@ d AS (
         "update_support": ev(support(4), f"m AS (SELECT * FROM ({mixed_matches()}) WHERE stream_id % 3 <> 1)",
                              "s AS (SELECT stream_id FROM ev WHERE stream_id % 3 <> 1)"),
         "supported_with_term_bound": ev(f"SELECT * FROM ({support(7)}) WHERE n_streams >= {needed(0.2)} AND query_id NOT IN (4, 5, 6)", ALL_MATCHES),
-        "classify_queries": ev(classify, PAIRS, one),
+        "classify_queries": od(
+            classify, WHOLE, counted("counts", "SELECT q FROM given"),
+            f"supp AS (SELECT q FROM counts WHERE {at_least})", STEPS, counted("stricter", "SELECT m AS q FROM steps")),
         "discover_types": ev("SELECT qstr, n_terms, kind, n_streams FROM found", found(2, 2, 0.5, "kind = 'type'")),
         "discover_types_prefix_span": ev("SELECT qstr, n_terms, kind, n_streams FROM found", found(1, 2, 0.5, "kind = 'type'")),
         "discover_patterns": ev("SELECT qstr, n_terms, kind, n_streams FROM found", found(2, 2, 0.2, "kind = 'pattern'")),
